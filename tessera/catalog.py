@@ -1,4 +1,6 @@
 """All registered queries and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from .plans import bindings, graphs, retrieval, rules  # noqa: F401 - importing a module registers its queries
+
+QUERIES = bindings.QUERIES
+ORACLES = bindings.ORACLES
