@@ -245,7 +245,7 @@ def variant_compatibility(spark, d):
     return compare.variant_compatibility(rows).select("l", "r", "compatibility")
 
 
-@query("evidence_asymmetry", f"with {JOINED} select l, r, round(greatest(na, nb) / least(na, nb), 2) ratio, round(greatest(na, nb) / least(na, nb), 2) > 3 as "asymmetric" from j")
+@query("evidence_asymmetry", f"with {JOINED} select l, r, round(greatest(na, nb) / least(na, nb), 2) ratio, round(greatest(na, nb) / least(na, nb), 2) > 3 as \"asymmetric\" from j")
 def evidence_asymmetry(spark, d):
     return compare.asymmetry(pair_rows(spark, d)).select("l", "r", "ratio", "asymmetric")
 
