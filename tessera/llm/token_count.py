@@ -17,7 +17,7 @@ from functools import lru_cache
 import regex
 from pyspark.sql import DataFrame
 
-from .bpe import Merges, byte_letters
+from .bpe import Cache, Merges, byte_letters
 from .common import utf8, with_results
 
 #: Fixed value: how the vocabulary cuts a text into words.
@@ -104,7 +104,7 @@ class ChunkMap:
 class Counter:
     """A word vocabulary read from a tokenizer file."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cached_words: int = 600_000, cached_runs: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()
@@ -129,29 +129,24 @@ class Counter:
         self.words = regex.compile(WORDS)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.split_added = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
-        self.known: dict[str, int] = {}
-        self.cache = cache
+        self.known_words = Cache(lambda word: self.machine.count(word.encode()), cached_words)
+        self.known_runs = Cache(self._run, cached_runs)
+
+    def _run(self, letters: str) -> int:
+        known = self.known_words
+        return sum([known[w] for w in self.words.findall(letters)])
 
     def run(self, letters: str) -> int:
         """Tokens of a run of characters between blanks."""
-        got = self.known.get(letters)
-        if got is None:
-            got = sum(self.machine.count(w.encode()) for w in self.words.findall(letters))
-            if len(letters) <= 64:
-                if len(self.known) >= self.cache:
-                    self.known.clear()
-                self.known[letters] = got
-        return got
+        return self.known_runs[letters]
 
     def chunk_map(self, chunk: str) -> ChunkMap:
-        runs = chunk.split(" ")
-        if len(runs) == 1:
+        head, *runs = chunk.split(" ")
+        if not runs:
             return ChunkMap(chunk)
-        known, total = self.known, 0
-        for run in runs[1:-1]:
-            got = known.get(run)
-            total += self.run(run) if got is None else got
-        return ChunkMap(runs[0], total, runs[-1])
+        tail = runs.pop()
+        known = self.known_runs
+        return ChunkMap(head, sum([known[r] for r in runs]), tail)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """The map of two chunks in a row; associative."""
