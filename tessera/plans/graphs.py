@@ -46,7 +46,7 @@ def mica(spark, d):
     return ontology.mica(term_pairs(spark, d, annotations), closed, information)
 
 
-BMA = f"""ps as ({PAIRS}), met as (select l, r, a, b, ic from ps join ann x on x.entity_id = l join ann y on y.entity_id = r join sim on a = x.term_id and b = y.term_id)"""
+BMA = f"""ps as ({PAIRS}), met as (select l, r, x.term_id a, y.term_id b, coalesce(ic, 0) ic from ps join ann x on x.entity_id = l join ann y on y.entity_id = r left join sim on a = x.term_id and b = y.term_id)"""
 
 
 @query(
