@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
@@ -111,10 +112,25 @@ class Merges:
         return out
 
 
+class Cache(dict):
+    """Results by short keys, up to a number, beyond which it starts anew."""
+
+    def __init__(self, make: Callable[[str], bytes | int], most: int, longest: int = 64):
+        self.make, self.most, self.longest = make, most, longest
+
+    def __missing__(self, key: str) -> bytes | int:
+        made = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = made
+        return made
+
+
 class Vocabulary:
-    """A byte-level vocabulary read from a tokenizer file, with a cache of the pieces met."""
+    """A byte-level vocabulary read from a tokenizer file, with caches of the pieces, and of the runs between blanks, met."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cached_pieces: int = 600_000, cached_runs: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()
@@ -137,8 +153,9 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.pieces = regex.compile(PIECES)
-        self.known: dict[str, bytes] = {}
-        self.cache = cache
+        self.odd_blanks = regex.compile(r"\s\s|^\s|\s$")
+        self.known_pieces = Cache(self.piece, cached_pieces)
+        self.known_runs = Cache(lambda run: self.whole(" " + run), cached_runs)
         # the offset table: token i's bytes are blob[offsets[i]:offsets[i + 1]]
         words = {i: bytes(letters[c] for c in t) for t, i in ids.items()} | {i: t.encode() for t, i in self.added.items()}
         parts = [words.get(i, b"") for i in range(max(words) + 1)]
@@ -148,16 +165,9 @@ class Vocabulary:
     def piece(self, piece: str) -> bytes:
         return self.outer[self.merges.encode(piece.encode().decode("latin-1"))].astype("<u4").tobytes()
 
-    def _run(self, run: str) -> bytes:
-        """Ids of a run of text; runs between single spaces are kept, as cutting there cuts no piece."""
-        out = self.known.get(run)
-        if out is None:
-            out = b"".join(map(self.piece, self.pieces.findall(run)))
-            if len(run) <= 64:
-                if len(self.known) >= self.cache:
-                    self.known.clear()
-                self.known[run] = out
-        return out
+    def whole(self, text: str) -> bytes:
+        known = self.known_pieces
+        return b"".join([known[p] for p in self.pieces.findall(text)])
 
     def ids_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -165,20 +175,14 @@ class Vocabulary:
         for i, part in enumerate(self.split_added.split(text) if self.split_added else [text]):
             if i % 2:
                 out.append(self.added[part].to_bytes(4, "little"))
-                continue
-            known, waiting = self.known, ""
-            runs = part.split(" ")
-            for k, run in enumerate(runs):
-                whole = (" " if k else "") + run
-                if waiting:
-                    whole = waiting + whole
-                    waiting = ""
-                # a single space between two other characters begins a piece; others stay with what is around them
-                if k + 1 < len(runs) and (not run or run[-1].isspace() or not runs[k + 1] or runs[k + 1][0].isspace()):
-                    waiting = whole
-                    continue
-                got = known.get(whole)
-                out.append(self._run(whole) if got is None else got)
+            elif self.odd_blanks.search(part):
+                out.append(self.whole(part))
+            elif part:
+                # each blank stands alone between other characters and begins a piece, so that no piece crosses a cut before it
+                first, *runs = part.split(" ")
+                known = self.known_runs
+                out.append(self.whole(first))
+                out += [known[r] for r in runs]
         return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
