@@ -35,6 +35,21 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """`df` with the boolean column `flag`: false only where `key` is surely not among the values of `keys`' column of that name.
+
+    One bit of 2^27 for each value, in 4096 bitmaps of 4 KB: at most 16 MB are broadcast, however many keys there are. With
+    very many of them more rows are let through, none is lost. It keeps long rows that a join would not match out of its shuffle.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 27))
+    bucket, bit = (place / (1 << 15)).cast("int"), place % (1 << 15)
+    maps = keys.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    met = df.withColumn("_of", bucket).withColumn("_bit", bit).join(F.broadcast(materialize(maps)), F.col("_of") == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return met.withColumn(flag, F.coalesce(found, F.lit(False))).drop("_of", "_bit", "_bucket", "_map")
+
+
 def utf8(column: str | Column) -> Column:
     """A text column as UTF-8 bytes; null is empty."""
     column = F.col(column) if isinstance(column, str) else column

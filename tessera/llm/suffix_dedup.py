@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small, utf8, with_results
+from .common import materialize, maybe_in, slices, utf8, with_results
 from .suffix_array import repeated_starts
 
 GRAM = 32
@@ -199,11 +199,12 @@ def repeated_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     # copies of a text become one before anything meets on an anchor
     segments = found.groupBy("key", "start", "anchor", "content", "size", "at").agg(F.count("*").alias("copies"), F.min("doc").alias("doc"))
     segments = materialize(segments)
-    often = segments.groupBy("anchor").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor")
+    # materialised, as a join of two plain exchanges can split a hot anchor's partition
+    often = materialize(segments.groupBy("anchor").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor"))
     met = materialize(segments.join(often, "anchor"))
     contents = met.groupBy("anchor", "content").agg(F.sum("copies").alias("n"), F.min(F.struct("key", "doc", "start", "size", "at")).alias("one"))
     contents = materialize(contents.select("anchor", "content", (F.col("n") > 1).alias("often"), "one.*"))
-    groups = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes"))
+    groups = materialize(contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")))
     sized = materialize(contents.join(groups, "anchor"))
 
     alone = sized.filter("kinds = 1 and often").select("content", F.lit(0).alias("lo"), F.col("size").alias("hi"))
@@ -211,8 +212,9 @@ def repeated_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     total = wanted.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.coalesce(F.max("bytes"), F.lit(0)).alias("most")).first()
     piece = F.struct("anchor", "content", "often", "at", "start", "size", (F.col("bytes") > dense).alias("hot"))
     lists = wanted.groupBy(F.col("key").alias("k"), F.col("doc").alias("d")).agg(F.collect_list(piece).alias("pieces"))
-    lists = small(materialize(lists), 60_000)
-    fetched = slim.join(lists, (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d")))
+    lists = materialize(lists)
+    sought = maybe_in(slim, "key", lists.select(F.col("k").alias("key")), "sought").filter("sought").drop("sought")
+    fetched = sought.join(lists, (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d")))
     fetched = fetched.select("data", F.explode("pieces").alias("p")).select(
         "p.anchor", "p.content", "p.often", "p.at", F.expr("substring(data, cast(p.start + 1 as int), p.size)").alias("data"), "p.hot"
     )
@@ -272,10 +274,13 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     place, so both lose their strings. An empty table gives none.
     """
     spans = materialize(repeated_spans(df, text, doc_id, length))
-    spans = small(spans.withColumnRenamed("key", "of"), 60_000)
     names = [c for c in df.columns if keep is None or c in keep]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text_key(text).alias("key"), utf8(f"`{text}`").alias("data"))
-    rows = rows.join(spans, rows["key"] == spans["of"], "left")
+    rows = maybe_in(rows, "key", spans.select("key"), "hit")
+    none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
+    untouched = rows.filter("not hit").select("row", "data", none)
+    hit = rows.filter("hit").join(spans.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left").select("row", "data", "spans")
+    rows = untouched.unionAll(hit)
 
     def compute():
         def one(data, found):
@@ -286,6 +291,6 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
         return lambda v: [list(c) for c in zip(*map(one, *v), strict=True)]
 
     results = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if kept_bytes else "")
-    out = with_results(rows.select("row", "data", "spans"), [F.col("data"), F.col("spans")], results, compute, keep=["row"])
+    out = with_results(rows, [F.col("data"), F.col("spans")], results, compute, keep=["row"])
     made = [f.split()[0] for f in results.split(", ")]
     return out.select(*[F.col(f"row.`{c}`") for c in names if c not in made], *made)
