@@ -92,7 +92,7 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(pairs):
+def plain_components(pairs, bits=3):
     """pairs: (id, fingerprint); fingerprint -> least id reachable."""
     fps = sorted({f for _, f in pairs})
     root = {f: f for f in fps}
@@ -104,7 +104,7 @@ def plain_components(pairs):
 
     for i, a in enumerate(fps):
         for b in fps[i + 1 :]:
-            if (a ^ b).bit_count() <= 3:
+            if (a ^ b).bit_count() <= bits:
                 root[find(a)] = find(b)
     least = {}
     for i, f in pairs:
@@ -124,8 +124,8 @@ def test_simhash_classes(table, request):
         assert r.component_id == want[r.fp % 2**64]
 
 
-@pytest.mark.parametrize("dense,block", [(48, 2048), (4, 8), (1, 3)])
-def test_links_with_dense_keys(spark, dense, block):
+@pytest.mark.parametrize("dense,block,bits", [(48, 2048, 3), (4, 8, 3), (1, 3, 3), (48, 2048, 5), (4, 8, 1)])
+def test_links_with_dense_keys(spark, dense, block, bits):
     rng = np.random.default_rng(3)
     fps = set(rng.integers(-(2**63), 2**63, 40, np.int64).tolist())
     for base in list(fps)[:6]:
@@ -135,10 +135,10 @@ def test_links_with_dense_keys(spark, dense, block):
                 x ^= 1 << int(b)
             fps.add(x - 2**64 if x >= 2**63 else x)
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    found = simhash.links(df, dense=dense, block=block).collect()
-    assert all(((r.a ^ r.b) % 2**64).bit_count() <= 3 and r.a < r.b for r in found)
-    roots = {r.node: r.root for r in simhash.components(simhash.links(df, dense=dense, block=block)).collect()}
-    want = plain_components([(f, f % 2**64) for f in fps])
+    found = simhash.links(df, bits, dense, block).collect()
+    assert all(((r.a ^ r.b) % 2**64).bit_count() <= bits and r.a < r.b for r in found)
+    roots = {r.node: r.root for r in simhash.components(simhash.links(df, bits, dense, block)).collect()}
+    want = plain_components([(f, f % 2**64) for f in fps], bits)
     groups = lambda name: sorted(sorted(g) for g in _inverse(name).values())
     assert groups({f: roots.get(f, f) for f in fps}) == groups({f: want[f % 2**64] for f in fps})
 
@@ -159,7 +159,7 @@ def test_components_of_a_long_path(spark):
 
 
 def test_one_of_each(awkward, empty):
-    out = simhash.one_of_each(awkward, words_each=3)
+    out = simhash.one_of_each(awkward, words_each=3, bits=3)
     assert out.columns == awkward.columns
     pairs = [(r.doc_id, plain_fingerprint(r.text)) for r in awkward.collect()]
     want = plain_components(pairs)
