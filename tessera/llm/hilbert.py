@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import fresh, materialize, small
+from .common import materialize, small
 
 
 def curve_index(points: np.ndarray, bits: int) -> np.ndarray:
