@@ -48,9 +48,14 @@ def pruned(features: DataFrame, frequency: DataFrame, ceiling: float = CEILING)
     return features.join(retrievable(frequency, ceiling).select("feature_id", "df", "ic"), "feature_id")
 
 
-def axis_scores(index: DataFrame) -> DataFrame:
-    """(l, r, axis, ic, shared): the summed information of what two entities share, by the left one's axis."""
-    a, b = index.alias("a"), index.select("entity_id", "feature_id").alias("b")
+def axis_scores(index: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """(l, r, axis, ic, shared): the summed information of what two entities share, by the left one's axis.
+
+    anchors (entity_id): the left entities, all by default. A feature meets at most ceiling * N times as many rows as it
+    has on the left, so a few anchors cost in proportion to the index, and all of them more than that.
+    """
+    left = index if anchors is None else index.join(anchors.select("entity_id"), "entity_id", "left_semi")
+    a, b = left.alias("a"), index.select("entity_id", "feature_id").alias("b")
     met = a.join(b, (F.col("a.feature_id") == F.col("b.feature_id")) & (F.col("a.entity_id") != F.col("b.entity_id")))
     return met.groupBy(F.col("a.entity_id").alias("l"), F.col("b.entity_id").alias("r"), F.col("a.axis").alias("axis")).agg(
         F.sum("a.ic").cast(IC).alias("ic"), F.count("*").alias("shared")

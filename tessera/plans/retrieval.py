@@ -46,6 +46,21 @@ def candidate_topk(spark, d):
     return best.select("l", "r", "axes", F.col("total").cast("double").alias("total"), "rank")
 
 
+@query(
+    "candidates_of_one",
+    f"""with {DF}, q as (select max(entity_id) l from ({ENTITIES}) e),
+    ax as (select a.entity_id l, b.entity_id r, a.axis, sum(a.ic) ic from ix a join q on a.entity_id = q.l join ix b on a.feature_id = b.feature_id and a.entity_id <> b.entity_id group by all),
+    c as (select l, r, count(*) axes, sum(ic) total from ax group by l, r)
+    select * from (select l, r, axes, cast(total as double) total, row_number() over (order by axes desc, total desc, r) rank from c) x where rank <= 25""",
+)
+def candidates_of_one(spark, d):
+    """The neighbours of the newest entity."""
+    features, entities = bind(spark, d, FEATURES).persist(), bind(spark, d, ENTITIES)
+    index = retrieval.pruned(features, retrieval.document_frequency(features, entities))
+    best = retrieval.candidates(retrieval.axis_scores(index, entities.agg(F.max("entity_id").alias("entity_id"))))
+    return best.select("l", "r", "axes", F.col("total").cast("double").alias("total"), "rank")
+
+
 @query("min_methods_filter", f"with {top(30, 2)} select l, r, axes, cast(total as double) total, rank from top")
 def min_methods_filter(spark, d):
     best = retrieval.candidates(retrieval.axis_scores(index_of(spark, d)), 30, 2)
