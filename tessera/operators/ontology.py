@@ -71,11 +71,16 @@ def best_match_average(pairs: DataFrame, annotations: DataFrame, similarity: Dat
     left, right = annotations.select(F.col("entity_id").alias("l"), F.col("term_id").alias("a")), annotations.select(F.col("entity_id").alias("r"), F.col("term_id").alias("b"))
     met = pairs.select("l", "r").join(left, "l").join(right, "r").join(similarity.select("a", "b", "ic"), ["a", "b"])
 
-    def one_way(term: str, name: str) -> DataFrame:
-        return met.groupBy("l", "r", term).agg(F.max("ic").alias("best")).groupBy("l", "r").agg(F.avg("best").alias(name))
+    # sums of whole millionths, so that their order does not matter and one division rounds
+    units = F.round(F.col("ic") * 1_000_000).cast("long")
 
-    both = one_way("a", "x").join(one_way("b", "y"), ["l", "r"])
-    return pairs.select("l", "r").join(both, ["l", "r"], "left").select("l", "r", F.round(F.coalesce((F.col("x") + F.col("y")) / 2, F.lit(0.0)), 9).alias("bma"))
+    def one_way(term: str, total: str, n: str) -> DataFrame:
+        best = met.groupBy("l", "r", term).agg(F.max(units).alias("best"))
+        return best.groupBy("l", "r").agg(F.sum("best").alias(total), F.count("*").alias(n))
+
+    both = one_way("a", "x", "nx").join(one_way("b", "y", "ny"), ["l", "r"])
+    mean = (F.col("x") * F.col("ny") + F.col("y") * F.col("nx")).cast("double") / (2_000_000 * F.col("nx") * F.col("ny"))
+    return pairs.select("l", "r").join(both, ["l", "r"], "left").select("l", "r", F.coalesce(mean, F.lit(0.0)).alias("bma"))
 
 
 def partition_terms(pairs: DataFrame, annotations: DataFrame, information: DataFrame, similarity: DataFrame, related: int = 10) -> DataFrame:

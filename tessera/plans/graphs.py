@@ -51,8 +51,8 @@ BMA = f"""ps as ({PAIRS}), met as (select l, r, x.term_id a, y.term_id b, coales
 
 @query(
     "best_match_average",
-    f"""with recursive {SIMILAR}, {BMA}, x as (select l, r, avg(m) v from (select l, r, a, max(ic) m from met group by all) z group by l, r), y as (select l, r, avg(m) v from (select l, r, b, max(ic) m from met group by all) z group by l, r)
-    select l, r, round(coalesce((x.v + y.v) / 2, 0), 9) bma from ps left join x using (l, r) left join y using (l, r)""",
+    f"""with recursive {SIMILAR}, {BMA}, u as (select l, r, a, b, cast(round(ic * 1000000) as bigint) ic from met), x as (select l, r, sum(m) s, count(*) n from (select l, r, a, max(ic) m from u group by all) z group by l, r), y as (select l, r, sum(m) s, count(*) n from (select l, r, b, max(ic) m from u group by all) z group by l, r)
+    select l, r, coalesce((x.s * y.n + y.s * x.n)::double / (2000000 * x.n * y.n), 0) bma from ps left join x using (l, r) left join y using (l, r)""",
 )
 def best_match_average(spark, d):
     _, closed, annotations, information = tables(spark, d)
