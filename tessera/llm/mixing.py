@@ -84,7 +84,7 @@ def _reversed(x: Column, bits: Column) -> Column:
     return F.conv(F.reverse(F.lpad(F.bin(x), bits, F.lit("0"))), 2, 10).cast("long")
 
 
-def schedule(targets: DataFrame, block_words: int, chunk: int = 1 << 16) -> DataFrame:
+def schedule(targets: DataFrame, block_words: int, chunk: int = 1 << 12) -> DataFrame:
     """Slots of the mix: (source, source_size, rank, slot, from, to), [from, to) in the source's endless stream.
 
     A source has as many slots as its target has blocks, the last one shorter.
@@ -97,7 +97,9 @@ def schedule(targets: DataFrame, block_words: int, chunk: int = 1 << 16) -> Data
     whole = whole.withColumn("bits", F.when(F.col("all") <= 1, 0).otherwise(F.length(F.bin(F.col("all") - 1))).cast("int"))
     chunks = whole.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("slots") - 1) / F.lit(chunk)).cast("long"))))
     begin = F.col("c") * chunk
-    points = chunks.repartition(F.col("source"), F.col("c")).withColumn(
+    # a number of partitions of its own, as few rows that become many must not be put together
+    n_parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = chunks.repartition(n_parts, F.col("source"), F.col("c")).withColumn(
         "i", F.explode(F.sequence(begin, F.least(begin + chunk, F.col("slots")) - 1))
     )
     bits, first = F.col("bits"), F.col("first")
@@ -143,7 +145,8 @@ def mixture(
     shift = F.col("lap") * F.col("source_size")
     laps = laps.withColumn("lo", F.greatest(F.col("from") - shift, F.lit(0))).withColumn("hi", F.least(F.col("to") - shift, F.col("source_size")))
     laps = laps.select(F.col("source").alias("of"), "slot", "lap", "lo", "hi", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi") - 1))).alias("b"))
-    near = pieces.join(laps, (F.col("block") == F.col("b")) & F.col("source").eqNullSafe(F.col("of")))
+    # both sides grow with the documents, whatever is estimated for the exploded ranges
+    near = pieces.join(laps.hint("merge"), (F.col("block") == F.col("b")) & F.col("source").eqNullSafe(F.col("of")))
     b0 = F.col("block") * block_words
     lo = F.greatest(F.col("at"), F.col("lo"), b0)
     hi = F.least(F.col("at") + F.col("size"), F.col("hi"), b0 + block_words)
