@@ -60,7 +60,7 @@ class Merges:
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= 500_000:
+            if len(self.fits) >= 200_000:
                 self.fits.clear()
             known = self.fits[key] = self._compatible(left, right)
         return known
@@ -130,7 +130,7 @@ class Cache(dict):
 class Vocabulary:
     """A byte-level vocabulary read from a tokenizer file, with caches of the pieces, and of the runs between blanks, met."""
 
-    def __init__(self, path: str, cached_pieces: int = 600_000, cached_runs: int = 300_000):
+    def __init__(self, path: str, cached_pieces: int = 400_000, cached_runs: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()
@@ -221,7 +221,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: list[str]
             numbers = np.frombuffer(packed, "<u4")
             back = vocab.decode(numbers).encode()
             made = len(numbers), hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest()
-            return (*made, numbers.tolist()) if ids else made
+            return (*made, numbers.astype(np.int32)) if ids else made
 
         return lambda v: [list(c) for c in zip(*map(one, v[0]), strict=True)]
 

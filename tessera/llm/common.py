@@ -75,7 +75,7 @@ def with_results(
     results: str,
     compute: Callable[[], Callable[[list[list]], list[list]]],
     keep: list[str] | None = None,
-    batch_bytes: int = 8 << 20,
+    batch_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Append the columns of the DDL string `results`, computed in Arrow batches from the `inputs` columns.
 
