@@ -22,19 +22,25 @@ from .common import materialize, utf8, with_results
 _TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: bytes, words_each: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of the lower-cased (A-Z) words' shingles; 0 without words."""
+def shingle_hashes(text: bytes, words_each: int, seed: int = 42) -> list[int]:
+    """Hashes of the lower-cased (A-Z) words' shingles in their order; all words are one if there are fewer, none without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return []
     digest = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
     if len(words) <= words_each:
-        hashes = [digest(b" ".join(words), seed)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = [0, *(ends[: len(words) - words_each] + 1).tolist()]
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[words_each - 1 :].tolist(), strict=True)]
+        return [digest(joined, seed)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[: len(words) - words_each] + 1).tolist()]
+    return [digest(joined[a:b], seed) for a, b in zip(starts, ends[words_each - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes, words_each: int = 3, seed: int = 42) -> int:
+    """Signed 64-bit SimHash of the lower-cased (A-Z) words' shingles; 0 without words."""
+    hashes = shingle_hashes(text, words_each, seed)
+    if not hashes:
+        return 0
     columns = np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _TABLE for i in range(8)])
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
@@ -178,16 +184,24 @@ def simhash_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each: int = 5, bits: int = 5) -> DataFrame:
-    """One row of each class of near-duplicates, the one with the smallest id (null ids last), with its own columns.
+    """One row of each class of fingerprints linked at up to `bits` bits, the one with the smallest id (null ids last), with its own columns.
 
-    Texts with a Jaccard similarity of 0.8 or more over five words mostly differ in 5 bits or fewer, less similar ones in more.
-    Of rows with equal id and text one stays. The texts are shuffled once, on the id and the text's hash, to meet the verdicts.
+    The texts' similarity is not verified; `similar.one_of_similar` does that. Of rows with equal id and text one stays.
     """
     content = F.xxhash64(F.col(f"`{text}`").cast("string"))
     found = simhash_classes(df, text, doc_id, words_each, bits, (content,))
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "extra0")).alias("best"))
-    keep = materialize(best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.extra0").alias("keep_text")))
+    return keep_best(df, found.select("root", "doc_id", F.col("extra0").alias("content")), text, doc_id)
+
+
+def keep_best(df: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The row with the smallest id (null ids last) of each class; found has (root, doc_id, content), content the text's hash.
+
+    Of rows with equal id and text one stays. The texts are shuffled once, on the id and the text's hash, to meet the verdicts.
+    """
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")).alias("best"))
+    keep = materialize(best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.content").alias("keep_text")))
     names = df.columns
+    content = F.xxhash64(F.col(f"`{text}`").cast("string"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{doc_id}`").alias("d"), content.alias("t"))
     met = rows.join(keep, F.col("t").eqNullSafe(F.col("keep_text")) & F.col("d").eqNullSafe(F.col("keep_id")), "left_semi")
     nth = F.row_number().over(Window.partitionBy("d", "t").orderBy("t"))

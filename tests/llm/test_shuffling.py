@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from pyspark.sql import functions as F
-from tessera.llm import hilbert, mixing, secrets_scan, simhash, suffix_dedup
+from tessera.llm import hilbert, mixing, secrets_scan, similar, simhash, suffix_dedup
 from tessera.llm.suffix_array import permuted_prefixes, repeated_starts, suffix_array
 
 
@@ -170,6 +171,65 @@ def test_one_of_each(awkward, empty):
     assert simhash.one_of_each(empty).count() == 0 and simhash.simhash_classes(empty).count() == 0
 
 
+def plain_shingles(text, words_each=5):
+    words = [w.encode().lower() for w in plain_words(text)]
+    return frozenset(tuple(words[i : i + words_each]) for i in range(max(1, len(words) - words_each + 1))) if words else frozenset()
+
+
+def similar_pairs(sets, like=0.8):
+    """Pairs of distinct sets, by all pairs that have a shingle in common."""
+    holds = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holds[x].append(i)
+    common = Counter((i, j) for at in holds.values() for n, i in enumerate(at) for j in at[n + 1 :])
+    return [(i, j) for (i, j), n in common.items() if n / (len(sets[i]) + len(sets[j]) - n) >= like]
+
+
+@pytest.mark.parametrize("table", ["awkward", "docs"])
+def test_one_of_similar(table, request, spark, sf, empty):
+    """The pipeline's stage keeps one document of each component of all pairs from 0.8 on, by brute force."""
+    df = request.getfixturevalue(table)
+    rows = [(r.doc_id, plain_shingles(r.text)) for r in df.collect()]
+    sets = list({s for _, s in rows})
+    root = {s: s for s in sets}
+
+    def find(s):
+        while root[s] != s:
+            s = root[s]
+        return s
+
+    pairs = similar_pairs(sets)
+    assert pairs
+    for i, j in pairs:
+        root[find(sets[i])] = find(sets[j])
+    least = {}
+    for i, s in rows:
+        least[find(s)] = min((i is None, i), least.get(find(s), (True, None)), key=lambda x: (x[0], x[1] or 0))
+    out = corpus_pipeline.near_duplicates(spark, df, sf)
+    assert out.columns == df.columns
+    assert Counter(r.doc_id for r in out.collect()) == Counter(i for _, i in least.values())
+    assert similar.one_of_similar(empty).count() == 0
+
+
+@pytest.mark.parametrize("dense,block", [(48, 1 << 20), (2, 1 << 20), (1, 1000)])
+def test_similar_links_are_verified(spark, dense, block):
+    """All sets meet under one key: no link below 0.8, and the components of all links from 0.8 on."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for base in range(6):
+        words = (base * 10_000 + np.arange(200)).tolist()
+        for k in range(6):
+            sets.append(frozenset(words[: 200 - 12 * k] + rng.integers(10**6, 10**9, 6 * k).tolist()))
+    met = spark.createDataFrame([(i, len(s), 0, 5, len(sets)) for i, s in enumerate(sets)], "set_id long, size long, band int, key long, n long")
+    shingles = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "set_id long, shingles array<bigint>")
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in similar.similar_links(met, shingles, 0.8, dense, block).collect()}
+    want = set(similar_pairs(sets))
+    assert found <= want and len(want) < 6 * 15
+    component = lambda links: {r.node: r.root for r in simhash.components(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
+    assert component(found) == component(want)
+
+
 # secrets
 
 KINDS = {
