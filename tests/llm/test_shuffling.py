@@ -1,6 +1,7 @@
 """Operators that shuffle, against brute force on small tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -212,6 +213,26 @@ def test_one_of_similar(table, request, spark, sf, empty):
     assert similar.one_of_similar(empty).count() == 0
 
 
+def test_stage_keeps_less_similar_texts(spark, sf):
+    """Pairs of texts below 0.8 whose fingerprints are within 5 bits."""
+    rng, rows = random.Random(6), []
+    for _ in range(3000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        other = list(words)
+        for i in rng.sample(range(200), 6):
+            other[i] += "x"
+        a, b = " ".join(words), " ".join(other)
+        x, y = plain_shingles(a), plain_shingles(b)
+        near = (simhash.fingerprint(a.encode(), 5) ^ simhash.fingerprint(b.encode(), 5)) % 2**64
+        if near.bit_count() <= 5 and len(x & y) / len(x | y) < 0.8:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+        if len(rows) == 10:
+            break
+    assert len(rows) == 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, df, sf).count() == 10
+
+
 @pytest.mark.parametrize("dense,block", [(48, 1 << 20), (2, 1 << 20), (1, 1000)])
 def test_similar_links_are_verified(spark, dense, block):
     """All sets meet under one key: no link below 0.8, and the components of all links from 0.8 on."""
