@@ -120,9 +120,9 @@ def mechanism_edges(spark, d):
     return edges_of(spark, d).select("a", "b", F.col("weight").cast("double").alias("weight"), "axes")
 
 
-#: Edges that few share: a supplier and the parts that it alone delivers most often keep components apart.
-SPARSE = """select distinct a.l_suppkey a, b.l_suppkey b, cast(1 as double) weight from {lineitem} a join {lineitem} b
-  on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey and a.l_quantity = 50 and b.l_quantity = 50"""
+#: Customers of one nation with orders on one day: sparse by itself, and nations are never joined.
+SPARSE = """select distinct x.o_custkey a, y.o_custkey b, cast(1 as double) weight from {orders} x join {orders} y on x.o_orderdate = y.o_orderdate and x.o_custkey < y.o_custkey
+  join {customer} c on c.c_custkey = x.o_custkey join {customer} e on e.c_custkey = y.o_custkey and e.c_nationkey = c.c_nationkey"""
 
 
 @query(

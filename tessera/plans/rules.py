@@ -401,7 +401,7 @@ def entity_resolution(spark, d):
     return action.resolve_identities(people)
 
 
-TEAMS = "select distinct l_orderkey team, concat('c', cast(l_suppkey as string)) capability from {lineitem} where l_quantity > 49"
+TEAMS = "select distinct l_orderkey team, concat('c', cast(l_suppkey as string)) capability from {lineitem}"
 
 
 @query(

@@ -45,3 +45,34 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["l", "r", "axes", "total", "rank"] and df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_coordination_pairs_of_all_lines(spark, sf, duck):
+    """Against all pairs of the orders of all lines by brute force, not against the query's own relation."""
+    has = {}
+    for team, supplier in duck.sql("select l_orderkey, l_suppkey from lineitem").fetchall():
+        has.setdefault(team, set()).add(f"c{supplier}")
+    teams = sorted(t for t in has if len(has[t]) > 1)
+    want = {(a, b): ",".join(sorted(both)) for i, a in enumerate(teams) for b in teams[i + 1 :] if (both := has[a] & has[b])}
+    got = bindings.QUERIES["coordination_pairs"](spark, sf).toPandas()
+    assert len(got) == len(want) and dict(zip(zip(got["a"], got["b"]), got["shared"])) == want
+
+
+def test_connected_components_of_all_orders(spark, sf, duck):
+    rows = duck.sql("select o_custkey, c_nationkey, o_orderdate from orders join customer on c_custkey = o_custkey").fetchall()
+    met, root = {}, {}
+    for person, *key in rows:
+        met.setdefault(tuple(key), set()).add(person)
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for people in met.values():
+        if len(people) > 1:
+            for x in people:
+                a, b = sorted((find(x), find(min(people))))
+                root[b] = a
+    got = {r.node: r.component for r in bindings.QUERIES["connected_components"](spark, sf).collect()}
+    assert got == {x: find(x) for x in root} and len(set(got.values())) > 1
