@@ -2,9 +2,11 @@
 
 The merges of a word-based vocabulary are compiled, state by state as texts ask for them, into a
 deterministic transducer: its states are what a prefix of a word leaves open, and each transition has
-the number of tokens that it adds. A text is cut into chunks; a chunk's effect on any state of the
-machine is kept as a map (the letters up to its first blank, the count after it, the state at its
-end). Such maps compose associatively, so a text's count is the last of their parallel prefix scan.
+the number of tokens that it adds. It counts one word at a time from its start state. A text is cut
+into chunks; of a chunk are kept the letters up to its first blank, the count up to its last blank and the
+letters after it. Words end at blanks, so no map over the machine's states is needed: chunks are
+rejoined at blanks, the run between them is counted whole. That composes associatively, and a text's
+count is the last of their prefix scan by doubling.
 """
 
 from __future__ import annotations
@@ -93,8 +95,8 @@ class WordMachine:
 
 @dataclass(frozen=True)
 class ChunkMap:
-    """What a chunk does to the machine: `head` goes on from the state before; if it has a blank, then `count` tokens
-    lie between its first and last blank, and `tail` is what the state at its end stands for (the letters since)."""
+    """What a chunk adds: `head`, the letters that go on from the chunk before; if it has a blank, then `count` tokens
+    lie between its first and last blank, and `tail` has the letters since the last."""
 
     head: str
     count: int = 0
