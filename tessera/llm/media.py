@@ -28,10 +28,9 @@ def chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def png_encode(pixels: np.ndarray, filter_type: int = 0, level: int = 3, piece: int = 1 << 20) -> bytes:
-    """A grey 8-bit image (rows x columns) as PNG; filter_type 0 (none), 1 (left) or 2 (above)."""
-    height, width = pixels.shape
-    rows = np.empty((height, width + 1), np.uint8)
+def filter_lines(pixels: np.ndarray, filter_type: int) -> np.ndarray:
+    """Scan lines with their filter type before each."""
+    rows = np.empty((pixels.shape[0], pixels.shape[1] + 1), np.uint8)
     rows[:, 0] = filter_type
     rows[:, 1:] = pixels
     if filter_type == 1:
@@ -40,6 +39,19 @@ def png_encode(pixels: np.ndarray, filter_type: int = 0, level: int = 3, piece:
         rows[1:, 1:] -= pixels[:-1]
     elif filter_type:
         raise ValueError(f"can't write filter type {filter_type}")
+    return rows
+
+
+def png_encode(pixels: np.ndarray, filter_type: int | None = 0, level: int = 3, piece: int = 1 << 20) -> bytes:
+    """A grey 8-bit image (rows x columns) as PNG; filter_type 0 (none), 1 (left) or 2 (above), or None for the one of these
+    whose differences, as signed bytes, have the least absolute sum in each line (the first of equal ones)."""
+    height, width = pixels.shape
+    if filter_type is None:
+        filtered = [filter_lines(pixels, k) for k in (0, 1, 2)]
+        sums = [np.minimum(x[:, 1:], -x[:, 1:]).sum(axis=1, dtype=np.int64) for x in filtered]
+        rows = np.stack(filtered)[np.argmin(sums, axis=0), np.arange(height)]
+    else:
+        rows = filter_lines(pixels, filter_type)
     packed = zlib.compress(rows.tobytes(), level)
     head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
     body = b"".join(chunk(b"IDAT", packed[i : i + piece]) for i in range(0, len(packed), piece))
@@ -160,14 +172,14 @@ def pad(payload: bytes, unit: int = UNIT) -> bytes:
 
 
 def store_bytes(df: DataFrame, column: str = "text", to: str = "media", unit: int = UNIT, keep: list[str] | None = None) -> DataFrame:
-    """Append n_bytes and the binary column `to`: the column's UTF-8 bytes as a PNG `unit` samples wide.
+    """Append n_bytes and the binary column `to`: the column's UTF-8 bytes as a PNG `unit` samples wide, a filter chosen for each line.
 
     Null is empty; an empty value becomes one line of 255. Equal values give equal files. Rows stay one to one.
     """
 
     def compute():
         def run(v):
-            return [[len(t) for t in v[0]], [png_encode(np.frombuffer(pad(t, unit), np.uint8).reshape(-1, unit)) for t in v[0]]]
+            return [[len(t) for t in v[0]], [png_encode(np.frombuffer(pad(t, unit), np.uint8).reshape(-1, unit), None) for t in v[0]]]
 
         return run
 
