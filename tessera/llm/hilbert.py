@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -77,6 +77,7 @@ def hilbert_shards(
     categories: tuple[str, ...] = ("source", "lang"),
     bits: int = 10,
     partitions: int | None = None,
+    carry: bool = False,
 ) -> DataFrame:
     """doc_id, size, text_crc32, the dimensions, curve, shard and slot of each row, under the law of rows.
 
@@ -86,6 +87,8 @@ def hilbert_shards(
     bytes, plus 1) and checksum 0; null categories and ids are values that sort first. Equal rows may take each
     other's place, which no result shows. Fewer rows than shards leave shards empty.
 
+    carry: hand on the categories (c0, c1..) and the row itself too, as a struct `row`.
+
     Places come from one range partitioning, whose sampled bounds follow the data, and the row counts of its parts.
     """
     n_parts = partitions or max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -94,7 +97,9 @@ def hilbert_shards(
         (F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).alias("text_crc32"),
         *[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(categories)],
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
     )
+    handed = [*[f"c{i}" for i in range(len(categories))], "row"] if carry else []
     table = materialize(table)
     ends = table.agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     for i in range(len(categories)):
@@ -110,7 +115,7 @@ def hilbert_shards(
     order = [F.col(c).asc_nulls_first() for c in ("curve", "spread", "doc_id", "size", "text_crc32")]
     sorted_ = table.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
     # the number's high bits are the part, its low 33 bits the place in it; the checkpoint fixes both
-    sorted_ = materialize(sorted_.select("doc_id", "size", "text_crc32", *dimensions, "curve", F.monotonically_increasing_id().alias("m")))
+    sorted_ = materialize(sorted_.select("doc_id", "size", "text_crc32", *dimensions, "curve", *handed, F.monotonically_increasing_id().alias("m")))
     part = F.call_function("shiftright", F.col("m"), F.lit(33))
     counts = sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -123,4 +128,34 @@ def hilbert_shards(
     shard = F.expr(f"(place * {shards}L) div total")
     placed = placed.withColumn("shard", shard.cast("int"))
     begin = F.expr(f"(shard * total + {shards - 1}L) div {shards}L")
-    return placed.withColumn("slot", F.col("place") - begin).select("doc_id", "size", "text_crc32", *dimensions, "curve", "shard", "slot")
+    return placed.withColumn("slot", F.col("place") - begin).select("doc_id", "size", "text_crc32", *dimensions, "curve", "shard", "slot", *handed)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16, text: str = "text", doc_id: str = "doc_id", categories: tuple[str, ...] = ("source", "lang")) -> None:
+    """Write the rows, with all their columns, to one set of Parquet files a shard, and to `path`/ranges each shard's least
+    and greatest value (nulls aside) of every dimension: doc_id, size and the categories by place (c0, c1..)."""
+    placed = hilbert_shards(docs, shards, text, doc_id, categories, carry=True)
+    names = ["doc_id", "size", *[f"c{i}" for i in range(len(categories))]]
+    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    files = placed.select("shard", "slot", *names, "row").repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot")
+    files.write.partitionBy("shard").parquet(f"{path}/rows")
+    docs.sparkSession.createDataFrame([], files.schema).write.parquet(f"{path}/columns")  # a table without rows has no files
+    written = docs.sparkSession.read.schema(files.schema).parquet(f"{path}/rows")
+    ends = [f(n).alias(f"{end}_{n}") for n in names for end, f in (("least", F.min), ("most", F.max))]
+    written.groupBy("shard").agg(F.count("*").alias("n"), *ends).coalesce(1).write.parquet(f"{path}/ranges")
+
+
+def read_shards(spark: SparkSession, path: str, **within: tuple) -> DataFrame:
+    """The rows of write_shards() whose dimensions lie `within` (least, greatest), each by its name there; null is in no range.
+
+    Only files of shards whose ranges meet all of these are read.
+    """
+    ranges = spark.read.parquet(f"{path}/ranges")
+    for name, (low, high) in within.items():
+        ranges = ranges.filter((F.col(f"most_{name}") >= F.lit(low)) & (F.col(f"least_{name}") <= F.lit(high)))
+    met = [r.shard for r in ranges.select("shard").collect()]  # at most one each shard
+    columns = spark.read.parquet(f"{path}/columns")
+    rows = spark.read.schema(columns.schema).option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/shard={s}" for s in met]) if met else columns
+    for name, (low, high) in within.items():
+        rows = rows.filter(F.col(name).between(F.lit(low), F.lit(high)))
+    return rows.select("row.*")

@@ -378,3 +378,27 @@ def test_shards(table, request):
 
 def test_shards_of_an_empty_table(empty):
     assert hilbert.hilbert_shards(empty).count() == 0
+
+
+@pytest.mark.parametrize("table", ["awkward", "docs"])
+def test_written_shards_are_whole_and_skipped(table, request, spark, tmp_path, empty):
+    df = request.getfixturevalue(table)
+    path = str(tmp_path / "shards")
+    hilbert.write_shards(df, path)
+    plain = lambda rows: Counter(tuple(r) for r in rows)
+    back = hilbert.read_shards(spark, path)
+    assert back.columns == df.columns and plain(back.collect()) == plain(df.collect())
+    shard_of = lambda frame: {m[1] for f in frame.inputFiles() if (m := re.search(r"shard=(\d+)", f))}
+    every = shard_of(back)
+    assert len(every) == 16
+    size = lambda r: len((r.text or "").encode()) + 1
+    cases = [({"doc_id": (0, 9)}, lambda r: r.doc_id is not None and r.doc_id <= 9), ({"size": (10_000, 10**9)}, lambda r: size(r) >= 10_000), ({"c0": ("a", "b"), "c1": ("de", "en")}, lambda r: r.source is not None and "a" <= r.source <= "b" and r.lang is not None and "de" <= r.lang <= "en")]
+    skipped = []
+    for within, keeps in cases:
+        found = hilbert.read_shards(spark, path, **within)
+        assert plain(found.collect()) == plain(r for r in df.collect() if keeps(r))
+        skipped.append(len(every - shard_of(found)))
+    assert skipped[0] and skipped[1]
+    assert hilbert.read_shards(spark, path, doc_id=(10**9, 10**9)).count() == 0
+    hilbert.write_shards(empty, path + "-empty")
+    assert hilbert.read_shards(spark, path + "-empty").count() == 0
