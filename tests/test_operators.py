@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import uuid
 
 import pytest
@@ -159,11 +160,14 @@ def test_communities(spark):
     cliques = [(a, b, 1.0) for base in (0, 10, 20) for a in range(base, base + 5) for b in range(a + 1, base + 5)] + [(4, 10, 1.0), (14, 20, 1.0)]
     edges = spark.createDataFrame(cliques, "a long, b long, weight double")
     assert {r.component for r in graph.connected_components(edges).collect()} == {0}
-    labels = graph.local_moving(edges, resolution=1.0)
-    groups = {}
-    for r in labels.collect():
-        groups.setdefault(r.label, set()).add(r.node)
-    assert sorted(map(sorted, groups.values())) == [list(range(b, b + 5)) for b in (0, 10, 20)]
+    for method in (graph.local_moving, graph.greedy_modularity, graph.louvain):
+        labels = method(edges, resolution=1.0)
+        groups = {}
+        for r in labels.collect():
+            groups.setdefault(r.label, set()).add(r.node)
+        assert sorted(map(sorted, groups.values())) == [list(range(b, b + 5)) for b in (0, 10, 20)]
+    none = graph.louvain(edges.limit(0))
+    assert none.count() == graph.greedy_modularity(edges.limit(0)).count() == 0
     q = graph.modularity(edges, labels).first()
     m, k = len(cliques), [21, 22, 21]
     assert q.q == pytest.approx(sum(10 / m - (x / (2 * m)) ** 2 for x in k), abs=1e-6) and q.communities == 3
@@ -175,7 +179,31 @@ def test_reach_and_chains_with_cycles(spark):
     edges = spark.createDataFrame([("g", 1, 2), ("g", 2, 3), ("g", 3, 1), ("g", 3, 4), ("h", 1, 2)], "graph string, source long, target long")
     starts = spark.createDataFrame([("g", 1), ("g", 4), ("h", 1)], "graph string, node long")
     assert {(r.graph, r.node): r.reach for r in graph.downstream_reach(edges, starts).collect()} == {("g", 1): 4, ("g", 4): 1, ("h", 1): 2}
-    assert {r.graph: r.longest for r in graph.longest_chains(edges).collect()} == {"g": 3, "h": 1}
+    edges = edges.union(spark.createDataFrame([("l", 1, 1)], edges.schema))
+    assert {r.graph: r.longest for r in graph.longest_chains(edges).collect()} == {"g": 3, "h": 1, "l": 0}
+
+
+def plain_chain(pairs):
+    def depth(at, seen):
+        return max((1 + depth(t, seen | {t}) for s, t in pairs if s == at and t not in seen), default=0)
+
+    return max((depth(s, {s}) for s, _ in pairs), default=0)
+
+
+def test_chains_of_random_graphs_with_cycles(spark):
+    rng = random.Random(3)
+    graphs = {g: {(rng.randrange(6), rng.randrange(6)) for _ in range(rng.randint(1, 12))} for g in range(25)}
+    edges = spark.createDataFrame([(g, s, t) for g, pairs in graphs.items() for s, t in pairs], "graph long, source long, target long")
+    assert {r.graph: r.longest for r in graph.longest_chains(edges).collect()} == {g: plain_chain(pairs) for g, pairs in graphs.items()}
+    with pytest.raises(Exception, match="reach one another"):
+        graph.longest_chains(edges, largest=2).collect()
+
+
+def test_long_chain(spark):
+    edges = spark.createDataFrame([("c", i, i + 1) for i in range(300)], "graph string, source long, target long")
+    starts = spark.createDataFrame([("c", 0), ("c", 299), ("c", 300)], "graph string, node long")
+    assert {r.node: r.reach for r in graph.downstream_reach(edges, starts).collect()} == {0: 301, 299: 2, 300: 1}
+    assert graph.longest_chains(edges).first().longest == 300
 
 
 DOCUMENT = """
@@ -212,6 +240,17 @@ def test_ingest(spark, tmp_path):
     assert got["pathophysiology[].evidence[].reference"] == "UNDECLARED"
 
 
+def test_walk_has_no_depth_limit(spark):
+    body = '{"evidence": [{"reference": "PMID:9", "n": 1}]}'
+    for _ in range(100):
+        body = '{"a": [' + body + "]}"
+    docs = spark.createDataFrame([("d", body), ("none", None)], "doc string, json string").select("doc", F.parse_json("json").alias("body"))
+    paths = {r.path: r.n for r in ingest.observed_paths(docs).collect()}
+    assert len(paths) == 204 and paths[".".join(["a[]"] * 100) + ".evidence[].reference"] == 1
+    item = ingest.evidence_items(docs).first()
+    assert (item.doc, item.path, item.reference, item.snippet) == ("d", ".".join(["a[]"] * 100) + ".evidence[]", "PMID:9", None)
+
+
 def test_responses(spark):
     def body(value):
         return spark.createDataFrame([("k", value if isinstance(value, str) else json.dumps(value))], "request_key string, body string")
