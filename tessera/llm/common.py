@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.checkpoints import shared_folder
+
 #: A word of the query contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point the context at the cluster's shared checkpoint folder; a folder of its own only where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that later jobs neither recompute it nor depend on one executor."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -35,14 +29,16 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def maybe_in(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, flag: str, most_bits: int = 30) -> DataFrame:
     """`df` with the boolean column `flag`: false only where `key` is surely not among the values of `keys`' column of that name.
 
-    One bit of 2^27 for each value, in 4096 bitmaps of 4 KB: at most 16 MB are broadcast, however many keys there are. With
-    very many of them more rows are let through, none is lost. It keeps long rows that a join would not match out of its shuffle.
+    A power of two of 8 to 16 bits for each value, 2^most_bits at most, in bitmaps of 4 KB: 128 MB are broadcast at most,
+    however many keys there are. Beyond 10^8 keys more rows are let through, none is lost. It keeps long rows that a join
+    would not match out of its shuffle. Counting runs `keys`, so it should be materialised.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(1 << 27))
-    bucket, bit = (place / (1 << 15)).cast("int"), place % (1 << 15)
+    bits = max(15, min(most_bits, (8 * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    bucket, bit = F.call_function("shiftright", place, F.lit(15)).cast("int"), place % (1 << 15)
     maps = keys.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
     met = df.withColumn("_of", bucket).withColumn("_bit", bit).join(F.broadcast(materialize(maps)), F.col("_of") == F.col("_bucket"), "left")
     byte = F.conv(F.hex(F.substring(F.col("_map"), (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -85,11 +81,12 @@ def with_results(
     """
     schema = T._parse_datatype_string(results)
     made = {f.name.lower() for f in schema.fields}
-    handed = [f for f in df.schema.fields if f.name.lower() not in made and (keep is None or f.name in keep)]
+    # by place, as names may differ in their case alone
+    places = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in made and (keep is None or f.name in keep)]
+    handed = [df.schema.fields[i] for i in places]
     n, m = len(handed), len(inputs)
-    if len({f.name.lower() for f in handed}) < n:
-        raise ValueError("the columns to hand on must have distinct names")
-    source = df.select(*[df[f"`{f.name}`"].alias(f"k{i}") for i, f in enumerate(handed)], *[c.alias(f"i{i}") for i, c in enumerate(inputs)])
+    whole = df.select("*", *inputs).toDF(*[f"c{i}" for i in range(len(df.columns))], *[f"i{i}" for i in range(m)])
+    source = whole.select(*[F.col(f"c{p}").alias(f"k{i}") for i, p in enumerate(places)], *[f"i{i}" for i in range(m)])
     out = T.StructType([T.StructField(f"k{i}", f.dataType) for i, f in enumerate(handed)] + list(schema.fields))
     from pyspark.sql.pandas.types import to_arrow_schema
 
