@@ -6,9 +6,10 @@ that its anchor's hash names. A run of strings with one anchor is a segment; equ
 number of its occurrences, and an anchor's only segment that occurs twice needs no sorting. Segments
 are cut to what they share with a neighbour in the order of what stands right, or left, of their
 anchor. Each shard builds the suffix array of its segments by induced sorting, and the permuted
-common prefixes tell which positions begin a string that occurs elsewhere. A shard reads its segments
-in blocks of whole anchors; an anchor with more than `dense` bytes of different segments goes through
-their single strings instead, counted by hash and spread over all tasks.
+common prefixes tell which positions begin a string that occurs elsewhere. A task reads its segments
+in blocks of whole shards. A shard of more than `dense` bytes is split: its strings are classed by where their anchor
+stands, and the bytes that all strings of a class have around it name finer shards, which are sorted as the others
+are, or split again into narrower classes; those of one place have one string each.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def shared_ends(parts: list[bytes]) -> list[int]:
 
 
 def shard_runs(batches: Iterator[pa.RecordBatch], length: int, block: int) -> Iterator[tuple[bytes, int, int]]:
-    """(content, lo, hi) of rows (anchor, content, often, at, data) that come ordered by anchor."""
+    """(content, lo, hi) of rows (shard, content, often, at, data) that come ordered by shard."""
     waiting: list[tuple[bytes, bytes, bool, int]] = []
     held = 0
 
@@ -140,14 +141,14 @@ def shard_runs(batches: Iterator[pa.RecordBatch], length: int, block: int) -> It
                 waiting.append((content, data[at - a : at + b], often, at - a))
                 held += a + b
 
-    anchor, group = None, {}
+    shard, group = None, {}
     for batch in batches:
-        for row_anchor, content, often, at, data in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-            if row_anchor != anchor:
+        for row_shard, content, often, at, data in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+            if row_shard != shard:
                 close(group)
                 if held >= block:
                     yield from flush()
-                anchor, group = row_anchor, {}
+                shard, group = row_shard, {}
             if content not in group:
                 group[content] = (often, at, data)
                 if often:
@@ -167,12 +168,73 @@ def _rows(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], man
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
 
-def repeated_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 400, block: int = 1 << 20, dense: int = 4 << 20) -> DataFrame:
+def class_widths(length: int, finer: int = 8) -> list[int]:
+    """Widths of the classes of anchors' places that shards are split by, the last one a single place."""
+    widths = [length - GRAM + 1]
+    while widths[-1] > 1:
+        widths.append(-(-widths[-1] // finer))
+    return widths[1:]
+
+
+def classes(shard: bytes, at: int, data: bytes, length: int, width: int) -> Iterator[tuple[int, bytes, int, bytes]]:
+    """(lo, finer shard, at, data) of a segment's parts: the strings whose anchor stands in one class of places, `width` wide.
+
+    All strings of a class have the bytes from the class's first place to `length` after its last one in common around the
+    anchor, if they are equal anywhere; those name the finer shard.
+    """
+    first = max(0, at - (len(data) - length))
+    for j in range(first // width, at // width + 1):
+        low, high = max(first, j * width), min(at, (j + 1) * width - 1)
+        core = data[at - j * width : at - (j + 1) * width + 1 + length]
+        finer = xxhash.xxh3_128_digest(b"%d:" % j + shard + core)
+        yield at - high, finer, high, data[at - high : at - low + length]
+
+
+def sorted_runs(rows: DataFrame, length: int, block: int, total: int) -> DataFrame:
+    """(content, lo, hi) of rows (shard, content, often, at, data) of shards that fit a task, `total` bytes in all."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 << 20)))
+    shards = rows.select("shard", "content", "often", "at", "data").repartition(parts, "shard").sortWithinPartitions("shard")
+    names, kinds = ["content", "lo", "hi"], [pa.binary(), pa.int32(), pa.int32()]
+    return shards.mapInArrow(lambda batches: _rows(shard_runs(batches, length, block), names, kinds), "content binary, lo int, hi int")
+
+
+def split_runs(rows: DataFrame, length: int, block: int, dense: int, widths: list[int]) -> DataFrame:
+    """(content, lo, hi) of rows (shard, content, often, at, data), one a content, of shards too large for a task."""
+    width, *narrower = widths
+    names = ["content", "lo", "shard", "part", "often", "at", "data"]
+    types = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.int32(), pa.binary()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple]:
+            for batch in batches:
+                for shard, content, often, at, data in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                    for lo, finer, place, part in classes(shard, at, data, length, width):
+                        yield content, lo, finer, xxhash.xxh3_128_digest(finer + part), often, place, part
+
+        yield from _rows(parts(), names, types)
+
+    source = rows.select("shard", "content", "often", "at", "data")
+    pieces = materialize(source.mapInArrow(cut, "content binary, lo int, shard binary, part binary, often boolean, at int, data binary"))
+    distinct = pieces.groupBy("shard", "part").agg((F.max("often") | (F.count("*") > 1)).alias("often"), F.min("at").alias("at"), F.min("data").alias("data"))
+    distinct = materialize(distinct.withColumnRenamed("part", "content"))
+    groups = distinct.groupBy("shard").agg(F.count("*").alias("kinds"), F.sum(F.octet_length("data")).alias("bytes"))
+    sized = materialize(distinct.join(groups, "shard"))
+    found = sized.filter("kinds = 1 and often").select("content", F.lit(0).alias("lo"), F.octet_length("data").alias("hi"))
+    wanted = sized.filter("kinds > 1")
+    most = wanted.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("total"), F.coalesce(F.max("bytes"), F.lit(0)).alias("most")).first()
+    if most["total"]:
+        found = found.unionAll(sorted_runs(wanted.filter(F.col("bytes") <= dense), length, block, most["total"]))
+    if most["most"] > dense:
+        found = found.unionAll(split_runs(wanted.filter(F.col("bytes") > dense), length, block, dense, narrower))
+    found = found.select(F.col("content").alias("part"), F.col("lo").alias("from"), F.col("hi").alias("to"))
+    return pieces.select("content", "part", F.col("lo").alias("base")).join(found, "part").select("content", (F.col("base") + F.col("from")).alias("lo"), (F.col("base") + F.col("to")).alias("hi"))
+
+
+def repeated_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 400, block: int = 1 << 20, dense: int = 1 << 18) -> DataFrame:
     """(key, spans): of each text with repeated strings, its key and the byte runs they cover, sorted and apart.
 
     The key is text_key() of the text. Equal texts have one row; an empty or null text has none.
     """
-    spark = df.sparkSession
     slim = df.select(text_key(text).alias("key"), F.col(f"`{doc_id}`").alias("doc"), utf8(f"`{text}`").alias("data"))
     slim = slim.filter(F.octet_length("data") >= length)
     doc_type = dict(slim.dtypes)["doc"]
@@ -216,30 +278,14 @@ def repeated_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     sought = maybe_in(slim, "key", lists.select(F.col("k").alias("key")), "sought").filter("sought").drop("sought")
     fetched = sought.join(lists, (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d")))
     fetched = fetched.select("data", F.explode("pieces").alias("p")).select(
-        "p.anchor", "p.content", "p.often", "p.at", F.expr("substring(data, cast(p.start + 1 as int), p.size)").alias("data"), "p.hot"
+        F.col("p.anchor").cast("string").cast("binary").alias("shard"), "p.content", "p.often", "p.at", F.expr("substring(data, cast(p.start + 1 as int), p.size)").alias("data"), "p.hot"
     )
     if total["most"] > dense:
         fetched = materialize(fetched)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total["b"] // (8 << 20)))
-    shards = fetched.filter("not hot").drop("hot").repartition(parts, "anchor").sortWithinPartitions("anchor")
-    names, kinds = ["content", "lo", "hi"], [pa.binary(), pa.int32(), pa.int32()]
-    runs = shards.mapInArrow(lambda batches: _rows(shard_runs(batches, length, block), names, kinds), "content binary, lo int, hi int")
-    covered = alone.unionAll(runs)
+    covered = alone.unionAll(sorted_runs(fetched.filter("not hot"), length, block, total["b"]))
     if total["most"] > dense:
-
-        def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def rows():
-                for batch in batches:
-                    for content, often, data in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                        for lo in range(len(data) - length + 1):
-                            yield content, lo, xxhash.xxh3_128_digest(data[lo : lo + length]), often
-
-            yield from _rows(rows(), ["content", "lo", "string", "often"], [pa.binary(), pa.int32(), pa.binary(), pa.bool_()])
-
-        hot = fetched.filter("hot").dropDuplicates(["content"]).select("content", "often", "data")
-        single = materialize(hot.mapInArrow(strings, "content binary, lo int, string binary, often boolean"))
-        again = single.groupBy("string").agg(F.count("*").alias("n"), F.max("often").alias("o")).filter("n > 1 or o").select("string")
-        covered = covered.unionAll(single.join(again, "string").select("content", "lo", (F.col("lo") + length).alias("hi")))
+        hot = fetched.filter("hot").dropDuplicates(["content"])
+        covered = covered.unionAll(split_runs(hot, length, block, dense, class_widths(length)))
     covered = materialize(covered)
     spread = met.join(covered, "content").select("key", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     return spread.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
@@ -265,13 +311,14 @@ def removed(data: bytes, spans: list[dict] | None) -> tuple[list[tuple[int, int]
     return [tuple(m) for m in merged], b"".join([*kept, data[at:]])
 
 
-def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 400, keep: list[str] | None = None, kept_bytes: bool = False) -> DataFrame:
-    """Append n_bytes, n_removed, n_spans, kept_sha256 (and with kept_bytes=True the binary column kept).
+def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 400, keep: list[str] | None = None) -> DataFrame:
+    """Append n_bytes, n_removed, n_spans, kept_sha256, kept_bytes (the size of what is left) and kept_text (what is left, as text).
 
     Removed is every byte that a string of `length` bytes covers which begins anywhere else too, in the same text
     or another, overlapping or not; strings never cross texts, and are judged on the input. A null text
     is empty; texts below `length` bytes lose nothing. Rows stay one to one: the second of two equal rows is another
-    place, so both lose their strings. An empty table gives none.
+    place, so both lose their strings. Letters that a cut goes through become U+FFFD in kept_text, not in the digest.
+    An empty table gives none.
     """
     spans = materialize(repeated_spans(df, text, doc_id, length))
     names = [c for c in df.columns if keep is None or c in keep]
@@ -285,12 +332,11 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     def compute():
         def one(data, found):
             runs, left = removed(data, found)
-            made = len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest()
-            return (*made, left) if kept_bytes else made
+            return len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), len(left), left.decode("utf-8", "replace")
 
         return lambda v: [list(c) for c in zip(*map(one, *v), strict=True)]
 
-    results = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if kept_bytes else "")
+    results = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long, kept_text string"
     out = with_results(rows, [F.col("data"), F.col("spans")], results, compute, keep=["row"])
     made = [f.split()[0] for f in results.split(", ")]
     return out.select(*[F.col(f"row.`{c}`") for c in names if c not in made], *made)

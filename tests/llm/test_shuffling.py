@@ -329,7 +329,7 @@ def plain_removal(texts, length):
     return out
 
 
-@pytest.mark.parametrize("dense", [4 << 20, 1500])
+@pytest.mark.parametrize("dense", [1 << 18, 1500])
 @pytest.mark.parametrize("table,length", [("awkward", 80), ("docs", 400)])
 def test_removed_repeats(table, length, dense, request, monkeypatch):
     df = request.getfixturevalue(table)
@@ -338,7 +338,29 @@ def test_removed_repeats(table, length, dense, request, monkeypatch):
     plain = suffix_dedup.repeated_spans
     monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda *a: plain(*a, block=4000, dense=dense))
     out = suffix_dedup.remove_repeats(df, length=length)
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()) == want
+    got = out.collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert all(r.kept_bytes == r.n_bytes - r.n_removed for r in got) and all(r.kept_text == r.text for r in got if r.text and not r.n_removed)
+
+
+def test_split_shards_of_a_hot_passage(spark):
+    """One passage with other words before and behind in every row: all segments of its anchors differ, some share their neighbours."""
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, heads, tails = some(150), [some(60) for _ in range(4)], [some(60) for _ in range(4)]
+    texts = [some(90) + rng.choice(heads) + passage + rng.choice(tails) + some(90) for _ in range(60)] + ["é" * 300, "é" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for length in (130, 200, 240):
+        want = Counter(enumerate(plain_removal([t.encode() for t in texts], length)))
+        rows = suffix_dedup.repeated_spans(df, length=length, dense=2000)
+        runs = {bytes(r.key): r.spans for r in rows.collect()}
+        got = Counter()
+        for i, t in enumerate(texts):
+            gone, left = suffix_dedup.removed(t.encode(), [s.asDict() for s in runs.get(hashlib.sha256(t.encode()).digest()[:16], [])])
+            got[i, (len(t.encode()), len(t.encode()) - len(left), len(gone), hashlib.sha256(left).hexdigest())] += 1
+        assert got == want
+    widths = suffix_dedup.class_widths(400)
+    assert widths == [47, 6, 1]
 
 
 def test_removed_repeats_of_an_empty_table(empty):
