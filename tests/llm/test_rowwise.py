@@ -1,8 +1,10 @@
 """Operators that work row by row, against plain Python or the library that they stand for."""
 
 import hashlib
+import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -156,8 +158,6 @@ def test_license_fuzzy():
     assert base == "" and labels == "all-rights-reserved,mit" and 0.9 < score < 1
     assert [(s["label"], s["first_word"], s["last_word"], s["edits"]) for s in spans] == [("mit", 1, 5, 2), ("all-rights-reserved", 7, 9, 1)]
     # every notice with its allowed edits is found, wherever they fall
-    import random
-
     rng = random.Random(4)
     for notice in licenses.notices():
         for _ in range(20):
@@ -192,19 +192,54 @@ def test_token_counts_are_the_library_s(table, request):
         assert (size, n, over) == (len(text.encode()), len(library.encode(text, add_special_tokens=False).ids), n > 100)
 
 
+def odd_texts():
+    rng = random.Random(9)
+    parts = ["'re", "'r", "'l", "'ll", "''", "'s", "don't", "abc", "Ωmega", "É", "e\u0301", "\u0301", "\u1112\u1161\u11ab", "각", "12", " ", "\n", "!!", "—", "😀", "it's", "straße", "İ", "Σ", "<|startoftext|>", "x" * 30]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+
+
+def test_chunks_do_not_change_counts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counter, library = token_count.counter(path), Tokenizer.from_file(path)
+    for text in odd_texts():
+        want = len(library.encode(text, add_special_tokens=False).ids)
+        for size, block, back in ((1, 3, 1), (2, 2, 4), (7, 32, 3), (40, 4, 256), (1 << 15, 32, 256)):
+            assert counter.count(text.encode(), size, block, back) == want, (text, size)
+
+
 def test_chunk_maps_compose_associatively():
     counter = token_count.counter(public_tokenizers.path("word_bpe_49k.json"))
-    text = token_count.normalized("It's a  test,\nof some-thing LONGER 123 !!'s than one chunk")
-    whole = counter.count(text)
-    for size in (1, 2, 3, 7, 1000):
-        assert counter.count(text, size) == whole
-    maps = [counter.chunk_map(text[i : i + 5]) for i in range(0, 30, 5)]
+    chunks = list(token_count.chunks("It's a  test,\nof some-thing LONGER 123 !!'s than one chunk".encode(), 5, 0))
+    state, maps = token_count.START, []
+    for c in chunks:
+        maps.append(counter.chunk_map(c, {state, token_count.START}))
+        state = maps[-1][state][0]
     for a, b, c in zip(maps, maps[1:], maps[2:]):
-        left, right = counter.compose(counter.compose(a, b), c), counter.compose(a, counter.compose(b, c))
+        left, right = token_count.compose(token_count.compose(a, b), c), token_count.compose(a, token_count.compose(b, c))
         assert left == right
+    assert token_count.scan(maps)[-1][token_count.START][0] == state
+
+
+def test_token_counts_of_one_long_line():
+    """Text without any blank, in memory that does not grow with it."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, counter = Tokenizer.from_file(path), token_count.counter(path)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    text = "".join(rng.choice(words) for _ in range(60_000))
+    tracemalloc.start()
+    counter.machine.clear()
+    got = counter.count(text[:100_000].encode())
+    first = tracemalloc.get_traced_memory()[1]
+    whole = counter.count(text.encode())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == len(library.encode(text[:100_000], add_special_tokens=False).ids)
+    assert whole == len(library.encode(text, add_special_tokens=False).ids)
+    assert most < first + 150 * 2**20
 
 
 def test_empty_tables(empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    for out in (quality.repetition_quality(empty), media.read_media(media.store_bytes(empty)), licenses.license_scan(empty), bpe.encode_decode(empty, path)):
+    for out in (quality.repetition_quality(empty), media.read_media(media.store_bytes(empty)), licenses.license_scan(empty), bpe.encode_decode(empty, path), token_count.token_counts(empty, public_tokenizers.path("word_bpe_49k.json"))):
         assert out.count() == 0
