@@ -27,14 +27,14 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class Limits:
     """Limits of the rules; a text above one of them is rejected.
 
-    Shares are of the characters in words. `ngrams` bounds the characters inside n-grams that
-    repeat an earlier one of the text, by n; `lines` those of lines that repeat an earlier line.
+    In percent of the characters in words, so that whole numbers decide. `ngrams` bounds the characters inside n-grams
+    that repeat an earlier one of the text, by n; `lines` those of lines that repeat an earlier line.
     """
 
     min_words: int = 10
     repeat_percent: int = 20
-    ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
-    lines: float = 0.20
+    ngrams: dict[int, int] = field(default_factory=lambda: {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10})
+    lines: int = 20
 
 
 def mixed(ids: np.ndarray) -> np.ndarray:
@@ -45,10 +45,15 @@ def mixed(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def repeats(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masks over the windows: equal to any other, and equal to an earlier one."""
+def repeats(hashes: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks over the windows of n words: equal to any other, and equal to an earlier one. Equal hashes are verified on the words."""
     order = np.argsort(hashes, kind="stable")
     same = hashes[order][1:] == hashes[order][:-1]
+    a, b = order[:-1][same], order[1:][same]
+    if any((ids[a + i] != ids[b + i]).any() for i in range(n)):
+        # two windows share a hash: order by the words themselves
+        order = np.lexsort([ids[i : len(ids) - n + 1 + i] for i in reversed(range(n))])
+        same = np.logical_and.reduce([ids[order[1:] + i] == ids[order[:-1] + i] for i in range(n)])
     later, any_other = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
     later[order[1:][same]] = True
     any_other[order[1:][same]] = True
@@ -80,7 +85,7 @@ def judge(text: bytes, limits: Limits) -> tuple:
         elif line and not line.isspace():
             seen.add(line)
 
-    shares = [0.0] * len(limits.ngrams)
+    shared = dict.fromkeys(limits.ngrams, 0)
     n_repeat = 0
     if n_words > 5:
         numbers: dict[bytes, int] = {}
@@ -93,7 +98,7 @@ def judge(text: bytes, limits: Limits) -> tuple:
             rolled = rolled[:-1] * _STEP + x[n - 1 :]
             if n < 5 and n not in limits.ngrams:
                 continue
-            any_other, later = repeats(rolled)
+            any_other, later = repeats(rolled, ids, n)
             if n == 5:
                 n_repeat = int(np.count_nonzero(covered(any_other, 5)))
             if not later.any():
@@ -103,11 +108,12 @@ def judge(text: bytes, limits: Limits) -> tuple:
             if n in limits.ngrams:
                 if lengths is None:
                     lengths = np.array([len(w.decode("utf-8", "replace")) for w in words], np.int64)
-                shares[list(limits.ngrams).index(n)] = float(lengths[covered(later, n)].sum()) / word_chars
-    line_share = dup_line_chars / word_chars if word_chars else 0.0
+                shared[n] = int(lengths[covered(later, n)].sum())
     base_failed = n_words < limits.min_words or 100 * n_repeat > limits.repeat_percent * n_words
-    kept = not base_failed and line_share <= limits.lines and all(s <= most for s, most in zip(shares, limits.ngrams.values(), strict=True))
-    return n_words, word_chars, n_symbols, n_dup_lines, n_repeat, base_failed, line_share, shares, kept
+    fits = all(100 * shared[n] <= most * word_chars for n, most in limits.ngrams.items())
+    kept = not base_failed and 100 * dup_line_chars <= limits.lines * word_chars and fits
+    share = lambda part: part / word_chars if word_chars else 0.0
+    return n_words, word_chars, n_symbols, n_dup_lines, n_repeat, base_failed, share(dup_line_chars), [share(x) for x in shared.values()], kept
 
 
 def repetition_quality(df: DataFrame, text: str = "text", limits: Limits | None = None, keep: list[str] | None = None) -> DataFrame:

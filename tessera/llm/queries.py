@@ -91,14 +91,14 @@ QUALITY_SQL = r"""with d as (select doc_id, coalesce(text, '') text from documen
   flags as (select doc_id, n, i, count(*) over (partition by doc_id, n, g) > 1 other, row_number() over (partition by doc_id, n, g order by i) > 1 later from grams),
   cov as (select w.doc_id, n, length(w) c, bool_or(other) over (partition by w.doc_id, n order by w.i rows between n - 1 preceding and current row) other, bool_or(later) over (partition by w.doc_id, n order by w.i rows between n - 1 preceding and current row) later
     from (select doc_id, w, i, n from w, (select unnest(range(5, 11)) n) ns) w left join flags using (doc_id, n, i)),
-  shares as (select doc_id, count(*) filter (n = 5 and other) rep, bool_or(over_) over_ from (select doc_id, n, other, (sum(case when later then c else 0 end) over (partition by doc_id, n))::double / sum(c) over (partition by doc_id, n) > 0.2::double - n::double / 100 + 1e-12 over_ from cov) y group by doc_id),
+  shares as (select doc_id, count(*) filter (n = 5 and other) rep, bool_or(over_) over_ from (select doc_id, n, other, 100 * (sum(case when later then c else 0 end) over (partition by doc_id, n)) > (20 - n) * sum(c) over (partition by doc_id, n) over_ from cov) y group by doc_id),
   lines as (select doc_id, line, row_number() over (partition by doc_id, line order by k) > 1 dup from (select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) k from d) x where regexp_matches(line, '[^\x20\x09-\x0D]')),
   dl as (select doc_id, count(*) filter (dup) n_dup, coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) filter (dup), 0) dup_chars from lines group by doc_id),
   b as (select doc_id, len(ws) n_words, length(array_to_string(ws, '')) word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) n_symbols, coalesce(n_dup, 0) n_dup_lines, coalesce(dup_chars, 0) dup_chars, coalesce(rep, 0) n_repeat_words, coalesce(over_, false) over_
     from l join d using (doc_id) left join dl using (doc_id) left join shares using (doc_id)),
   v as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from b)
   select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    not base_failed and not over_ and not coalesce(dup_chars::double / nullif(word_chars, 0) > 0.2, false) kept from v"""
+    not base_failed and not over_ and 100 * dup_chars <= 20 * word_chars kept from v"""
 
 
 def _secrets_sql() -> str:
