@@ -7,8 +7,11 @@ bounded-error matching verifies the notice around it and reports its span and ed
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import heappop, heappush
+from itertools import accumulate
 
 import regex
 from pyspark.sql import DataFrame
@@ -70,30 +73,44 @@ def notices() -> tuple[Notice, ...]:
 
 
 def fuzzy_matches(joined: str) -> list[tuple[Notice, int, int, int]]:
-    """(notice, start, end, edits) of matches in words joined by single blanks; those of a notice do not overlap."""
+    """(notice, start, end, edits) of matches in words joined by single blanks; those of a notice do not overlap.
+
+    Each seed opens a window as long as the notice with its edits around it. The windows' best matches are taken by their
+    edits, then their place; one that overlaps what is taken gives way to the best one in what its window has left. A window
+    can overlap few matches, so the time is linear in the seeds.
+    """
     found = []
     for notice in notices():
-        windows = []
+        least, search = len(notice.text) - notice.edits, notice.pattern.search
+        windows = set()
         for offset, seed in notice.seeds:
             at = joined.find(seed)
             while at >= 0:
                 begin = at - offset - notice.edits
-                windows.append((max(0, begin), min(len(joined), begin + len(notice.text) + 2 * notice.edits)))
+                windows.add((max(0, begin), min(len(joined), begin + len(notice.text) + 2 * notice.edits)))
                 at = joined.find(seed, at + 1)
-        merged: list[list[int]] = []
-        for a, b in sorted(windows):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
+        waiting = []
+
+        def look(lo: int, hi: int, search=search, least=least, waiting=waiting) -> None:
+            if hi - lo >= least and (m := search(joined, lo, hi)):
+                heappush(waiting, (sum(m.fuzzy_counts), m.start(), m.end(), lo, hi))
+
+        for lo, hi in windows:
+            look(lo, hi)
+        taken: list[tuple[int, int]] = []  # ascending and apart
+        while waiting:
+            edits, start, end, lo, hi = heappop(waiting)
+            i = bisect_right(taken, (start, end))
+            if (i and taken[i - 1][1] > start) or (i < len(taken) and taken[i][0] < end):
+                i = max(0, bisect_right(taken, (lo, lo)) - 1)
+                while i < len(taken) and taken[i][0] < hi:
+                    look(lo, taken[i][0])
+                    lo = max(lo, taken[i][1])
+                    i += 1
+                look(lo, hi)
             else:
-                merged.append([a, b])
-        for a, b in merged:
-            # a window's matches one after the other: the best one, then what stands before and after it
-            todo = [(a, b)]
-            while todo:
-                lo, hi = todo.pop()
-                if hi - lo >= len(notice.text) - notice.edits and (m := notice.pattern.search(joined, lo, hi)):
-                    found.append((notice, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    todo += [(lo, m.start()), (m.end(), hi)]
+                taken.insert(i, (start, end))
+                found.append((notice, start, end, edits))
     return found
 
 
@@ -101,21 +118,26 @@ def scan(text: bytes) -> tuple:
     words = text.translate(_TABLE).split()
     joined = b" ".join(words)
     framed = b" " + joined + b" "
-    starts, base, score = [], set(), 0.0
+    starts, base, score, places = [], set(), 0.0, None
     for phrase, label in PHRASES.items():
         needle = b" " + phrase.encode() + b" "
         at = framed.find(needle)
         while at >= 0:
-            starts.append(framed.count(b" ", 0, at + 1) - 1)
+            places = places or [0, *accumulate(len(w) + 1 for w in words)]
+            starts.append(bisect_left(places, at))
             base.add(label)
             at = framed.find(needle, at + 1)
     if base:
         score = 1.0
     plain = joined.decode("utf-8", "replace")
     spans = []
-    for notice, a, b, edits in fuzzy_matches(plain):
-        spans.append({"label": notice.label, "first_word": plain.count(" ", 0, a), "last_word": plain.count(" ", 0, max(a, b - 1)), "edits": edits})
-        score = max(score, 1 - edits / len(notice.text))
+    matches = fuzzy_matches(plain)
+    if matches:
+        begins = [0, *accumulate(len(w) + 1 for w in plain.split(" "))]
+        word = lambda at: bisect_right(begins, at) - 1
+        for notice, a, b, edits in matches:
+            spans.append({"label": notice.label, "first_word": word(a), "last_word": word(max(a, b - 1)), "edits": edits})
+            score = max(score, 1 - edits / len(notice.text))
     spans.sort(key=lambda s: (s["first_word"], s["last_word"], s["label"]))
     labels = base | {s["label"] for s in spans}
     return (

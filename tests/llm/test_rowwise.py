@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -62,6 +63,13 @@ def test_quality_shares(awkward):
         assert shares == pytest.approx([plain_share(text, n) for n in range(5, 11)])
 
 
+def test_equal_hashes_are_verified():
+    ids = np.array([1, 2, 3, 1, 2, 3, 4, 1, 2])
+    plain = [tuple(ids[i : i + 2]) for i in range(8)]
+    any_other, later = quality.repeats(np.zeros(8, np.uint64), ids, 2)
+    assert any_other.tolist() == [plain.count(x) > 1 for x in plain] and later.tolist() == [x in plain[:i] for i, x in enumerate(plain)]
+
+
 def test_quality_keeps_clean_and_rejects_repeats(docs):
     clean = b"every word of this short text is its own and no line of it comes back"
     assert quality.judge(clean, quality.Limits())[-1]
@@ -169,6 +177,16 @@ def test_license_fuzzy():
     assert licenses.fuzzy_matches("nothing of the kind stands in here") == []
 
 
+def test_license_time_is_linear_in_matches():
+    """100,000 phrases and as many notices with an edit each: seconds, where a search of the rest at each would take hours."""
+    began = time.time()
+    n = 100_000
+    *counts, spans = licenses.scan(b"under the mit license; all rigts reserved. " * n)
+    assert counts[:4] == [7 * n, n, 0, 7 * (n - 1)] and counts[4:6] == ["mit", "all-rights-reserved,mit"]
+    own = [(x["first_word"], x["last_word"]) for x in spans if x["label"] == "all-rights-reserved"]
+    assert own == [(7 * i + 4, 7 * i + 6) for i in range(n)] and time.time() - began < 120
+
+
 @pytest.mark.parametrize("table", ["awkward", "docs"])
 def test_bpe_is_the_library(table, request):
     path = public_tokenizers.path("byte_bpe_50k.json")
