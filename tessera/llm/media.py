@@ -1,7 +1,7 @@
 """Media columns: bytes kept as PNG images in binary columns, read back and hashed.
 
-The writer filters scan lines and deflates them into chunks with CRC-32 checksums; the reader tests
-every checksum, inflates, and undoes all five filter types in numpy. The feature of an image is the
+The writer filters each scan line by one of five types and deflates them into chunks with CRC-32 checksums; the reader
+tests every checksum, inflates, and undoes the filters of many images' lines at once in numpy. The feature of an image is the
 sign pattern of its low-frequency cosine transform. Both work row by row and need no shuffle.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,31 +29,58 @@ def chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def filter_lines(pixels: np.ndarray, filter_type: int) -> np.ndarray:
-    """Scan lines with their filter type before each."""
-    rows = np.empty((pixels.shape[0], pixels.shape[1] + 1), np.uint8)
-    rows[:, 0] = filter_type
-    rows[:, 1:] = pixels
+def filter_lines(pixels: np.ndarray, filter_type: int, above: np.ndarray | None = None) -> np.ndarray:
+    """The differences of grey scan lines from what a filter type (0 to 4) expects; above: the line before the first."""
+    if filter_type == 0:
+        return pixels
+    up = np.zeros_like(pixels)
+    up[1:] = pixels[:-1]
+    if above is not None and len(up):
+        up[0] = above
+    if filter_type == 2:
+        return pixels - up
+    left = np.zeros_like(pixels)
+    left[:, 1:] = pixels[:, :-1]
     if filter_type == 1:
-        rows[:, 2:] -= pixels[:, :-1]
-    elif filter_type == 2:
-        rows[1:, 1:] -= pixels[:-1]
-    elif filter_type:
-        raise ValueError(f"can't write filter type {filter_type}")
+        return pixels - left
+    a, b = left.astype(np.int16), up.astype(np.int16)
+    if filter_type == 3:
+        return pixels - ((a + b) >> 1).astype(np.uint8)
+    if filter_type != 4:
+        raise ValueError(f"unknown filter type {filter_type}")
+    c = np.zeros_like(a)
+    c[:, 1:] = b[:, :-1]
+    return pixels - _paeth(a, b, c).astype(np.uint8)
+
+
+def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of left, above and the corner the one nearest to left + above - corner, the first of equal ones."""
+    pa, pb, pc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+    return np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+
+
+def filtered(pixels: np.ndarray, filter_type: int | None, above: np.ndarray | None = None) -> np.ndarray:
+    """Scan lines with their filter type before each; None: for each line the one of the five whose differences, as
+    signed bytes, have the least absolute sum (the first of equal ones)."""
+    rows = np.empty((pixels.shape[0], pixels.shape[1] + 1), np.uint8)
+    if filter_type is None:
+        all_of = np.stack([filter_lines(pixels, k, above) for k in range(5)])
+        rows[:, 0] = np.argmin(np.minimum(all_of, -all_of).sum(axis=2, dtype=np.int64), axis=0)
+        rows[:, 1:] = all_of[rows[:, 0], np.arange(len(rows))]
+    else:
+        rows[:, 0] = filter_type
+        rows[:, 1:] = filter_lines(pixels, filter_type, above)
     return rows
 
 
-def png_encode(pixels: np.ndarray, filter_type: int | None = 0, level: int = 3, piece: int = 1 << 20) -> bytes:
-    """A grey 8-bit image (rows x columns) as PNG; filter_type 0 (none), 1 (left) or 2 (above), or None for the one of these
-    whose differences, as signed bytes, have the least absolute sum in each line (the first of equal ones)."""
+def png_encode(pixels: np.ndarray, filter_type: int | None = None, level: int = 3, piece: int = 1 << 20, band: int = 2048) -> bytes:
+    """A grey 8-bit image (rows x columns) as PNG; filter_type as in filtered(). Lines are filtered `band` at a time."""
     height, width = pixels.shape
-    if filter_type is None:
-        filtered = [filter_lines(pixels, k) for k in (0, 1, 2)]
-        sums = [np.minimum(x[:, 1:], -x[:, 1:]).sum(axis=1, dtype=np.int64) for x in filtered]
-        rows = np.stack(filtered)[np.argmin(sums, axis=0), np.arange(height)]
-    else:
-        rows = filter_lines(pixels, filter_type)
-    packed = zlib.compress(rows.tobytes(), level)
+    deflate, packed = zlib.compressobj(level), []
+    for at in range(0, height, band):
+        rows = filtered(pixels[at : at + band], filter_type, pixels[at - 1] if at else None)
+        packed.append(deflate.compress(rows.tobytes()))
+    packed = b"".join([*packed, deflate.flush()])
     head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
     body = b"".join(chunk(b"IDAT", packed[i : i + piece]) for i in range(0, len(packed), piece))
     return SIGNATURE + chunk(b"IHDR", head) + body + chunk(b"IEND", b"")
@@ -75,53 +103,75 @@ def png_chunks(data: bytes):
     raise ValueError("the file ends before IEND")
 
 
-def unfilter(rows: np.ndarray, step: int) -> np.ndarray:
-    """Undo the filters of scan lines (the first column has the types); step: bytes of a pixel."""
-    kinds, out = rows[:, 0], rows[:, 1:].copy()
-    height, width = out.shape
-    pixels = width // step
-    above = np.zeros(width, np.uint8)
-    at = 0
-    while at < height:
-        kind = int(kinds[at])
-        end = at + 1
-        while end < height and kinds[end] == kind:
-            end += 1
-        run = out[at:end]
-        if kind == 1:  # running sums along a line, modulo 256
-            run[:] = np.cumsum(run.reshape(end - at, pixels, step), axis=1, dtype=np.uint8).reshape(run.shape)
-        elif kind == 2:  # running sums down the columns
-            run[0] += above
-            run[:] = np.cumsum(run, axis=0, dtype=np.uint8)
-        elif kind in (3, 4):
-            for line in run:
-                _unfilter_line(line, above, step, kind)
-                above = line
-        elif kind:
-            raise ValueError(f"unknown filter type {kind}")
-        above = out[end - 1]
-        at = end
-    return out
-
+def unfilter(images: list[np.ndarray], band: int = 512, most: int = 16 << 20) -> list[np.ndarray]:
+    """Undo the filters of grey images' scan lines (the first column has the types), many images at a time.
 
-def _unfilter_line(line: np.ndarray, above: np.ndarray, step: int, kind: int) -> None:
-    """Average (3) and Paeth (4) depend on the pixel to the left, so they go pixel by pixel."""
-    up = above.astype(np.int32)
-    left = corner = np.zeros(step, np.int32)
-    for i in range(0, len(line), step):
-        b = up[i : i + step]
-        if kind == 3:
-            guess = (left + b) // 2
-        else:
-            p = left + b - corner
-            pa, pb, pc = abs(p - left), abs(p - b), abs(p - corner)
-            guess = np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, b, corner))
-        line[i : i + step] = (line[i : i + step] + guess).astype(np.uint8)
-        left, corner = line[i : i + step].astype(np.int32), b
+    A pixel rests on those left of it, above it and at their corner. So all lines go at once, each one pixel behind the
+    line above it: one step handles a pixel of every line. An image's lines go `band` at a time, and about `most` bytes together.
+    """
+    out = [np.empty((len(rows), rows.shape[1] - 1), np.uint8) for rows in images]
+    by_width: dict[int, list[int]] = {}
+    for i, rows in enumerate(images):
+        by_width.setdefault(rows.shape[1] - 1, []).append(i)
+    for width, members in by_width.items():
+        at = 0
+        while members:
+            group, lanes = [], 0
+            todo, members = members, []
+            for i in todo:
+                rows = images[i][at : at + band]
+                if lanes and (lanes + len(rows)) * (width + band) > most:
+                    _undo_wave(group, images, out, at, band, width)
+                    group, lanes = [], 0
+                group.append(i)
+                lanes += len(rows) + 1
+                if at + band < len(images[i]):
+                    members.append(i)
+            _undo_wave(group, images, out, at, band, width)
+            at += band
+    return out
 
 
-def png_decode(data: bytes) -> np.ndarray:
-    """The samples of an 8-bit PNG without interlacing (rows x columns, or x channels too)."""
+def _undo_wave(group: list[int], images: list[np.ndarray], out: list[np.ndarray], at: int, band: int, width: int) -> None:
+    """One band of some images of one width; the line above each band goes first, as it is."""
+    lines, kinds, behind = [], [], []
+    for i in group:
+        rows = images[i][at : at + band]
+        lines += [out[i][at - 1 : at] if at else np.zeros((1, width), np.uint8), rows[:, 1:]]
+        kinds += [np.zeros(1, np.uint8), rows[:, 0]]
+        behind.append(np.arange(len(rows) + 1))
+    raw, kind, behind = np.concatenate(lines), np.concatenate(kinds), np.concatenate(behind)
+    if kind.max(initial=0) > 4:
+        raise ValueError(f"unknown filter type {kind.max()}")
+    n, steps = len(raw), width + int(behind.max())
+    lanes = np.arange(n)[None, :]
+    times = np.arange(width)[:, None] + behind[None, :]
+    skew = np.zeros((steps, n), np.uint8)
+    skew[times, lanes] = raw.T
+    sub, up, average, paeth = (np.where(kind == k, np.int16(1), np.int16(0)) for k in (1, 2, 3, 4))
+    some_paeth = bool(paeth.any())
+    # a place before the first line, so that what stands left and above are two views
+    before, last = np.zeros(n + 1, np.int16), np.zeros(n + 1, np.int16)
+    for t in range(steps):
+        a, b = last[1:], last[:-1]
+        guess = sub * a + up * b + average * ((a + b) >> 1)
+        if some_paeth:
+            guess += paeth * _paeth(a, b, before[:-1])
+        now = np.empty(n + 1, np.int16)
+        now[0] = 0
+        np.bitwise_and(skew[t] + guess, 255, out=now[1:])
+        skew[t] = now[1:]
+        before, last = last, now
+    whole = skew[times, lanes].T
+    start = 0
+    for i in group:
+        count = min(band, len(images[i]) - at)
+        out[i][at : at + count] = whole[start + 1 : start + 1 + count]
+        start += count + 1
+
+
+def png_rows(data: bytes) -> tuple[np.ndarray, int]:
+    """The filtered scan lines of an 8-bit PNG without interlacing, with their types, and the bytes of a pixel."""
     head, packed = None, []
     for kind, body in png_chunks(data):
         if kind == b"IHDR":
@@ -134,8 +184,33 @@ def png_decode(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
     if len(raw) != height * (width * step + 1):
         raise ValueError("wrong number of samples")
-    pixels = unfilter(raw.reshape(height, width * step + 1), step)
-    return pixels if step == 1 else pixels.reshape(height, width, step)
+    return raw.reshape(height, width * step + 1), step
+
+
+def png_decode_all(files: Iterable[bytes], most: int = 8 << 20) -> Iterator[np.ndarray]:
+    """The samples of PNG files (rows x columns, or x channels too), unfiltered about `most` bytes at a time."""
+    waiting: list[tuple[np.ndarray, int]] = []
+    held = 0
+
+    def flush() -> Iterator[np.ndarray]:
+        # a pixel's channels don't rest on each other: each is an image
+        planes = [np.column_stack([rows[:, 0], rows[:, 1 + c :: step]]) if step > 1 else rows for rows, step in waiting for c in range(step)]
+        done = iter(unfilter(planes))
+        for _, step in waiting:
+            yield next(done) if step == 1 else np.stack([next(done) for _ in range(step)], axis=2)
+        waiting.clear()
+
+    for file in files:
+        waiting.append(png_rows(file))
+        held += waiting[-1][0].size
+        if held >= most:
+            yield from flush()
+            held = 0
+    yield from flush()
+
+
+def png_decode(data: bytes) -> np.ndarray:
+    return next(png_decode_all([data]))
 
 
 def _cosines(n: int, k: int) -> np.ndarray:
@@ -193,11 +268,13 @@ def read_media(df: DataFrame, media: str = "media", keep: list[str] | None = Non
     the filter types, the number of samples) stops the job with ValueError, so that no row goes silently.
     """
 
-    def one(data):
-        if data is None:
-            return (None,) * 6
-        pixels = png_decode(data)
+    def one(data: bytes, pixels: np.ndarray) -> tuple:
         payload = pixels.tobytes()
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(pixels)
 
-    return with_results(df, [df[f"`{media}`"]], READ, lambda: lambda v: [list(c) for c in zip(*map(one, v[0]), strict=True)], keep)
+    def run(v):
+        files = [f for f in v[0] if f is not None]
+        made = (one(f, pixels) for f, pixels in zip(files, png_decode_all(files), strict=True))
+        return [list(c) for c in zip(*(next(made) if f is not None else (None,) * 6 for f in v[0]), strict=True)]
+
+    return with_results(df, [df[f"`{media}`"]], READ, lambda: run, keep)

@@ -98,15 +98,34 @@ def test_stored_lines_are_filtered(awkward):
         plain = np.frombuffer(media.pad(text.encode()), np.uint8).reshape(-1, 576).astype(int)
         assert (media.png_decode(file) == plain).all()
         above = np.vstack([np.zeros((1, 576), int), plain[:-1]])
-        left = np.hstack([np.zeros((len(plain), 1), int), plain[:, :-1]])
-        sums = [np.minimum((plain - x) % 256, (x - plain) % 256).sum(axis=1) for x in (0 * plain, left, above)]
+        left, corner = (np.hstack([np.zeros((len(plain), 1), int), x[:, :-1]]) for x in (plain, above))
+        p = left + above - corner
+        pa, pb, pc = abs(p - left), abs(p - above), abs(p - corner)
+        nearest = np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, above, corner))
+        sums = [np.minimum((plain - x) % 256, (x - plain) % 256).sum(axis=1) for x in (0 * plain, left, above, (left + above) // 2, nearest)]
         assert (rows[:, 0] == np.argmin(sums, axis=0)).all()
-    assert kinds - {0}
+    assert len(kinds) > 1 and kinds - {0}
+
+
+def test_many_images_of_all_filters():
+    """Bands, widths and types mixed in one call, against the writer's lines."""
+    rng = np.random.default_rng(6)
+    images = [np.cumsum(rng.integers(0, 9, (h, w)), axis=1).astype(np.uint8) for h, w in ((1, 5), (40, 7), (7, 5), (0, 5), (130, 7), (1, 1))]
+    rows = []
+    for x in images:
+        kinds = rng.integers(0, 5, len(x))
+        rows.append(np.vstack([media.filtered(x, k)[i : i + 1] for i, k in enumerate(kinds)]) if len(x) else np.empty((0, 6), np.uint8))
+    for band, most in ((512, 1 << 20), (16, 1 << 20), (3, 100)):
+        assert all((a == b).all() for a, b in zip(media.unfilter(rows, band, most), images, strict=True))
+    tall = rng.integers(0, 256, (50, 9), np.uint8)
+    assert (media.png_decode(media.png_encode(tall, band=8)) == tall).all()
+    with pytest.raises(ValueError):
+        media.unfilter([np.full((2, 4), 5, np.uint8)])
 
 
 def test_png_filters_and_checksums():
     pixels = np.random.default_rng(1).integers(0, 256, (6, 30), np.uint8)
-    for kind in (0, 1, 2):
+    for kind in (0, 1, 2, 3, 4, None):
         assert (media.png_decode(media.png_encode(pixels, kind)) == pixels).all()
     # average and Paeth lines, written by the plain definition, with 3 channels
     lines, up = [], [0] * 30
