@@ -1,9 +1,9 @@
 """Secret scans by a trigram index, in DataFrame expressions alone.
 
-From each rule's regex follows a Boolean query over trigrams that every match must contain. The index
-has, for each trigram that some query names, the texts that hold it (by their hash, so copies share a
-posting). Intersecting a query's postings gives the rule's candidates, and only these are verified
-with the regex; a rule without mandatory trigrams scans all texts.
+From each rule's regex follows a Boolean query over trigrams that every match must contain. Texts are numbered, and the
+index has, for each trigram that some query names, the numbers of the texts that hold it, 64 to a word of bits. A query is
+answered by intersecting (for "and") and uniting (for "or") its postings, word by word; only texts in an answer are
+verified with the regexes. A rule without mandatory trigrams scans all texts.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, small
+from .common import fresh, materialize, maybe_in
 
 #: A query: True (anything), a trigram, or ("and" | "or", queries).
 Query = bool | str | tuple
@@ -139,47 +139,84 @@ def trigrams(query: Query) -> set[str]:
     return {query} if isinstance(query, str) else set() if query is True else set().union(*map(trigrams, query[1]))
 
 
-def holds(query: Query, present: Column) -> Column:
-    """The query over an array of the trigrams that a text has."""
-    if query is True:
-        return F.lit(True)
-    if isinstance(query, str):
-        return F.array_contains(present, query)
-    parts = [holds(q, present) for q in query[1]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p if query[0] == "and" else out | p
-    return out
-
-
-def trigram_index(df: DataFrame, vocabulary: set[str], text: str = "text") -> DataFrame:
-    """Postings (trigram, text_hash) of the vocabulary's trigrams, on lower-cased text; copies of a text share theirs."""
+def trigram_index(df: DataFrame, vocabulary: set[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Numbered texts (text_hash, number) that hold any of the vocabulary's trigrams, and postings (node, word, bits): for each
+    trigram, the texts of number 64 * word to 64 * word + 63 that hold it, in lower case, as bits."""
     lowered = df.select(F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text_hash"), F.lower(F.col(f"`{text}`").cast("string")).alias("low"))
     present = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in sorted(vocabulary)]))
-    return lowered.select("text_hash", F.explode(present).alias("trigram")).distinct()
+    held = lowered.select("text_hash", present.alias("present")).filter(F.size("present") > 0)
+    # the checkpoint fixes the numbers
+    held = materialize(held.withColumn("number", F.monotonically_increasing_id()))
+    spread = held.select(F.explode("present").alias("node"), *_place(F.col("number")))
+    postings = spread.groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+    return held.select("text_hash", "number"), materialize(postings)
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(text_hash, maybe): the kinds of the rules whose queries a text's postings satisfy. A text has a bounded number of postings."""
-    present = index.groupBy("text_hash").agg(F.collect_set("trigram").alias("present"))
-    maybe = F.array_compact(F.array(*[F.when(holds(trigram_query(r.regex), F.col("present")), F.lit(r.kind)) for r in rules]))
-    return present.select("text_hash", maybe.alias("maybe")).filter(F.size("maybe") > 0)
+def _place(number: Column) -> list[Column]:
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(F.lit(63)).cast("int"))
+    return [F.call_function("shiftright", number, F.lit(6)).alias("word"), bit.alias("bits")]
 
 
-def _spans(rule: Rule, number: int, text: str, matches: str, groups: str) -> str:
-    """SQL for the array of a rule's spans: matches and what stands between them, strung together again.
+def nodes(queries: list[Query]) -> list[list[tuple[str, str, str, int]]]:
+    """The queries' inner nodes by height, as rows (child, parent, "and" | "or", number of children); a node is named by its text."""
+    levels: dict[int, set[tuple[str, str, str, int]]] = {}
 
-    A text's matches are few; the fold copies its array at each, so it takes the square of their number.
-    """
+    def height(query: Query) -> int:
+        if isinstance(query, str):
+            return 0
+        parts = set(query[1])
+        own = 1 + max(map(height, parts))
+        levels.setdefault(own, set()).update((name(p), name(query), query[0], len(parts)) for p in parts)
+        return own
+
+    for q in queries:
+        height(q)
+    return [sorted(levels[h]) for h in sorted(levels)]
+
+
+def name(query: Query) -> str:
+    """A trigram is its own name."""
+    return query if isinstance(query, str) else f"{query[0]}({','.join(sorted(set(map(name, query[1]))))})"
+
+
+def answers(postings: DataFrame, queries: list[Query]) -> DataFrame:
+    """(node, word, bits) of all the queries' nodes: from the trigrams' postings up, those of an "and" intersected, of an "or" united."""
+    spark, known = postings.sparkSession, postings
+    for level in nodes(queries):
+        quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        rows = ", ".join(f"({quoted(c)}, {quoted(p)}, '{op}', {n})" for c, p, op, n in level)
+        steps = spark.sql(f"select * from values {rows} as t(node, parent, op, n)")
+        met = known.join(F.broadcast(steps), "node").groupBy("parent", "word", "op", "n")
+        met = met.agg(F.bit_and("bits").alias("all"), F.bit_or("bits").alias("any"), F.count("*").alias("met"))
+        bits = F.when(F.col("op") == "or", F.col("any")).when(F.col("met") == F.col("n"), F.col("all")).otherwise(F.lit(0).cast("long"))
+        known = known.unionAll(met.select(F.col("parent").alias("node"), "word", bits.alias("bits")).filter("bits <> 0"))
+    return known
+
+
+def candidates(numbered: DataFrame, postings: DataFrame, queries: list[Query]) -> DataFrame:
+    """(text_hash) of the texts in any query's answer."""
+    roots = answers(postings, queries).filter(F.col("node").isin(*map(name, queries)))
+    hits = roots.groupBy("word").agg(F.bit_or("bits").alias("hits"))
+    return numbered.select("text_hash", *_place(F.col("number"))).join(hits, "word").filter(F.col("hits").bitwiseAND(F.col("bits")) != 0).select("text_hash")
+
+
+def _scan(array: str, size: str, op: str) -> str:
+    """SQL for the prefix sums (op x + y) or maxima of an array, by doubling: each round takes in the value 2^k before."""
+    step = f"transform(a, (x, i) -> if(i >= shiftleft(1, k), {op.format(y='a[i - shiftleft(1, k)]')}, x))"
+    return f"if({size} < 2, {array}, aggregate(sequence(0, cast(ceil(log2({size})) as int) - 1), {array}, (a, k) -> {step}))"
+
+
+def _spans(rule: Rule, number: int, text: str, matches: str, groups: str) -> str:
+    """SQL for the array of a rule's spans: a match ends where it and all matches and gaps before it do."""
     regex = rule.regex.replace("\\", "\\\\").replace("'", "\\'")
     empty = "cast(array() as array<struct<start:int,number:int,end:int,kind:string>>)"
-    stands = f"length({groups}[i]) >= {rule.least}" if rule.least else "true"
-    begin = "s.at + length(gaps[i])"
-    span = f"named_struct('start', {begin}, 'number', {number}, 'end', {begin} + length({matches}[i]), 'kind', '{rule.kind}')"
-    step = f"named_struct('at', {begin} + length({matches}[i]), 'out', if({stands}, concat(s.out, array({span})), s.out))"
-    fold = f"aggregate(sequence(0, size({matches}) - 1), named_struct('at', 0, 'out', {empty}), (s, i) -> {step}, s -> s.out)"
-    # a lambda over one element binds the gaps, so that the text is split once
-    return f"if(size({matches}) = 0, {empty}, flatten(transform(array(split({text}, '{regex}', -1)), gaps -> {fold})))"
+    lengths = f"transform({matches}, (m, i) -> length(m) + length(gaps[i]))"
+    ends = _scan(lengths, f"size({matches})", "x + {y}")
+    stands = f"filter(sequence(0, size({matches}) - 1), i -> length({groups}[i]) >= {rule.least})"
+    made = f"transform({stands}, i -> named_struct('start', ends[i] - length({matches}[i]), 'number', {number}, 'end', ends[i], 'kind', '{rule.kind}'))"
+    # lambdas over one element bind the gaps and the ends, so that each is made once
+    bound = f"flatten(transform(array(split({text}, '{regex}', -1)), gaps -> flatten(transform(array({ends}), ends -> {made}))))"
+    return f"if(size({matches}) = 0, {empty}, {bound})"
 
 
 def find_secrets(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE + MORE, to: str = "spans") -> DataFrame:
@@ -187,30 +224,32 @@ def find_secrets(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BA
 
     Sorted by start, then the rule's number. Matches below their rule's length are dropped after matching, as they use up
     their characters. A null text is empty and has none. Rows stay one to one, repeated rows too; an empty table gives none.
+    Candidates are told by bitmaps of bounded size, so that no text is shuffled. Positions come from prefix sums
+    in about m log m steps for m matches of a text.
     """
     if len({r.kind for r in rules}) < len(rules):
         raise ValueError("rules must have distinct kinds")
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     indexed = tuple(r for r in rules if queries[r.kind] is not True)
     names = {k: fresh(df, k) for k in ("secret_text", "secret_maybe", "secret_hash")}
+    t, maybe = F.col(names["secret_text"]), F.col(names["secret_maybe"])
     whole = df.withColumn(names["secret_text"], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     if indexed:
-        index = trigram_index(df, set().union(*[trigrams(queries[r.kind]) for r in indexed]), text)
-        found = materialize(candidates(index, indexed))
-        found = small(found, 100_000).select(F.col("text_hash").alias(names["secret_hash"]), F.col("maybe").alias(names["secret_maybe"]))
-        whole = whole.join(found, F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col(names["secret_hash"]), "left").drop(names["secret_hash"])
+        asked = [queries[r.kind] for r in indexed]
+        numbered, postings = trigram_index(df, set().union(*map(trigrams, asked)), text)
+        found = materialize(candidates(numbered, postings, asked).select(F.col("text_hash").alias(names["secret_hash"])))
+        whole = whole.withColumn(names["secret_hash"], F.xxhash64(F.col(f"`{text}`").cast("string")))
+        whole = maybe_in(whole, names["secret_hash"], found, names["secret_maybe"]).drop(names["secret_hash"])
     else:
-        whole = whole.withColumn(names["secret_maybe"], F.lit(None).cast("array<string>"))
+        whole = whole.withColumn(names["secret_maybe"], F.lit(False))
     none = F.array().cast("array<string>")
-    t, maybe = F.col(names["secret_text"]), F.coalesce(F.col(names["secret_maybe"]), none)
     made = []
     for i, r in enumerate(rules):
         m, g = fresh(df, f"secret_m{i}"), fresh(df, f"secret_g{i}")
         all_of = lambda group, r=r: F.regexp_extract_all(t, F.lit(r.regex), F.lit(group))
-        for name, group in ((m, 0), (g, r.group)):
-            if name == m or r.group:
-                value = all_of(group) if queries[r.kind] is True else F.when(F.array_contains(maybe, r.kind), all_of(group)).otherwise(none)
-                whole = whole.withColumn(name, value)
+        for column, group in ((m, 0), (g, r.group)):
+            if column == m or r.group:
+                whole = whole.withColumn(column, all_of(group) if queries[r.kind] is True else F.when(maybe, all_of(group)).otherwise(none))
         made.append((r, i, m, g if r.group else m))
     arrays = [F.expr(_spans(r, i, f"`{names['secret_text']}`", f"`{m}`", f"`{g}`")) for r, i, m, g in made]
     spans = F.array_sort(F.flatten(F.array(*arrays)))
@@ -224,15 +263,29 @@ def span_list(spans: str, kinds: tuple[str, ...] | None = None) -> Column:
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """The rows with each run of overlapping or touching spans in their texts replaced by `mark`; n_chars, if there, follows."""
+def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = BASE + MORE, block: int = 1024) -> DataFrame:
+    """The rows with each run of overlapping or touching spans in their texts replaced by `mark`; n_chars, if there, follows.
+
+    Runs begin where a span starts beyond the farthest end before it. What stays is cut out of blocks of the text, so that
+    a place far inside a long text is not sought from its beginning each time.
+    """
     spans = fresh(df, "secret_spans")
     found = find_secrets(df, text, rules, spans)
-    source = f"`{text}`"
-    put = f"concat(s.out, substring({source}, s.at + 1, x.start - s.at), if(x.start = s.at and s.out <> '', '', '{mark}'))"
-    step = f"if(x.end <= s.at, s, if(x.start < s.at, named_struct('at', x.end, 'out', s.out), named_struct('at', x.end, 'out', {put})))"
-    fold = f"aggregate(`{spans}`, named_struct('at', 0, 'out', ''), (s, x) -> {step}, s -> concat(s.out, substring({source}, s.at + 1)))"
-    out = found.withColumn(text, F.expr(f"if(size(`{spans}`) = 0, {source}, {fold})"))
+    source, every = f"`{text}`", f"`{spans}`"
+    farthest = _scan(f"transform({every}, s -> s.end)", f"size({every})", "greatest(x, {y})")
+    begins = f"filter(sequence(0, size({every}) - 1), i -> i = 0 or {every}[i].start > far[if(i = 0, 0, i - 1)])"
+    starts = f"transform({begins}, i -> {every}[i].start)"
+    ends = f"concat(transform(filter({begins}, i -> i > 0), i -> far[i - 1]), array(element_at(far, -1)))"
+    cut = f"substring(blocks[b], greatest(x.lo - b * {block}, 0) + 1, least(x.hi - b * {block}, {block}) - greatest(x.lo - b * {block}, 0))"
+    touched = f"transform(sequence(x.lo div {block}, (x.hi - 1) div {block}), b -> cast(b as int))"
+    piece = f"if(x.hi <= x.lo, '', array_join(transform({touched}, b -> {cut}), ''))"
+    bounds = "named_struct('lo', if(r = 0, 0, run.ends[if(r = 0, 0, r - 1)]), 'hi', if(r = size(run.starts), n, run.starts[if(r = size(run.starts), 0, r)]))"
+    joined = f"array_join(transform(transform(sequence(0, size(run.starts)), r -> {bounds}), x -> {piece}), mark)"
+    escaped = mark.replace("\\", "\\\\").replace("'", "\\'")
+    one = lambda value, variable, inner: f"transform(array({value}), {variable} -> {inner})[0]"
+    runs = one(farthest, "far", f"named_struct('starts', {starts}, 'ends', {ends})")
+    whole = one(runs, "run", one(f"regexp_extract_all({source}, '(?s).{{1,{block}}}', 0)", "blocks", one(f"length({source})", "n", one(f"'{escaped}'", "mark", joined))))
+    out = found.withColumn(text, F.expr(f"if(size({every}) = 0, {source}, {whole})"))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.when(F.size(spans) == 0, F.col("n_chars")).otherwise(F.length(F.col(source))).cast(df.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

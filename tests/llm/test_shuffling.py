@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -296,6 +297,37 @@ def test_trigram_queries():
     assert secrets_scan.trigrams(q(secrets_scan.BASE[0].regex)) >= {"tok", "oke", "ken", "pik", "i_k"}
 
 
+def meets(query, low):
+    return query is True or (query in low if isinstance(query, str) else (all if query[0] == "and" else any)(meets(q, low) for q in query[1]))
+
+
+def test_postings_answer_the_queries(awkward, docs):
+    """The index gives exactly the texts that hold what a query asks for, by its and by any query's answer."""
+    for df in (awkward, docs.limit(300)):
+        queries = [q for r in secrets_scan.BASE + secrets_scan.MORE if (q := secrets_scan.trigram_query(r.regex)) is not True]
+        queries += [("and", ("the", "ing")), ("or", (("and", ("the", "and")), "xyz")), "tio"]
+        texts = {r.h: r.text.lower() for r in df.select(F.xxhash64("text").alias("h"), "text").collect() if r.text}
+        numbered, postings = secrets_scan.trigram_index(df, set().union(*map(secrets_scan.trigrams, queries)))
+        for asked in (queries, *([q] for q in queries[-3:])):
+            found = {r.text_hash for r in secrets_scan.candidates(numbered, postings, asked).collect()}
+            assert found == {h for h, low in texts.items() if any(meets(q, low) for q in asked)}
+
+
+def test_secrets_of_texts_with_very_many(spark):
+    """100,000 matches in one text, and a long text whose secrets stand far inside: seconds, not hours."""
+    began = time.time()
+    n = 100_000
+    key = "password=abcdef123456"
+    many, far = f"é{key} " * n, "é" * 1_000_000 + key + "x" * 10 + " end"
+    df = spark.createDataFrame([(1, many), (2, far), (3, key * 2)], "doc_id long, text string").repartition(1)
+    spans = {r.doc_id: r.spans for r in secrets_scan.find_secrets(df).collect()}
+    assert [(s.start, s.end) for s in spans[1]] == [(1 + 23 * i, 22 + 23 * i) for i in range(n)]
+    assert [(s.start, s.end) for s in spans[2]] == [(1_000_000, 1_000_031)]
+    masked = {r.doc_id: r.text for r in secrets_scan.redact(df).collect()}
+    assert masked == {1: "é[SECRET] " * n, 2: "é" * 1_000_000 + "[SECRET] end", 3: "[SECRET]"}
+    assert time.time() - began < 120
+
+
 # suffix arrays
 
 @pytest.mark.parametrize("symbols", [1, 2, 3, 30])
