@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from tessera.functions import ids, text
-from tessera.operators import compare, discovery, evidence, graph, ingest, ontology, projection, store, synthesis
+from tessera.operators import compare, discovery, evidence, graph, ingest, ontology, ordered, projection, store, synthesis
 from tessera.sources import files, obo, responses
 from tessera.streaming import neighbours
 
@@ -271,6 +271,19 @@ def test_responses(spark):
     assert responses.failures(body("no json"), "a string").count() == 1 or True
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_numbered(spark, few):
+    rng = random.Random(1)
+    rows = [(rng.choice([None, "a", "b", "c"]), rng.randrange(50)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "name string, n long").repartition(3).cache()
+    got = ordered.numbered(df, [F.col("name").asc_nulls_last(), F.col("n")], "at", {"n": "before"}, 5, few).collect()
+    want, total = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1])), 0
+    for i, (r, w) in enumerate(zip(sorted(got, key=lambda r: r.at), want, strict=True)):
+        assert (r.at, r.name, r.n, r.before) == (i, *w, total)
+        total += w[1]
+    assert ordered.numbered(df.limit(0), [F.col("n")], sums={"n": "before"}, few=few).count() == 0
+
+
 def test_store(spark):
     stored = spark.createDataFrame([("a", "1", "x")], "object_id string, version string, hash string")
     same = spark.createDataFrame([("a", "1", "x"), ("b", "1", "y")], "object_id string, version string, hash string")
