@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..operators.ordered import numbered
 from .common import materialize, small
 
 
@@ -59,13 +60,12 @@ def hilbert(bits: int, *dimensions: Column) -> Column:
     return index(*dimensions)
 
 
-def ranked(df: DataFrame, column: str, to: str, bits: int, most: int = 50_000) -> DataFrame:
+def ranked(df: DataFrame, column: str, to: str, bits: int, most: int = 50_000, few: int = 20_000) -> DataFrame:
     """Append the rank of a value among the column's distinct ones, spread over 2^bits steps; null first."""
-    values = df.select(F.col(column).alias("value")).distinct()
-    place = F.row_number().over(Window.orderBy(F.col("value").asc_nulls_first())) - 1
-    codes = values.withColumn("n", F.count("*").over(Window.partitionBy())).withColumn("place", place)
-    codes = materialize(codes.select("value", F.floor(F.col("place") * F.lit(1 << bits) / F.col("n")).cast("int").alias(to)))
-    codes = small(codes, most)
+    values = materialize(df.select(F.col(column).alias("value")).distinct())
+    codes = numbered(values, [F.col("value").asc_nulls_first()], few=few)
+    code = F.expr(f"(place * {1 << bits}L) div {max(1, values.count())}L").cast("int")
+    codes = small(materialize(codes.select("value", code.alias(to))), most)
     return df.join(codes, df[column].eqNullSafe(codes["value"]), "left").drop("value")
 
 
@@ -78,6 +78,7 @@ def hilbert_shards(
     bits: int = 10,
     partitions: int | None = None,
     carry: bool = False,
+    few: int = 20_000,
 ) -> DataFrame:
     """doc_id, size, text_crc32, the dimensions, curve, shard and slot of each row, under the law of rows.
 
@@ -89,7 +90,8 @@ def hilbert_shards(
 
     carry: hand on the categories (c0, c1..) and the row itself too, as a struct `row`.
 
-    Places come from one range partitioning, whose sampled bounds follow the data, and the row counts of its parts.
+    Places come from one range partitioning, whose sampled bounds follow the data, and the row counts of its parts; a table
+    of up to `few` rows, or a category with as few values, is ordered in one task.
     """
     n_parts = partitions or max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     table = docs.select(
@@ -101,33 +103,22 @@ def hilbert_shards(
     )
     handed = [*[f"c{i}" for i in range(len(categories))], "row"] if carry else []
     table = materialize(table)
-    ends = table.agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    ends = table.agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).first()
+    first_id, last_id, total = ends["first"] or 0, ends["last"] or 0, ends["n"]
     for i in range(len(categories)):
-        table = ranked(table, f"c{i}", f"d{i}", bits)
+        table = ranked(table, f"c{i}", f"d{i}", bits, few=few)
     steps = 1 << bits
-    table = table.crossJoin(F.broadcast(ends))  # one row
-    span = F.greatest((F.col("last_id") - F.col("first_id")).cast("double"), F.lit(1.0))
     table = table.withColumn("d_size", F.least(F.lit(steps - 1), F.floor(F.log2("size") * F.lit(steps / 32))).cast("int"))
-    table = table.withColumn("d_id", F.coalesce(F.floor((F.col("doc_id") - F.col("first_id")) / span * (steps - 1)), F.lit(0)).cast("int"))
+    table = table.withColumn("d_id", F.coalesce(F.floor((F.col("doc_id") - F.lit(first_id)) / F.lit(float(max(1, last_id - first_id))) * (steps - 1)), F.lit(0)).cast("int"))
     dimensions = [f"d{i}" for i in range(len(categories))] + ["d_size", "d_id"]
     table = table.withColumn("curve", hilbert(bits, *map(F.col, dimensions)))
-    table = table.withColumn("spread", F.xxhash64("doc_id"))
+    # the sorting samples its input first, so the curve is computed before
+    table = materialize(table.withColumn("spread", F.xxhash64("doc_id")))
     order = [F.col(c).asc_nulls_first() for c in ("curve", "spread", "doc_id", "size", "text_crc32")]
-    sorted_ = table.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
-    # the number's high bits are the part, its low 33 bits the place in it; the checkpoint fixes both
-    sorted_ = materialize(sorted_.select("doc_id", "size", "text_crc32", *dimensions, "curve", *handed, F.monotonically_increasing_id().alias("m")))
-    part = F.call_function("shiftright", F.col("m"), F.lit(33))
-    counts = sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    starts = small(materialize(starts), 100_000)
-    placed = sorted_.withColumn("part", part).join(starts, "part")
-    place = F.col("first") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = placed.withColumn("place", place)
+    placed = numbered(table, order, "place", parts=n_parts, few=few)
     # integer arithmetic: place * shards stays far below 2^63
-    shard = F.expr(f"(place * {shards}L) div total")
-    placed = placed.withColumn("shard", shard.cast("int"))
-    begin = F.expr(f"(shard * total + {shards - 1}L) div {shards}L")
+    placed = placed.withColumn("shard", F.expr(f"(place * {shards}L) div {max(1, total)}L").cast("int"))
+    begin = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
     return placed.withColumn("slot", F.col("place") - begin).select("doc_id", "size", "text_crc32", *dimensions, "curve", "shard", "slot", *handed)
 
 
