@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
 from .common import WORD, materialize, small
 
 #: Sources beyond which the table of sources is joined by a shuffle instead of a broadcast.
@@ -35,33 +36,34 @@ def stream_table(docs: DataFrame, text: str, source: str, doc_id: str, seed: int
         word_count(f"`{text}`").alias("size"),
         *[c.alias(f"carry{i}") for i, c in enumerate(carry)],
     )
-    return sized.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc"), F.col("size")))
+    # rows without an id would share a hash if they are equally long
+    alone = F.when(F.col("doc").isNull(), F.monotonically_increasing_id())
+    return sized.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc"), F.col("size"), alone))
 
 
-def source_targets(stats: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3) -> DataFrame:
-    """(source, rows, source_size) -> also first (words of the sources before), weight and target.
+def source_targets(stats: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, few: int = 20_000) -> DataFrame:
+    """(source, rows, source_size) -> also weight and target.
 
     Sources in code-point order, null last, weigh `weights`, repeating. Targets share the sum of all sizes
     by weight; none goes above `most_repeats` times its source's size: with the sources ordered by the ratio
     of that bound to the weight, the bounded ones are a prefix, and the others share what it leaves.
     """
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
-    ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    up_to = ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
+    by_name = F.col("source").asc_nulls_last()
+    sums = stats.agg(F.sum("source_size").alias("size"), F.count("*").alias("n")).first()
     n = len(weights)
-    weighed = stats.withColumn("weight", F.array(*map(F.lit, weights))[(F.row_number().over(ordered) - 1) % n])
+    weighed = numbered(stats, [by_name], few=few)
+    weighed = weighed.withColumn("weight", F.array(*map(F.lit, weights))[(F.col("place") % n).cast("int")]).drop("place")
     weighed = weighed.withColumn("bound", F.col("source_size") * most_repeats).withColumn("ratio", F.col("bound") / F.col("weight"))
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("bound").over(up_to), F.lit(0))
-    heavy = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(up_to), F.lit(0))
-    leveled = weighed.withColumn("level", left / heavy)  # what a unit of weight gets if only the sources before are bounded
-    # the first source whose level fits starts the open ones; all after it share its level
-    first_open = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("source").isNull().alias("n"), "source", "level"))).over(everything)
-    leveled = leveled.withColumn("cut", first_open)
-    target = F.when(F.col("cut").isNull() | (F.col("bound") <= F.col("cut.level") * F.col("weight")), F.col("bound").cast("double")).otherwise(
-        F.col("cut.level") * F.col("weight")
-    )
-    return leveled.select("source", "rows", "source_size", "weight", target.alias("target"))
+    weighed = materialize(weighed)
+    heavy = sum(weights) * (sums["n"] // n) + sum(weights[: sums["n"] % n])
+    leveled = numbered(weighed, [F.col("ratio"), by_name], sums={"bound": "bounds", "weight": "weights"}, few=few)
+    # what a unit of weight gets if only the sources before are bounded; the first that fits starts the open ones, which share it
+    level = (F.lit(sums["size"] or 0) - F.col("bounds")) / (F.lit(heavy) - F.col("weights"))
+    fits = leveled.withColumn("level", level).filter("level <= ratio")
+    cut = fits.agg(F.min(F.struct("place", "level")).alias("first")).first()["first"]
+    bound = F.col("bound").cast("double")
+    target = bound if cut is None else F.when(F.col("bound") <= F.lit(cut["level"]) * F.col("weight"), bound).otherwise(F.lit(cut["level"]) * F.col("weight"))
+    return weighed.select("source", "rows", "source_size", "weight", target.alias("target"))
 
 
 def _below(slot: Column, bits: Column, edge: Column) -> Column:
@@ -84,17 +86,16 @@ def _reversed(x: Column, bits: Column) -> Column:
     return F.conv(F.reverse(F.lpad(F.bin(x), bits, F.lit("0"))), 2, 10).cast("long")
 
 
-def schedule(targets: DataFrame, block_words: int, chunk: int = 1 << 12) -> DataFrame:
+def schedule(targets: DataFrame, block_words: int, chunk: int = 1 << 12, few: int = 20_000) -> DataFrame:
     """Slots of the mix: (source, source_size, rank, slot, from, to), [from, to) in the source's endless stream.
 
     A source has as many slots as its target has blocks, the last one shorter.
     """
     whole = targets.withColumn("words", F.round("target").cast("long")).filter("words > 0")
     whole = whole.withColumn("slots", F.ceil(F.col("words") / F.lit(block_words)).cast("long"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    whole = whole.withColumn("first", F.coalesce(F.sum("slots").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-    whole = whole.withColumn("all", F.sum("slots").over(Window.partitionBy()))
-    whole = whole.withColumn("bits", F.when(F.col("all") <= 1, 0).otherwise(F.length(F.bin(F.col("all") - 1))).cast("int"))
+    every = whole.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first()["n"]
+    whole = numbered(whole, [F.col("source").asc_nulls_last()], sums={"slots": "first"}, few=few)
+    whole = whole.withColumn("bits", F.lit(max(0, every - 1).bit_length()))
     chunks = whole.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("slots") - 1) / F.lit(chunk)).cast("long"))))
     begin = F.col("c") * chunk
     # a number of partitions of its own, as few rows that become many must not be put together
@@ -120,6 +121,7 @@ def mixture(
     block_words: int = 256,
     seed: int = 11,
     carry: tuple[Column, ...] = (),
+    few: int = 20_000,
 ) -> tuple[DataFrame, DataFrame]:
     """The documents with their place and target, and the mix: which words of which documents stand in which slot.
 
@@ -129,11 +131,11 @@ def mixture(
 
     Sources in code-point order, null (a source like any other) last. A null text has size 0 and takes no part, like
     any empty one; null and repeated ids are fine, and each of several equal rows has a part of its own. Without
-    words, or rows, the mix is empty.
+    words, or rows, the mix is empty. Up to `few` sources are ordered in one task, more in ranges.
     """
     table = materialize(stream_table(docs, text, source, doc_id, seed, carry))
     stats = materialize(table.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size")))
-    targets = materialize(source_targets(stats, weights, most_repeats))
+    targets = materialize(source_targets(stats, weights, most_repeats, few))
     sources = small(targets, MOST_SOURCES)
     placed = _places(table.join(sources, table["source"].eqNullSafe(sources["source"]), "left").drop(sources["source"]))
     placed = materialize(placed)
@@ -141,7 +143,7 @@ def mixture(
     # a document's words and a slot's words, by block of the source's stream
     block = lambda x: F.floor(x / F.lit(block_words)).cast("long")
     pieces = placed.filter("size > 0").select("key", "source", "at", "size", F.explode(F.sequence(block(F.col("at")), block(F.col("at") + F.col("size") - 1))).alias("block"))
-    laps = schedule(targets, block_words).withColumn("lap", F.explode(F.sequence((F.col("from") / F.col("source_size")).cast("long"), ((F.col("to") - 1) / F.col("source_size")).cast("long"))))
+    laps = schedule(targets, block_words, few=few).withColumn("lap", F.explode(F.sequence((F.col("from") / F.col("source_size")).cast("long"), ((F.col("to") - 1) / F.col("source_size")).cast("long"))))
     shift = F.col("lap") * F.col("source_size")
     laps = laps.withColumn("lo", F.greatest(F.col("from") - shift, F.lit(0))).withColumn("hi", F.least(F.col("to") - shift, F.col("source_size")))
     laps = laps.select(F.col("source").alias("of"), "slot", "lap", "lo", "hi", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi") - 1))).alias("b"))

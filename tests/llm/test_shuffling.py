@@ -37,10 +37,10 @@ def plain_targets(sizes, weights=(1, 2, 3)):
         bounded |= over
 
 
-@pytest.mark.parametrize("table", ["awkward", "docs"])
-def test_mixing(table, request):
+@pytest.mark.parametrize("table,few", [("awkward", 20_000), ("awkward", 0), ("docs", 20_000)])
+def test_mixing(table, few, request):
     df = request.getfixturevalue(table)
-    run = lambda: mixing.taken_words(*mixing.mixture(df, block_words=32))
+    run = lambda: mixing.taken_words(*mixing.mixture(df, block_words=32, few=few))
     rows = run().collect()
     assert sorted(map(repr, rows)) == sorted(map(repr, run().collect()))
     want = Counter((r.doc_id, r.source, len(plain_words(r.text))) for r in df.collect())
@@ -410,10 +410,10 @@ def test_curve_steps_to_neighbours():
         assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
 
 
-@pytest.mark.parametrize("table", ["awkward", "docs"])
-def test_shards(table, request):
+@pytest.mark.parametrize("table,few", [("awkward", 20_000), ("awkward", 0), ("docs", 0)])
+def test_shards(table, few, request):
     df = request.getfixturevalue(table)
-    rows = hilbert.hilbert_shards(df, 16).collect()
+    rows = hilbert.hilbert_shards(df, 16, few=few).collect()
     text = lambda r: (r.text or "").encode()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == Counter((r.doc_id, len(text(r)) + 1, zlib.crc32(text(r))) for r in df.collect())
     by = defaultdict(list)
