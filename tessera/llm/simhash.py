@@ -3,20 +3,21 @@
 Fingerprints at few differing bits are found by deletion variants. At up to 3 bits, cut into two
 segments, two fingerprints differ by at most one bit in one of them. Each fingerprint is indexed
 under each segment as it is, and under each segment with one bit struck out; those that meet under a
-key are verified. Fingerprints that many keys' worth of others share (a dense cluster) are verified
-in blocks that hand on a spanning forest of their links, not all pairs. Components come from
+key are verified. Under a key that many share, the other bits are cut and struck in the same way; where many share that
+too (a dense cluster), they are verified in blocks that hand on a spanning forest of their links, not all pairs. Components come from
 alternating star contractions, all in DataFrames.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.checkpoints import settled
 from .common import materialize, utf8, with_results
 
 _TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -71,10 +72,30 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _keys(fp: Column, masks: list[int]) -> Column:
+    """Keys of a fingerprint, one a mask: the bits that count, told apart by the mask's number."""
+    return F.array(*[fp.bitwiseAND(F.lit(_signed(m))).bitwiseXOR(F.lit(_signed(i * 0x9E3779B97F4A7C15 % (1 << 64)))) for i, m in enumerate(masks)])
+
+
 def variants(bits: int, fp: str = "fp") -> Column:
-    """Keys of a fingerprint, one a variant: the bits that count, told apart by the variant's number."""
-    keys = [F.col(fp).bitwiseAND(F.lit(_signed(m))).bitwiseXOR(F.lit(_signed(i * 0x9E3779B97F4A7C15 % (1 << 64)))) for i, (m, _) in enumerate(struck_masks(bits))]
-    return F.array(*keys)
+    """Keys of a fingerprint under each segment, whole and with each of its bits struck out."""
+    return _keys(F.col(fp), [m for m, _ in struck_masks(bits)])
+
+
+def finer_masks(bits: int) -> list[list[int]]:
+    """For each of the struck masks, masks over what lies outside its segment: cut and struck as the segments are."""
+    count = segments_for(bits)
+    cuts = [64 * i // count for i in range(count + 1)]
+    out = []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        places = [p for p in range(64) if not lo <= p < hi]
+        inner = [len(places) * i // count for i in range(count + 1)]
+        masks = []
+        for x, y in zip(inner, inner[1:], strict=False):
+            whole = sum(1 << p for p in places[x:y])
+            masks += [whole, *(whole & ~(1 << p) for p in places[x:y])]
+        out += [masks] * (1 + hi - lo)
+    return out
 
 
 def _forest(fps: np.ndarray, others: np.ndarray | None, bits: int) -> list[tuple[int, int]]:
@@ -105,47 +126,78 @@ def _forest(fps: np.ndarray, others: np.ndarray | None, bits: int) -> list[tuple
 def links(fps: DataFrame, bits: int = 3, dense: int = 48, block: int = 2048) -> DataFrame:
     """(a, b) with a < b: links between distinct fingerprints (column fp) whose components are those of all links.
 
-    Under a key with up to `dense` fingerprints all verified pairs are given; under others, spanning
-    forests of blocks and of pairs of blocks. The more bits may differ, the more and shorter segments there are: 2 of 32
-    bits for 3, 3 of 21 for 5; with short ones, unlike fingerprints meet under a key too once there are many.
+    Under a key with up to `dense` fingerprints all verified pairs are given. Those of another key are cut and struck again,
+    over the bits outside its segment, in which they differ by `bits` at most too; under a finer key with more than
+    `dense`, spanning forests of blocks (by hash) and of pairs of blocks. The more bits may differ, the more and shorter
+    segments there are: 2 of 32 bits for 3, 3 of 21 for 5; with short ones, unlike fingerprints meet under a key too once
+    there are many.
     """
     keyed = fps.select("fp", F.posexplode(variants(bits)).alias("variant", "key"))
-    group = Window.partitionBy("key", "variant")
-    met = keyed.withColumn("n", F.count("*").over(group)).filter("n > 1")
     # a pair that has a segment in common meets under its whole; with a bit struck out only if just that one differs
     masks = F.array(*[F.lit(_signed(b)) for _, b in struck_masks(bits)])
-    met = materialize(met.withColumn("mask", masks[F.col("variant")]))
-    few = met.filter(F.col("n") <= dense)
-    a, b = few.alias("a"), few.alias("b")
-    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    pair = (F.col("a.key") == F.col("b.key")) & (F.col("a.variant") == F.col("b.variant")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(differ) <= bits) & (differ.bitwiseAND(F.col("a.mask")) == F.col("a.mask"))
-    found = a.join(b, pair).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    met = materialize(shared(keyed, ["key", "variant"]).withColumn("mask", masks[F.col("variant")]))
+    found = _pairs(met.filter(F.col("n") <= dense), ["key", "variant"], bits)
     many = met.filter(F.col("n") > dense)
     if many.limit(1).count():
-        own = F.expr(f"(row_number() over (partition by key, variant order by fp) - 1) div {block}")
-        blocks = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {block}"))))
-        blocks = blocks.select("key", "variant", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("second"), "fp")
-
-        def span(group: pd.DataFrame) -> pd.DataFrame:
-            second = group["second"].to_numpy(bool)
-            fps = group["fp"].to_numpy(np.int64)
-            lo, hi = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
-            made = _forest(np.sort(fps), None, bits) if lo == hi else _forest(np.sort(fps[~second]), np.sort(fps[second]), bits)
-            return pd.DataFrame([(min(x), max(x)) for x in made], columns=["a", "b"]).astype("int64")
-
-        found = found.unionByName(blocks.groupBy("key", "variant", "lo", "hi").applyInPandas(span, "a long, b long"))
+        # the masks depend on the segment alone, so few arrays are told apart
+        distinct: list[list[int]] = []
+        for m in finer_masks(bits):
+            if m not in distinct:
+                distinct.append(m)
+        which = F.array(*[F.lit(distinct.index(m)) for m in finer_masks(bits)])[F.col("variant")]
+        finer = F.when(which == 0, _keys(F.col("fp"), distinct[0]))
+        for i, m in enumerate(distinct[1:], 1):
+            finer = finer.when(which == i, _keys(F.col("fp"), m))
+        apart = ["key", "variant", "finer", "place"]
+        met = materialize(shared(many.drop("n").select("*", F.posexplode(finer).alias("place", "finer")), apart))
+        found = found.unionByName(_pairs(met.filter(F.col("n") <= dense), apart, bits))
+        many = met.filter(F.col("n") > dense)
+        if many.limit(1).count():
+            found = found.unionByName(_spanning(many, apart, bits, block))
     return found.distinct()
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def shared(rows: DataFrame, group: list[str]) -> DataFrame:
+    """The rows whose group has others, with its size n; counted before they meet, so that a hot group is split by the join."""
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(sizes, group)
+
+
+def _pairs(rows: DataFrame, group: list[str], bits: int) -> DataFrame:
+    """All verified pairs of each group."""
+    a, b = rows.alias("a"), rows.alias("b")
+    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    pair = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(differ) <= bits) & (differ.bitwiseAND(F.col("a.mask")) == F.col("a.mask"))
+    for c in group:
+        pair = (F.col(f"a.{c}") == F.col(f"b.{c}")) & pair
+    return a.join(b, pair).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
+def _spanning(many: DataFrame, group: list[str], bits: int, block: int) -> DataFrame:
+    """Links that span the components of each group, from all its pairs of blocks."""
+    own = F.pmod(F.xxhash64("fp", F.lit(3)), F.expr(f"(n - 1) div {block} + 1"))
+    blocks = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {block}"))))
+    blocks = blocks.select(*group, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("second"), "fp")
+
+    def span(rows: pd.DataFrame) -> pd.DataFrame:
+        second = rows["second"].to_numpy(bool)
+        fps = rows["fp"].to_numpy(np.int64)
+        lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
+        made = _forest(np.sort(fps), None, bits) if lo == hi else _forest(np.sort(fps[~second]), np.sort(fps[second]), bits)
+        return pd.DataFrame([(min(x), max(x)) for x in made], columns=["a", "b"]).astype("int64")
+
+    return blocks.groupBy(*group, "lo", "hi").applyInPandas(span, "a long, b long")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of `edges` (a, b) with the smallest node that it reaches.
 
     Rounds of large and small stars (Kiveris et al., "Connected components in MapReduce and beyond", 2014),
-    each checkpointed, until nothing moves; their number grows as the logarithm of the largest component.
+    each written to the shared folder, until nothing moves; their number grows as the logarithm of the largest component.
     """
-    current = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
-    for _ in range(rounds):
+    current = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    now, before = (), None
+    while now != before:
         both = current.select("u", "v").unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: a node's larger neighbours go to the least of its neighbourhood
@@ -154,13 +206,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        current = materialize(small)
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        current = settled(small, current)
+        now, before = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first(), now
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -204,5 +251,6 @@ def keep_best(df: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFr
     content = F.xxhash64(F.col(f"`{text}`").cast("string"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{doc_id}`").alias("d"), content.alias("t"))
     met = rows.join(keep, F.col("t").eqNullSafe(F.col("keep_text")) & F.col("d").eqNullSafe(F.col("keep_id")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("d", "t").orderBy("t"))
-    return met.withColumn("nth", nth).filter("nth = 1").select("row.*")
+    # repeated rows become one in each task before they meet
+    plain = [f"row.`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType, T.NullType))]
+    return met.groupBy("d", "t").agg(F.min_by("row", F.xxhash64(*plain)).alias("row")).select("row.*")

@@ -127,7 +127,7 @@ def test_simhash_classes(table, request):
         assert r.component_id == want[r.fp % 2**64]
 
 
-@pytest.mark.parametrize("dense,block,bits", [(48, 2048, 3), (4, 8, 3), (1, 3, 3), (48, 2048, 5), (4, 8, 1)])
+@pytest.mark.parametrize("dense,block,bits", [(48, 2048, 3), (4, 8, 3), (1, 8, 3), (48, 2048, 5), (4, 8, 1)])
 def test_links_with_dense_keys(spark, dense, block, bits):
     rng = np.random.default_rng(3)
     fps = set(rng.integers(-(2**63), 2**63, 40, np.int64).tolist())
@@ -146,6 +146,19 @@ def test_links_with_dense_keys(spark, dense, block, bits):
     assert groups({f: roots.get(f, f) for f in fps}) == groups({f: want[f % 2**64] for f in fps})
 
 
+def test_links_of_a_hot_segment(spark):
+    """Thousands of fingerprints with one half in common: found by finer keys, as all pairs would find them."""
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 1 << 32, 3000, np.int64)
+    low[1000:1200] = low[:200] ^ (1 << rng.integers(0, 32, 200)) ^ (1 << rng.integers(0, 32, 200))
+    fps = sorted({int(x) | 0x7EADBEEF << 32 for x in low})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    found = {(r.a, r.b) for r in simhash.links(df).collect()}
+    a = np.array(fps, np.uint64)
+    near = np.argwhere(np.triu(np.bitwise_count(a[:, None] ^ a[None, :]) <= 3, 1))
+    assert found == {(fps[i], fps[j]) for i, j in near.tolist()} and len(found) > 100
+
+
 def _inverse(d):
     out = defaultdict(list)
     for k, v in d.items():
