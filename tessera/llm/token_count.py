@@ -41,7 +41,7 @@ class WordMachine:
     separate symbols for it. States are numbered as they appear; `moves` has (next state, tokens added).
     """
 
-    def __init__(self, merges: Merges, limit: int = 60_000):
+    def __init__(self, merges: Merges, limit: int = 200_000):
         self.merges, self.limit = merges, limit
         self.starts = {""}
         for t in merges.tokens:
