@@ -144,9 +144,8 @@ def trigram_index(df: DataFrame, vocabulary: set[str], text: str = "text") -> tu
     trigram, the texts of number 64 * word to 64 * word + 63 that hold it, in lower case, as bits."""
     lowered = df.select(F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text_hash"), F.lower(F.col(f"`{text}`").cast("string")).alias("low"))
     present = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in sorted(vocabulary)]))
-    held = lowered.select("text_hash", present.alias("present")).filter(F.size("present") > 0)
-    # the checkpoint fixes the numbers
-    held = materialize(held.withColumn("number", F.monotonically_increasing_id()))
+    # the checkpoint fixes the numbers; a filter before it would look for all trigrams twice
+    held = materialize(lowered.select("text_hash", present.alias("present"), F.monotonically_increasing_id().alias("number")))
     spread = held.select(F.explode("present").alias("node"), *_place(F.col("number")))
     postings = spread.groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
     return held.select("text_hash", "number"), materialize(postings)
