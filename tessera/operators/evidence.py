@@ -131,6 +131,8 @@ def synthesize_edges(claims: DataFrame) -> DataFrame:
 
 
 CHECKABLE = ("PMID", "PMCID", "DOI")
+#: How often people have a phenotype.
+HUMAN_FREQUENCIES = ("OBLIGATE", "VERY_FREQUENT", "FREQUENT", "OCCASIONAL", "VERY_RARE", "EXCLUDED")
 
 
 def claim_fit(objects: DataFrame) -> DataFrame:
@@ -160,7 +162,7 @@ def claim_fit(objects: DataFrame) -> DataFrame:
         ),
         (some & F.col("is_mechanism") & F.forall("backing", lambda e: ~e["kind"].isin(*CHECKABLE)), "UNVERIFIABLE_SOLE_SUPPORT", "MEDIUM"),
         (F.array_contains(kinds, "PMID") & F.array_contains(kinds, "PMCID"), "DUAL_FORM_CITATION", "LOW"),
-        (F.col("frequency").isNotNull() & all_have("evidence_source", "MODEL_ORGANISM"), "HUMAN_FREQUENCY_MODEL_ONLY", "HIGH"),
+        (F.upper("frequency").isin(*HUMAN_FREQUENCIES) & all_have("evidence_source", "MODEL_ORGANISM"), "HUMAN_FREQUENCY_MODEL_ONLY", "HIGH"),
     ]
     rows = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(code).alias("code"), F.lit(level).alias("severity"))) for c, code, level in findings]))
     return df.select("object_id", F.explode(rows).alias("finding")).select("object_id", "finding.*")

@@ -25,22 +25,20 @@ def canonical(ids: DataFrame, terms: DataFrame, alts: DataFrame, column: str = "
     return met.withColumn("canonical", out).drop("_a", "_p", "_id", "_t", "_r", "obsolete", "replaced_by")
 
 
-def closure(terms: DataFrame, isa: DataFrame, rounds: int = 200) -> DataFrame:
+def closure(terms: DataFrame, isa: DataFrame) -> DataFrame:
     """(term_id, ancestor), each term its own ancestor too; parents that are no terms vanish, cycles end.
 
     Each round doubles the paths' length: the closure is joined with itself until nothing new comes.
     """
     known = isa.join(terms.select(F.col("term_id").alias("parent")), "parent", "left_semi").join(terms.select(F.col("term_id").alias("child")), "child", "left_semi")
     pairs = terms.select("term_id", F.col("term_id").alias("ancestor")).unionAll(known.select("child", "parent")).distinct()
-    pairs, before = settled(pairs), -1
-    for _ in range(rounds):
-        count = pairs.count()
-        if count == before:
-            return pairs
-        before = count
+    pairs = settled(pairs)
+    count, before = pairs.count(), -1
+    while count != before:
         a, b = pairs.alias("a"), pairs.alias("b")
-        pairs = settled(a.join(b, F.col("a.ancestor") == F.col("b.term_id")).select("a.term_id", "b.ancestor").distinct())
-    raise RuntimeError("the closure did not settle")
+        pairs = settled(a.join(b, F.col("a.ancestor") == F.col("b.term_id")).select("a.term_id", "b.ancestor").distinct(), pairs)
+        count, before = pairs.count(), count
+    return pairs
 
 
 def closure_information(annotations: DataFrame, closed: DataFrame) -> DataFrame:

@@ -21,11 +21,22 @@ def information(df: Column, n: Column) -> Column:
     return F.round(-F.ln(df / n), 3).cast(IC)
 
 
-def document_frequency(features: DataFrame, entities: DataFrame) -> DataFrame:
-    """(feature_id, axis, df, ic); entities without features count into the information content too."""
+#: Classes of features that tell nothing apart, kept out of the index.
+EXCLUDED = ("model_organism", "therapeutic")
+
+
+def document_frequency(features: DataFrame, entities: DataFrame, order: str | None = None, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
+    """(feature_id, axis, df, ic), and label if the features have one; entities without features count into the information content too.
+
+    The axis and the label are those of a feature's first row by `order`, or the least ones without an order. Features whose
+    axis is `excluded` are not indexed.
+    """
     n = entities.agg(F.count("*").alias("n"))
-    rows = features.groupBy("feature_id").agg(F.countDistinct("entity_id").alias("df"), F.min("axis").alias("axis"))
-    return rows.crossJoin(F.broadcast(n)).select("feature_id", "axis", "df", "n", information(F.col("df"), F.col("n")).alias("ic"))
+    named = [c for c in ("axis", "label") if c in features.columns]
+    first = [(F.min_by(c, order) if order else F.min(c)).alias(c) for c in named]
+    kept = features.filter(~F.coalesce(F.col("axis").isin(*excluded), F.lit(False)))
+    rows = kept.groupBy("feature_id").agg(F.countDistinct("entity_id").alias("df"), *first)
+    return rows.crossJoin(F.broadcast(n)).select("feature_id", *named, "df", "n", information(F.col("df"), F.col("n")).alias("ic"))
 
 
 def retrievable(frequency: DataFrame, ceiling: float = CEILING) -> DataFrame:

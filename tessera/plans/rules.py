@@ -150,26 +150,35 @@ def sentence_split(spark, d):
 
 @query(
     "finding_role",
-    f"select doc_id, case when regexp_matches(text, '{text.BACKGROUND}') then 'BACKGROUND' when regexp_matches(text, '{text.PRIMARY}') then 'PRIMARY_EXPERIMENTAL_RESULT' else 'BACKGROUND' end finding_role from {{documents}}",
+    r"""select doc_id, case when regexp_matches(text, '(?i)\b(previously|previous stud\w+|has been (shown|reported|demonstrated)|it is (known|well established)|others have|reported that|earlier work)\b') then 'BACKGROUND_STATEMENT'
+      when regexp_matches(text, '(?i)\b(we (show|demonstrate|report|find|identify|establish)\w*|this (study|work|report) (demonstrat\w+|show\w+|establish\w+|identif\w+)|here we\b|our (data|results|findings) (show|demonstrate|indicate|establish))') then 'PRIMARY_EXPERIMENTAL_RESULT'
+      else 'BACKGROUND_STATEMENT' end finding_role from {documents}""",
 )
 def finding_role(spark, d):
-    return bind(spark, d, "select doc_id, text from {documents}").select("doc_id", text.finding_role(F.col("text")).alias("finding_role"))
+    return bind(spark, d, "select doc_id, text from {documents}").select("doc_id", text.finding_role(F.col("text"), text.ASCII).alias("finding_role"))
 
 
 @query(
     "marker_flags",
-    r"select doc_id, regexp_matches(text, '(?i)\b(license|licensed)\b') asset, regexp_matches(text, '(?i)\b(review|meta-analysis|editorial)\b') secondary, regexp_matches(text, '(?i)\b(interacts?|binds?|regulates?)\b') direct_link from {documents}",
+    r"""select doc_id, regexp_matches(text, '(?i)\b(review|overview|perspective|commentary|editorial|meta-analysis)\b') secondary,
+      regexp_matches(text, '(?i)\b(interact\w*|bind\w*|complex|co-?immunoprecipitat\w*|substrate|ubiquitinat\w*|phosphorylat\w*|stabilis\w*|stabiliz\w*|degrad\w*|regulat\w*|colocaliz\w*|co-?localis\w*|epistat\w*|modifier)\b') direct_link,
+      regexp_matches(text, '(?i)\b(iPSC|induced pluripotent|cell line|knock-?in|knock-?out|knockout|mouse model|murine|zebrafish|organoid|patient-derived|plasmid|construct|antibod\w+|reporter|transgenic|isogenic|biobank|repository|registry)\b') asset from {documents}""",
 )
 def marker_flags(spark, d):
     rows = bind(spark, d, "select doc_id, text from {documents}")
-    mark = lambda words: F.rlike(F.col("text"), F.lit("(?i)" + text.ASCII[0] + f"(?:{words})" + text.ASCII[1]))
-    return rows.select("doc_id", mark("license|licensed").alias("asset"), mark("review|meta-analysis|editorial").alias("secondary"), mark("interacts?|binds?|regulates?").alias("direct_link"))
+    mark = lambda words: text.marked(F.col("text"), words, text.ASCII)
+    return rows.select("doc_id", mark(text.SECONDARY).alias("secondary"), mark(text.DIRECT_LINK).alias("direct_link"), mark(text.ASSET).alias("asset"))
+
+
+#: Fixed values, for the oracle, which does not take the operators' own.
+STOPWORDS = """'DNA', 'RNA', 'PCR', 'WES', 'WGS', 'MRI', 'CSF', 'ELISA', 'SDS', 'PBS', 'THE', 'AND', 'FOR', 'WITH', 'NOT', 'WERE', 'WAS', 'HAS', 'CAN', 'MAY',
+  'USA', 'UK', 'EU', 'NIH', 'PMID', 'DOI', 'ATP', 'GTP', 'CNS', 'IQ'"""
 
 
 @query(
     "acronym_extract",
     r"""select doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(text, '\b([A-Z][A-Z0-9]{2,7})\b', 1)), lambda x: not list_contains(["""
-    + ",".join(f"'{w}'" for w in text.FACTOR_STOPWORDS)
+    + STOPWORDS
     + r"""], x))), ',') tokens from {documents}""",
 )
 def acronym_extract(spark, d):
@@ -177,7 +186,11 @@ def acronym_extract(spark, d):
     return rows.select("doc_id", F.array_join(F.array_sort(text.factor_tokens(F.col("text"), text.ASCII)), ",").alias("tokens"))
 
 
-@query("contact_scrub", r"select doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email removed]', 'g') text from (select doc_id, regexp_replace(regexp_replace(text, '(?is)\s*(?:electronic address|e-?mail)\s*:.*$', ''), '^[ ;]+|[ ;]+$', '', 'g') text from {documents}) x")
+@query(
+    "contact_scrub",
+    r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)[\s\x0B]*(electronic address|e-?mail)[\s\x0B]*:.*$', ''),
+      '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+', '[email removed]', 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g'), ';+$', ''), '[\s\x0B]+$', '') as text from {documents}""",
+)
 def contact_scrub(spark, d):
     return bind(spark, d, "select doc_id, text from {documents}").select("doc_id", text.scrub_contact(F.col("text")).alias("text"))
 
@@ -197,13 +210,13 @@ def label_normalise(spark, d):
     return bind(spark, d, "select doc_id, text from {documents}").select("doc_id", text.normalize_label(F.col("text")).alias("label"))
 
 
-REFS = """select event_id, case event_type when 'click' then concat('PMID:', cast(event_id as string)) when 'error' then concat('https://doi.org/10.1234/AB', cast(user_id as string)) when 'purchase' then concat('PMC', cast(event_id as string)) when 'signup' then cast(event_id as string) else concat('ORPHA:', cast(user_id as string)) end reference from {events}"""
+REFS = """select event_id, case event_type when 'click' then concat('PMID:', cast(event_id as string)) when 'error' then concat('DOI:10.1234/AB', cast(user_id as string)) when 'purchase' then concat('PMCID:PMC', cast(event_id as string)) when 'signup' then concat('PMC', cast(event_id as string)) else concat('https://doi.org/10.1234/', cast(user_id as string)) end reference from {events}"""
 
 
 @query(
     "reference_forms",
-    f"""with r as ({REFS}) select event_id, case when regexp_matches(reference, '^(?:PMID:)?[0-9]{{1,9}}$') then 'PMID' when reference like 'PMC%' then 'PMCID' when reference like 'https%' then 'DOI' else 'OTHER' end kind,
-    case when regexp_matches(reference, '^(?:PMID:)?[0-9]{{1,9}}$') then replace(reference, 'PMID:', '') when reference like 'https%' then replace(lower(reference), 'https://doi.org/', '') else reference end identifier from r""".replace("{{", "{").replace("}}", "}"),
+    f"""with r as ({REFS}) select event_id, case left(reference, 4) when 'PMID' then 'PMID' when 'PMCI' then 'PMCID' when 'DOI:' then 'DOI' else 'OTHER' end kind,
+    case left(reference, 4) when 'PMID' then substr(reference, 6) when 'PMCI' then substr(reference, 7) when 'DOI:' then lower(substr(reference, 5)) else reference end identifier from r""",
 )
 def reference_forms(spark, d):
     return bind(spark, d, REFS).select("event_id", *text.split_reference(F.col("reference")))
@@ -296,7 +309,7 @@ def alternatives(spark, d):
     return pairs.alternatives(rows.withColumn("conflicts", F.when(F.col("evidence_a") == 7, 1).otherwise(0)).withColumn("hub_df", F.col("evidence_b") * 6))
 
 
-VOCAB = [t for t in pairs.vocabulary()] + ["license", "secret", "token", "tion"]
+VOCAB = list(pairs.VOCABULARY) + ["license", "secret", "token", "tion"]
 BRIDGE_ROWS = "select lang || source pair_id, doc_id evidence_id, text, true direct from {documents}"
 
 
@@ -311,7 +324,7 @@ BRIDGE_ROWS = "select lang || source pair_id, doc_id evidence_id, text, true dir
     + r"""), n as (select pair_id, count(*) n from d group by pair_id),
     t as (select pair_id, place, term, count(*) c from d, v where contains(lower(text), lower(term)) group by all), tk as (select *, row_number() over (partition by pair_id order by place) p from t join n using (pair_id) where c >= least(n, 2)),
     f0 as (select pair_id, unnest(list_distinct(regexp_extract_all(text, '\b([A-Z][A-Z0-9]{2,7})\b', 1))) term from d), f1 as (select pair_id, term, count(*) c from f0 where term not in ("""
-    + ",".join(f"'{w}'" for w in text.FACTOR_STOPWORDS)
+    + STOPWORDS
     + """) group by all), f2 as (select *, row_number() over (partition by pair_id order by c desc, term) p from f1), fk as (select * from f2 join n using (pair_id) where p <= 4 and c >= least(n, 2)),
     a as (select pair_id, string_agg(term, ',' order by p) terms from tk where p <= 4 group by pair_id), b as (select pair_id, string_agg(term, ',' order by p) factors from fk group by pair_id)
     select pair_id, n n_direct, coalesce(terms, '') terms, coalesce(factors, '') factors from n left join a using (pair_id) left join b using (pair_id) where terms is not null or factors is not null""",

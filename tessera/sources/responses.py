@@ -65,6 +65,7 @@ def pubmed_records(responses: DataFrame) -> DataFrame:
 
 
 def full_text(responses: DataFrame) -> DataFrame:
+    """request_key and the body's text without tags; a body that is missing gives null."""
     return responses.select("request_key", strip_tags(F.col("body")).alias("text"))
 
 
@@ -78,13 +79,15 @@ def text_annotations(responses: DataFrame) -> DataFrame:
 
 
 def protein_names(responses: DataFrame, symbols: DataFrame) -> DataFrame:
-    """symbols (symbol, request_key) -> accession and names of the first reviewed entry; without one the symbol itself."""
+    """symbols (symbol, request_key) -> accession and names of the first entry (the search asks for reviewed ones), in the order
+    recommended, short, alternative and their short ones; without an entry, or a body that can be read, the symbol itself."""
     name = "struct<fullName:struct<value:string>,shortNames:array<struct<value:string>>>"
-    schema = f"results array<struct<primaryAccession:string,entryType:string,proteinDescription:struct<recommendedName:{name},alternativeNames:array<{name}>>>>"
-    met = symbols.join(responses, "request_key", "left").withColumn("r", F.from_json("body", schema))
-    hit = F.filter("r.results", lambda x: F.contains(x["entryType"], F.lit("reviewed")))[0]
-    met = met.withColumn("h", hit)
-    names = F.concat(F.array("h.proteinDescription.recommendedName.fullName.value"), F.coalesce(F.transform("h.proteinDescription.alternativeNames", lambda x: x["fullName"]["value"]), F.array().cast("array<string>")))
+    schema = f"results array<struct<primaryAccession:string,proteinDescription:struct<recommendedName:{name},alternativeNames:array<{name}>>>>"
+    met = symbols.join(responses, "request_key", "left").withColumn("h", F.get(F.from_json("body", schema)["results"], F.lit(0)))
+    none = F.array().cast("array<string>")
+    values = lambda n: F.concat(F.array(n["fullName"]["value"]), F.coalesce(F.transform(n["shortNames"], lambda x: x["value"]), none))
+    other = F.coalesce(F.flatten(F.transform("h.proteinDescription.alternativeNames", values)), F.array().cast("array<string>"))
+    names = F.concat(values(F.col("h.proteinDescription.recommendedName")), other)
     return met.select("symbol", F.col("h.primaryAccession").alias("accession"), F.when(F.col("h").isNull(), F.array("symbol")).otherwise(F.array_compact(names)).alias("names"))
 
 

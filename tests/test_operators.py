@@ -1,5 +1,6 @@
 """Operators on small literal tables, one case a branch where rules branch."""
 
+import hashlib
 import json
 import math
 import random
@@ -9,7 +10,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from tessera.functions import ids, text
-from tessera.operators import compare, discovery, evidence, graph, ingest, ontology, ordered, projection, store, synthesis
+from tessera.operators import compare, corpus, discovery, evidence, graph, ingest, literature, ontology, ordered, projection, store, synthesis
 from tessera.sources import files, obo, responses
 from tessera.streaming import neighbours
 
@@ -114,8 +115,8 @@ def test_text(spark):
     assert one(spark, text.slug(c("Müller, Jörg-Ünal ß"))) == "muller-jorg-unal-ss"
     assert one(spark, text.strip_tags(c("<p>a &amp;\n <b>b</b></p>"))) == "a & b"
     assert one(spark, text.axis_label(F.array(c("a"), c("b"), c("c")), F.array(c("R1")))) == "a, b and c biology (R1)"
-    kinds = spark.createDataFrame([("PMID: 12",), ("pmc77",), ("https://doi.org/10.1234/X",), ("ORPHA:1",)], "r string").select(*text.split_reference(F.col("r"))).collect()
-    assert [tuple(k) for k in kinds] == [("PMID", "12"), ("PMCID", "PMC77"), ("DOI", "10.1234/x"), ("OTHER", "ORPHA:1")]
+    kinds = spark.createDataFrame([("PMID:12",), ("PMCID:PMC77",), ("doi:10.1234/X",), ("PMC77",), ("https://doi.org/10.1234/X",), ("ORPHA:1",)], "r string").select(*text.split_reference(F.col("r"))).collect()
+    assert [tuple(k) for k in kinds] == [("PMID", "12"), ("PMCID", "PMC77"), ("DOI", "10.1234/x"), ("OTHER", "PMC77"), ("OTHER", "https://doi.org/10.1234/X"), ("OTHER", "ORPHA:1")]
 
 
 SUPPORT, REFUTE, QUALIFY = "SUPPORTS", "REFUTES", "QUALIFIES"
@@ -240,6 +241,122 @@ def test_ingest(spark, tmp_path):
     assert got["pathophysiology[].evidence[].reference"] == "UNDECLARED"
 
 
+RICH = """
+name: Rich
+genetic:
+- gene_term: {preferred_term: STUB1, term: {id: hgnc:11427, label: STUB1}}
+  variants: [{name: v2, type: missense}]
+- {association: none}
+variants: [{name: v1, gene: {term: {label: TP53}}, functional_effects: [x]}]
+pathophysiology:
+- name: A
+  biological_scale: Cellular
+  cell_types: [Neuron, {preferred_term: Glia}]
+  subtypes: Neuron
+  mechanism_confidence: provisional
+  downstream: [{target: P, evidence: [{reference: "PMID:7", snippet: s}]}, {target: Gone}]
+- {name: B, pathways: [x], description: a domain}
+phenotypes:
+- {name: P, phenotype_term: {term: {id: "HP:0000001"}}, sequelae: [{target: B}]}
+- {name: B, phenotype_term: {term: {id: "mondo:5"}}, evidence: [{reference: "doi:10.1000/Q", supports: MAYBE, snippet: s, quote_role: background}, {reference: "PMID:1", supports: REFUTE}]}
+mechanistic_hypotheses: [{description: H, status: deprecated}, {hypothesis_label: G, status: emerging}]
+discussions: [{kind: knowledge_gap, prompt: Why, proposed_experiments: [a, b]}, {kind: CONTROVERSY}]
+datasets: [a, b]
+odd: {x: 1}
+"""
+
+
+def test_corpus_import(spark, tmp_path):
+    (tmp_path / "r.yaml").write_text(RICH)
+    (tmp_path / "bad.yaml").write_text("- 1")
+    docs = files.read_documents(spark, str(tmp_path)).cache()
+    rows = lambda df, *c: sorted(tuple(r[x] for x in c) for r in df.collect())
+    assert rows(corpus.phenotypes(docs), "label", "hpo_id", "warning") == [("B", None, "NON_HPO_PHENOTYPE_TERM"), ("P", "HP:0000001", None)]
+    nodes = {(r.label, r.path): (r.category, r.context, r.first) for r in corpus.graph_nodes(docs).collect()}
+    assert nodes["A", "pathophysiology[0]"] == ("CELLULAR_PROCESS", ["Neuron", "Glia"], True) and nodes["B", "pathophysiology[1]"] == ("PATHWAY", [], True)
+    assert nodes["B", "phenotypes[1]"] == ("PHENOTYPE", [], False)
+    edges = corpus.graph_edges(docs)
+    assert rows(edges, "path", "source", "target", "category", "n_evidence", "dangling") == [
+        ("pathophysiology[0].downstream[0]", "A", "P", "PHENOTYPE", 1, False), ("pathophysiology[0].downstream[1]", "A", "Gone", "UNSPECIFIED", 0, True), ("phenotypes[0].sequelae[0]", "P", "B", "PATHWAY", 0, False)
+    ]
+    assert rows(corpus.referenced_nodes(edges), "label", "category") == [("Gone", "UNSPECIFIED")]
+    warnings = corpus.import_warnings(docs)
+    assert rows(warnings, "code", "path") == [("DANGLING_EDGE_TARGET", "pathophysiology[0].downstream[1].target"), ("NON_HPO_PHENOTYPE_TERM", "phenotypes[1].phenotype_term"), ("PHENOTYPE_LABEL_SHADOWED", "phenotypes[1]")]
+    items = rows(corpus.imported_evidence(ingest.evidence_items(docs)), "identifier", "kind", "relation", "origin", "section", "warning")
+    assert sorted(items, key=str) == sorted([
+        ("1", "PMID", None, "DATABASE_ASSERTION", "UNKNOWN", "EVIDENCE_WITHOUT_SNIPPET"), ("10.1000/q", "DOI", "NEUTRAL", "CITED_BACKGROUND", "INTRODUCTION", "UNKNOWN_SUPPORTS_VALUE"),
+        ("7", "PMID", "SUPPORTS", "DATABASE_ASSERTION", "UNKNOWN", None),
+    ], key=str)
+    assert sorted(rows(corpus.genes(docs), "ord", "symbol", "hgnc_id", "warning")) == [(0, "STUB1", "HGNC:11427", None), (1, None, None, "GENETIC_ENTRY_WITHOUT_GENE")]
+    assert rows(corpus.variants(docs), "path", "label", "variant_class", "gene") == [("genetic[0].variants[0]", "v2", "missense", "STUB1"), ("variants[0]", "v1", None, "TP53")]
+    assert rows(corpus.hypotheses(docs), "hypothesis_id", "statement", "status") == [("hypothesis-0", "H", "CONTRADICTED"), ("hypothesis-1", "G", "UNRESOLVED")]
+    assert rows(corpus.discussion_gaps(docs), "gap_id", "question", "status") == [("discussion-0", "Why", "OPEN")]
+    kept = corpus.preserved_records(docs, ("genetic", "variants", "mechanistic_hypotheses", "discussions", "datasets"))
+    assert {(r.path, r.warning) for r in kept.collect() if r.section in ("datasets", "odd")} == {("datasets[0]", None), ("datasets[1]", None), ("odd", "UNDECLARED_TOP_LEVEL_SECTION")}
+    record = kept.filter("path = 'odd'").first()
+    assert record.payload == '{"x": 1}' and record.sha256 == hashlib.sha256(b'{"x": 1}').hexdigest()
+    graph_paths = corpus.graph_nodes(docs).select("doc", "path")
+    assert corpus.unretained(docs, kept.select("doc", "path").union(graph_paths)).count() == 0
+    m = corpus.candidate_metrics(docs).first()
+    assert (m.nodes, m.edges, m.edges_without_evidence, m.refute_or_no_evidence_items, m.genes, m.variants, m.variants_with_effects, m.domain_mentions, m.longest_chain) == (2, 3, 2, 1, 2, 2, 1, 1, 2)
+    assert (m.provisional_nodes, m.alternative_hypotheses, m.gaps_or_controversies, m.proposed_experiments, m.datasets, m.evidence_items) == (1, 1, 2, 2, 2, 2)
+    totals = {(r.measure, r.key): r.n for r in corpus.corpus_totals(docs, corpus.candidate_metrics(docs), warnings, kept).collect()}
+    assert totals["files", "failed"] == 1 and totals["totals", "edges"] == 3 and totals["warnings", "DANGLING_EDGE_TARGET"] == 1 and totals["preserved", "datasets"] == 2
+    cut = json.loads(corpus.trim_lists(docs, ("pathophysiology",), 1).first().json)
+    assert len(cut["pathophysiology"]) == 1 and len(cut["phenotypes"]) == 2 and len(cut["phenotypes"][1]["evidence"]) == 1
+
+
+def test_literature(spark):
+    gene = ("G1", ["Long name", "GN1", "ABC"], ["ABC"])
+    entities = spark.createDataFrame([(1, "Some_disease", [gene]), (2, "Other", [("H2", [], [])])], "id int, name string, genes array<struct<symbol:string,aliases:array<string>,acronyms:array<string>>>")
+    by = {r.id: r for r in literature.entity_terms(entities).collect()}
+    assert by[1].terms == ["G1", "Long name", "GN1", "ABC", "Some disease"] and by[1].confirming == ["G1", "Long name", "Some disease"] and by[1].acronyms == ["ABC"] and by[2].confirming == ["H2"]
+    assert one(spark, literature.co_mention_query(F.array(F.lit("a b"), F.lit("c")), F.array(F.lit("d")))) == '("a b"[tiab] OR c[tiab]) AND (d[tiab])'
+    papers = [
+        ("both", "g1 binds h2", "", True, True, []), ("review", "A review", "G1 and H2 interact", True, False, ["SECONDARY_PUBLICATION"]), ("mention", "G1 and H2", "", False, True, ["CO_MENTION_ONLY"]),
+        ("context", "ABC binds H2", "", True, True, ["ACRONYM_BY_CONTEXT"]), ("method", "Abc binds H2", "", False, True, ["NOT_CONFIRMED"]), ("none", None, None, False, True, ["NOT_CONFIRMED"]),
+    ]
+    rows = spark.createDataFrame([(k, t, a, ["G1"], ["H2"], ["ABC"], []) for k, t, a, *_ in papers], "k string, title string, abstract string, left_terms array<string>, right_terms array<string>, left_acronyms array<string>, right_acronyms array<string>")
+    got = {r.k: (r.direct, r.primary, r.caveats, r.polarity) for r in literature.assess_records(rows).collect()}
+    assert got == {k: (d, p, c, "SUPPORTS" if d else "QUALIFIES") for k, _, _, d, p, c in papers}
+    refs = spark.createDataFrame([("PMID: 5",), ("PMCID:PMC7",), ("doi:10.1234/x",), ("10.1234/y",), ("ORPHA:1",)], "reference string")
+    lookups = spark.createDataFrame([("PMC", "7", 70), ("DOI", "10.1234/x", 80), ("DOI", "10.1234/y", None)], "form string, key string, pmid long")
+    got = {r.reference: (r.canonical, r.method, r.identity) for r in literature.resolve_references(refs, lookups).collect()}
+    assert got == {"PMID: 5": ("PMID:5", "direct", "PMID:5"), "PMCID:PMC7": ("PMID:70", "ncbi_id_converter", "PMID:70"), "doi:10.1234/x": ("PMID:80", "europe_pmc_doi", "PMID:80"), "10.1234/y": (None, "unresolved", "10.1234/y"), "ORPHA:1": (None, "no_resolver", "ORPHA:1")}
+    grants = spark.createDataFrame([("STUB1 in ataxia", True), ("STUB1 in ATAXIA", False), ("STUB1 in cancer", True), ("cerebellar ataxia", True), ("ChIP of XSTUB1", True)], "title string, active boolean").withColumn("abstract", F.lit(None).cast("string"))
+    assert [r.disposition for r in literature.grant_relevance(grants, "STUB1", "ataxia|cerebellar").collect()] == ["QUALIFIES", "EXPIRED", "CONTEXT_MISMATCH", "SUBJECT_MISMATCH", "RETRIEVED_BY_AMBIGUOUS_TOKEN"]
+    trials = spark.createDataFrame([(1, ["STUB1 disease"]), (2, ["other"])], "id int, conditions array<string>")
+    assert [r.id for r in literature.relevant_trials(trials, ["stub1"]).collect()] == [1]
+    have, new = (spark.createDataFrame(x, "pair_id int, term string, ord int") for x in ([(1, "Autophagy", 0)], [(1, "autophagy", 0), (1, "TFEB", 2), (1, "TFEB", 1)]))
+    assert sorted((r.term, r.ord, r.is_new) for r in literature.merge_terms(have, new).collect()) == [("Autophagy", 0, False), ("TFEB", 1, True)]
+    need, candidates = spark.createDataFrame([("r1", "c1"), ("r2", "c2")], "requirement string, category string"), spark.createDataFrame([("c1", "late", 2), ("c1", "early", 1)], "category string, name string, ord int")
+    assert sorted((r.requirement, r.candidate, r.status) for r in literature.capability_coverage(need, candidates).collect()) == [("r1", "early", "CANDIDATE_IDENTIFIED"), ("r2", None, "MISSING")]
+    results = spark.createDataFrame([("t", "b", 2), ("t", "a", 1)], "tier string, category string, hits int")
+    assert literature.search_coverage(results).first().note == "a=1, b=2"
+    teams = spark.createDataFrame([("q", "x", 1, False), ("q", "y", 2, True), ("q", "z", 3, True)], "requirement string, team string, ord int, current boolean")
+    assert literature.first_target(teams, "q").first().team == "y" and literature.first_target(teams, "none").count() == 0
+    findings = spark.createDataFrame([("b", 1), ("b", 2), ("a", 2)], "code string, object_id int")
+    assert literature.detector_counts(findings).filter("code = 'b'").first().findings == 2 and literature.most_flagged(findings).first().object_id == 2
+    order = [r.object_id for r in literature.shuffled(findings.select("object_id").distinct(), "object_id", 3).collect()]
+    assert sorted(order) == [1, 2] and literature.open_claims(spark.createDataFrame([("SUPPORTED",), ("CONTRADICTED",)], "status string")).count() == 1
+
+
+def test_whole_projection(spark):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "upstream": table([("u", "S", None)], "claim_id string, statement string, refinement_status string"), "atomic": table([("c", "u", "T", "A2")], "claim_id string, upstream_id string, statement string, rule_applied string"),
+        "observations": table([("e", "PMID:1", "PRIMARY")], "evidence_id string, source_identifier string, origin string"),
+        "evidence_roles": table([("c", "e#1", "direct_supporting"), ("c", "e#2", "direct_supporting"), ("c", "e#1", "indirect")], "claim_id string, evidence_id string, evidence_role string"),
+        "assets": table([("a", None, "x", "POSSIBLE")], "asset_id string, creator string, experiment_id string, reuse_status string"),
+    }
+    nodes, edges = projection.project(tables)
+    assert {(r.id, r.label): json.loads(r.properties) for r in nodes.collect()} == {("u", "Claim"): {"kind": "CURATED", "statement": "S"}, ("c", "Claim"): {"kind": "EXTRACTED", "statement": "T", "rule_applied": "A2"}, ("e", "Evidence"): {"source_identifier": "PMID:1", "origin": "PRIMARY"}, ("a", "ResearchAsset"): {"reuse_status": "POSSIBLE"}}
+    assert sorted((r.start_id, r.type, r.end_id, r.properties) for r in edges.collect()) == [("c", "GENERATED_FROM", "u", "{}"), ("c", "STUDIES", "e", '{"evidence_role":"direct_supporting"}'), ("c", "STUDIES", "e", '{"evidence_role":"indirect"}'), ("x", "MAY_REUSE", "a", '{"reuse_status":"POSSIBLE"}')]
+    assert [r.type for r in projection.check(nodes, edges).collect()] == ["MAY_REUSE"]
+    with pytest.raises(ValueError):
+        projection.project({"no such": nodes})
+
+
 def test_walk_has_no_depth_limit(spark):
     body = '{"evidence": [{"reference": "PMID:9", "n": 1}]}'
     for _ in range(100):
@@ -294,9 +411,9 @@ def test_store(spark):
 
 def test_projection(spark):
     table = spark.createDataFrame([("d1", "first", 1), ("d1", "last", 2)], "id string, name string, ord long")
-    nodes = projection.nodes([("Disease", table)])
-    assert [tuple(r) for r in nodes.collect()] == [("d1", "Disease", "last")]
-    edges = projection.relationships([("SUPPORTED_BY", spark.createDataFrame([("d1", "e1#obs"), ("d1", "e1#two")], "start_id string, end_id string"))])
+    nodes = projection.nodes([("Claim", table)])
+    assert [tuple(r) for r in nodes.collect()] == [("d1", "Claim", "last")]
+    edges = projection.relationships([("STUDIES", spark.createDataFrame([("d1", "e1#obs"), ("d1", "e1#two")], "start_id string, end_id string"))])
     assert [(r.start_id, r.end_id) for r in edges.collect()] == [("d1", "e1")] and projection.check(nodes, edges).count() == 1
     with pytest.raises(ValueError):
         projection.nodes([("Unknown", table)])
