@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cascade import first_match
 from ..functions.text import span_found, titles_match
+from .checkpoints import settled
 
 LOSS = ("ABOLISHED", "DECREASED")
 PARTIAL = ("PROCESSIVITY_DEFECT", "SUBSTRATE_SELECTIVE", "PARTIALLY_RETAINED")
@@ -175,3 +176,25 @@ def unsupported_direct_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     b = ends.select("doc", F.col("label").alias("target"), F.col("has").alias("to_has"))
     met = edges.filter("link = 'DIRECT' and n_evidence = 0").join(a, ["doc", "source"], "left").join(b, ["doc", "target"], "left")
     return met.filter(~F.coalesce("from_has", F.lit(False)) & ~F.coalesce("to_has", F.lit(False))).select("doc", "source", "target")
+
+
+def located_spans(docs: DataFrame, spans: DataFrame, words: int = 4, few: int = 50_000) -> DataFrame:
+    """docs (doc_id, hay) and a stated set of spans (item_id, span), in comparison form -> (item_id, doc_id) where a span stands.
+
+    A span may begin and end inside a word, so its inner words stand whole in a text: candidates share the hash of the `words`
+    after the first one, and are verified on the text. Spans with fewer inner words are held against all texts. Up to `few`
+    spans, or candidates, are broadcast; more meet by a shuffle.
+    """
+    small = lambda df: F.broadcast(df) if df.limit(few + 1).count() <= few else df
+    of = lambda parts, i: F.xxhash64(F.array_join(F.slice(parts, i, words), " "))
+    split = spans.filter("span <> ''").withColumn("_words", F.split("span", " "))
+    keyed = split.filter(F.size("_words") >= words + 2).select("item_id", of(F.col("_words"), F.lit(2)).alias("key"))
+    short = split.filter(F.size("_words") < words + 2).select("item_id", "span")
+    parts = F.split("hay", " ")
+    grams = F.when(F.size(parts) >= words, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts) - words + 1), lambda i: of(parts, i))))
+    met = docs.select("doc_id", F.explode(grams).alias("key")).join(small(keyed), "key").select("item_id", "doc_id").distinct()
+    met = settled(met)
+    found = docs.join(small(met), "doc_id").join(small(spans), "item_id").filter(F.contains("hay", F.col("span"))).select("item_id", "doc_id")
+    if short.limit(1).count():
+        found = found.unionByName(docs.join(F.broadcast(short), F.contains("hay", F.col("span"))).select("item_id", "doc_id"))
+    return found

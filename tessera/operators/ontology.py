@@ -61,24 +61,28 @@ def mica(pairs: DataFrame, closed: DataFrame, information: DataFrame) -> DataFra
     return wanted.join(best, ["a", "b"], "left").select("a", "b", F.col("m.ancestor").alias("mica"), F.coalesce("m.ic", F.lit(0.0)).alias("ic"))
 
 
-def best_match_average(pairs: DataFrame, annotations: DataFrame, similarity: DataFrame) -> DataFrame:
+def best_match_average(pairs: DataFrame, annotations: DataFrame, closed: DataFrame, information: DataFrame) -> DataFrame:
     """Pairs (l, r) of entities -> the mean of the best similarities of each one's terms, averaged over both directions.
 
-    similarity: (a, b, ic) of all term pairs that occur. An entity without terms gives 0.
+    A term's best similarity to an entity is the content of the most informative of its ancestors that any term of the
+    entity has too, so terms meet an entity's ancestors, not all its terms. An ancestor that no entity has counts 0, as no
+    common one does; an entity without terms gives 0.
     """
-    left, right = annotations.select(F.col("entity_id").alias("l"), F.col("term_id").alias("a")), annotations.select(F.col("entity_id").alias("r"), F.col("term_id").alias("b"))
-    met = pairs.select("l", "r").join(left, "l").join(right, "r").join(similarity.select("a", "b", "ic"), ["a", "b"])
-
-    # sums of whole millionths, so that their order does not matter and one division rounds
-    units = F.round(F.col("ic") * 1_000_000).cast("long")
-
-    def one_way(term: str, total: str, n: str) -> DataFrame:
-        best = met.groupBy("l", "r", term).agg(F.max(units).alias("best"))
-        return best.groupBy("l", "r").agg(F.sum("best").alias(total), F.count("*").alias(n))
-
-    both = one_way("a", "x", "nx").join(one_way("b", "y", "ny"), ["l", "r"])
+    have = annotations.select("entity_id", "term_id").distinct()
+    above = have.join(closed, "term_id").select("entity_id", "ancestor").distinct()
+    # whole millionths, so that the order of their sums does not matter and one division rounds
+    units = information.select(F.col("term_id").alias("ancestor"), F.round(F.col("ic") * 1_000_000).cast("long").alias("units"))
+    terms = have.join(closed, "term_id").join(units, "ancestor", "left").select("entity_id", "term_id", "ancestor", F.coalesce("units", F.lit(0)).alias("units"))
+    both = pairs.select("l", "r").distinct()
+    both = both.withColumn("swap", F.explode(F.array(F.lit(False), F.lit(True)))).select("l", "r", "swap", F.when(F.col("swap"), F.col("r")).otherwise(F.col("l")).alias("of"), F.when(F.col("swap"), F.col("l")).otherwise(F.col("r")).alias("to"))
+    asked = both.join(terms, both["of"] == terms["entity_id"]).drop("entity_id")
+    met = asked.join(above.select(F.col("entity_id").alias("to"), "ancestor", F.lit(True).alias("met")), ["to", "ancestor"], "left")
+    best = met.groupBy("l", "r", "swap", "term_id").agg(F.max(F.when(F.col("met"), F.col("units")).otherwise(0)).alias("best"))
+    way = best.groupBy("l", "r", "swap").agg(F.sum("best").alias("s"), F.count("*").alias("n"))
+    one = lambda c, swap: F.max(F.when(F.col("swap") == F.lit(swap), F.col(c)))
+    sums = way.groupBy("l", "r").agg(one("s", False).alias("x"), one("n", False).alias("nx"), one("s", True).alias("y"), one("n", True).alias("ny"))
     mean = (F.col("x") * F.col("ny") + F.col("y") * F.col("nx")).cast("double") / (2_000_000 * F.col("nx") * F.col("ny"))
-    return pairs.select("l", "r").join(both, ["l", "r"], "left").select("l", "r", F.coalesce(mean, F.lit(0.0)).alias("bma"))
+    return pairs.select("l", "r").join(sums, ["l", "r"], "left").select("l", "r", F.coalesce(mean, F.lit(0.0)).alias("bma"))
 
 
 def partition_terms(pairs: DataFrame, annotations: DataFrame, information: DataFrame, similarity: DataFrame, related: int = 10) -> DataFrame:

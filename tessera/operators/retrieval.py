@@ -39,8 +39,10 @@ def document_frequency(features: DataFrame, entities: DataFrame, order: str | No
     return rows.crossJoin(F.broadcast(n)).select("feature_id", *named, "df", "n", information(F.col("df"), F.col("n")).alias("ic"))
 
 
-def retrievable(frequency: DataFrame, ceiling: float = CEILING) -> DataFrame:
-    return frequency.filter((F.col("df") > 1) & (F.col("df") <= F.floor(F.col("n") * F.lit(ceiling))))
+def retrievable(frequency: DataFrame, ceiling: float = CEILING, most: int | None = None) -> DataFrame:
+    """Features worth retrieving on; most: an absolute bound on the entities that have one, none by default."""
+    kept = frequency.filter((F.col("df") > 1) & (F.col("df") <= F.floor(F.col("n") * F.lit(ceiling))))
+    return kept if most is None else kept.filter(F.col("df") <= most)
 
 
 def coverage(frequency: DataFrame, ceiling: float = CEILING) -> DataFrame:
@@ -54,20 +56,34 @@ def coverage(frequency: DataFrame, ceiling: float = CEILING) -> DataFrame:
     )
 
 
-def pruned(features: DataFrame, frequency: DataFrame, ceiling: float = CEILING) -> DataFrame:
+def pruned(features: DataFrame, frequency: DataFrame, ceiling: float = CEILING, most: int | None = None) -> DataFrame:
     """Features worth retrieving on, with df and ic."""
-    return features.join(retrievable(frequency, ceiling).select("feature_id", "df", "ic"), "feature_id")
+    return features.join(retrievable(frequency, ceiling, most).select("feature_id", "df", "ic"), "feature_id")
 
 
-def axis_scores(index: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+def index_near(features: DataFrame, entities: DataFrame, anchors: DataFrame, ceiling: float = CEILING) -> DataFrame:
+    """What pruned() gives of the features that any of a few anchors (entity_id) has: only those are counted."""
+    own = features.join(F.broadcast(anchors.select("entity_id")), "entity_id", "left_semi").select("feature_id").distinct()
+    near = features.join(own, "feature_id", "left_semi")
+    return pruned(near, document_frequency(near, entities), ceiling)
+
+
+def axis_scores(index: DataFrame, anchors: DataFrame | None = None, split: int = 2000) -> DataFrame:
     """(l, r, axis, ic, shared): the summed information of what two entities share, by the left one's axis.
 
     anchors (entity_id): the left entities, all by default. A feature meets at most ceiling * N times as many rows as it
     has on the left, so a few anchors cost in proportion to the index, and all of them more than that.
     """
     left = index if anchors is None else index.join(anchors.select("entity_id"), "entity_id", "left_semi")
-    a, b = left.alias("a"), index.select("entity_id", "feature_id").alias("b")
-    met = a.join(b, (F.col("a.feature_id") == F.col("b.feature_id")) & (F.col("a.entity_id") != F.col("b.entity_id")))
+    right = index.select("entity_id", "feature_id")
+    same = F.col("a.feature_id") == F.col("b.feature_id")
+    if "df" in index.columns:
+        # a feature that very many have is dealt over several tasks: its left rows by hash, its right ones to each
+        parts = F.ceil(F.col("df") / F.lit(split)).cast("int")
+        left = left.withColumn("_part", F.pmod(F.xxhash64("entity_id"), parts).cast("int"))
+        right = index.select("entity_id", "feature_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+        same = same & (F.col("a._part") == F.col("b._part"))
+    met = left.alias("a").join(right.alias("b"), same & (F.col("a.entity_id") != F.col("b.entity_id")))
     return met.groupBy(F.col("a.entity_id").alias("l"), F.col("b.entity_id").alias("r"), F.col("a.axis").alias("axis")).agg(
         F.sum("a.ic").cast(IC).alias("ic"), F.count("*").alias("shared")
     )

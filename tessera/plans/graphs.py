@@ -10,7 +10,6 @@ INFO = CLOSED + f""", ann as ({ANNOTATIONS}), total as (select count(distinct en
   info as (select ancestor term_id, count(distinct entity_id) n, round(-ln(count(distinct entity_id) / (select n from total)), 6) ic from ann join cl using (term_id) group by ancestor)"""
 SIMILAR = INFO + """, sim as (select x.term_id a, y.term_id b, max(coalesce(ic, 0)) ic, max((coalesce(ic, 0), x.ancestor)) best
   from (select * from cl where term_id like 'S%') x join (select * from cl where term_id like 'S%') y on x.ancestor = y.ancestor left join info on info.term_id = x.ancestor group by 1, 2)"""
-SUPPLIERS = "select x.s a, y.s b from (select concat('S', cast(s_suppkey as string)) s from {supplier}) x cross join (select concat('S', cast(s_suppkey as string)) s from {supplier}) y"
 
 
 def tables(spark, d):
@@ -56,8 +55,7 @@ BMA = f"""ps as ({PAIRS}), met as (select l, r, x.term_id a, y.term_id b, coales
 )
 def best_match_average(spark, d):
     _, closed, annotations, information = tables(spark, d)
-    similarity = ontology.mica(term_pairs(spark, d, annotations), closed, information).persist()
-    return ontology.best_match_average(bind(spark, d, PAIRS), annotations, similarity)
+    return ontology.best_match_average(bind(spark, d, PAIRS), annotations, closed, information)
 
 
 @query(

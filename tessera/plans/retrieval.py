@@ -55,9 +55,10 @@ def candidate_topk(spark, d):
 )
 def candidates_of_one(spark, d):
     """The neighbours of the newest entity."""
-    features, entities = bind(spark, d, FEATURES).persist(), bind(spark, d, ENTITIES)
-    index = retrieval.pruned(features, retrieval.document_frequency(features, entities))
-    best = retrieval.candidates(retrieval.axis_scores(index, entities.agg(F.max("entity_id").alias("entity_id"))))
+    features, entities = bind(spark, d, FEATURES), bind(spark, d, ENTITIES)
+    newest = entities.agg(F.max("entity_id").alias("entity_id"))
+    index = retrieval.index_near(features, entities, newest).persist()
+    best = retrieval.candidates(retrieval.axis_scores(index, newest))
     return best.select("l", "r", "axes", F.col("total").cast("double").alias("total"), "rank")
 
 

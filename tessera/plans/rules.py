@@ -121,8 +121,8 @@ def span_location(spark, d):
     # a stated set of quotations (the benchmark's) against all documents
     docs, spans = bind(spark, d, "select doc_id, text from {documents}"), bind(spark, d, "select item_id, text span from {benchmark}")
     folded = docs.select("doc_id", text.fold(F.col("text")).alias("hay"))
-    spans = spans.select("item_id", text.fold(F.col("span")).alias("span")).filter("span <> ''")
-    return folded.join(F.broadcast(spans), F.contains("hay", F.col("span"))).select("item_id", "doc_id")
+    spans = spans.select("item_id", text.fold(F.col("span")).alias("span"))
+    return evidence.located_spans(folded, spans)
 
 
 @query(
