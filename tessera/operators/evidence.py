@@ -190,9 +190,10 @@ def located_spans(docs: DataFrame, spans: DataFrame, words: int = 4, few: int =
     split = spans.filter("span <> ''").withColumn("_words", F.split("span", " "))
     keyed = split.filter(F.size("_words") >= words + 2).select("item_id", of(F.col("_words"), F.lit(2)).alias("key"))
     short = split.filter(F.size("_words") < words + 2).select("item_id", "span")
-    parts = F.split("hay", " ")
-    grams = F.when(F.size(parts) >= words, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts) - words + 1), lambda i: of(parts, i))))
-    met = docs.select("doc_id", F.explode(grams).alias("key")).join(small(keyed), "key").select("item_id", "doc_id").distinct()
+    # a lambda over one element binds the words, so that a text is split once
+    every = lambda parts: F.when(F.size(parts) >= words, F.transform(F.sequence(F.lit(1), F.size(parts) - words + 1), lambda i: of(parts, i)))
+    grams = F.transform(F.array(F.split("hay", " ")), every)[0]
+    met = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(small(keyed), "key").select("item_id", "doc_id").distinct()
     met = settled(met)
     found = docs.join(small(met), "doc_id").join(small(spans), "item_id").filter(F.contains("hay", F.col("span"))).select("item_id", "doc_id")
     if short.limit(1).count():
