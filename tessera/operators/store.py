@@ -72,4 +72,5 @@ def search(rows: DataFrame, name: str, key: str, query: str, limit: int = 12, ex
     low, q = F.lower(name), query.strip().lower()
     match = F.when(low == (exact or q), 4).when(F.startswith(low, F.lit(q)), 3).when(F.contains(low, F.lit(" " + q)), 2).when(F.contains(low, F.lit(q)), 1)
     scored = rows.withColumn("_m", match).filter("_m is not null").withColumn("_s", F.col("_m") * 2 + F.when(F.col("has_case"), 0).otherwise(1))
-    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("_s"), low, key))).filter(F.col("place") <= limit).drop("_m", "_s")
+    best = scored.orderBy(F.desc("_s"), low, key).limit(limit)  # a top-k, so that only `limit` rows are numbered
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("_s"), low, key))).drop("_m", "_s")
