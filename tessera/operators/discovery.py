@@ -89,3 +89,30 @@ def people(publications: DataFrame) -> DataFrame:
     return grouped.select(
         "person_id", F.col("e")[0]["name"].alias("name"), F.array_distinct(F.transform("e", lambda x: x["pmid"])).alias("publications"), F.array_distinct(F.flatten(F.transform("e", lambda x: x["affiliations"]))).alias("affiliations")
     )
+
+
+def fingerprint_summary(features: DataFrame, most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """features (doc, feature_id, feature_class) -> one row of totals (features, distinct, shared by more than one), and the `most` most common ones."""
+    counts = features.groupBy("feature_id").agg(F.countDistinct("doc").alias("docs"), F.count("*").alias("n"))
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("features"), F.count("*").alias("distinct"), F.count_if(F.col("docs") > 1).alias("shared"))
+    return totals, counts.select("feature_id", "docs").orderBy(F.desc("docs"), "feature_id").limit(most)
+
+
+def located_sentences(sources: DataFrame, locators: DataFrame, around: int = 160) -> DataFrame:
+    """sources (id, ord, location, text) x locators (id, locator, expected) -> (id, locator, span, location), null where nothing is found.
+
+    A locator is a pattern in any letter case, its blanks any white space. The first source that it stands in counts, of the expected
+    location if the id has any there; its first sentence that holds it is the span, else what stands `around` the place.
+    """
+    from ..functions.text import sentences
+
+    rows = locators.join(sources, "id", "left").withColumn("_p", F.concat(F.lit("(?i)"), F.replace("locator", F.lit(" "), F.lit(r"\s+"))))
+    expected = F.max(F.coalesce(F.col("location") == F.col("expected"), F.lit(False))).over(Window.partitionBy("id", "locator"))
+    rows = rows.withColumn("_any", expected).filter(~F.col("_any") | (F.col("location") == F.col("expected")) | F.col("expected").isNull())
+    place = F.regexp_instr("text", F.col("_p"))
+    rows = rows.withColumn("_at", F.when(F.rlike("text", F.col("_p")), place))
+    whole = F.filter(F.transform(sentences(F.col("text")), lambda x: F.trim(x)), lambda x: F.rlike(x, F.col("_p")))
+    window = F.trim(F.substring(F.col("text"), F.greatest(F.col("_at") - around, F.lit(1)), F.least(F.col("_at") - 1, F.lit(around)) + F.length(F.regexp_substr("text", F.col("_p"))) + around))
+    rows = rows.withColumn("span", F.when(F.col("_at").isNotNull(), F.coalesce(F.get(whole, F.lit(0)), window)))
+    order = Window.partitionBy("id", "locator").orderBy(F.col("_at").isNull(), "ord")
+    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("id", "locator", "span", F.when(F.col("span").isNotNull(), F.col("location")).alias("location"))

@@ -105,3 +105,21 @@ def partition_terms(pairs: DataFrame, annotations: DataFrame, information: DataF
     grouped = here.join(best.select("l", "r", "a", "b"), ["l", "r", "a"], "left")
     group = F.when(F.col("in_r") & (F.coalesce("own", F.lit(0.0)) >= least), "shared_informative").when(F.col("in_r"), "shared_generic").when(F.col("b").isNotNull(), "related").otherwise("left_only")
     return grouped.select("l", "r", F.col("a").alias("term_id"), group.alias("part"), F.col("b").alias("related_to"))
+
+
+def annotation_sets(raw: DataFrame, terms: DataFrame, alts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """raw (entity_id, term_id) -> the resolved annotations, each once, and the ids (entity_id, term_id) that the ontology does not know."""
+    asked = raw.select("entity_id", "term_id", F.upper("term_id").alias("_upper"))
+    found = canonical(asked, terms, alts, "_upper")
+    good = found.filter("canonical is not null").select("entity_id", F.col("canonical").alias("term_id")).distinct()
+    return good, found.filter("canonical is null").select("entity_id", "term_id").distinct()
+
+
+def distinctive_terms(partition: DataFrame, information: DataFrame, most: int = 15) -> tuple[DataFrame, DataFrame]:
+    """partition_terms() -> per pair the informative terms of l alone that nothing is related to, the `most` most informative ones
+    (l, r, term_id, ic, place), and (l, r, unmatched): its terms alone less all distinctive ones."""
+    alone = partition.filter(F.col("part").isin("left_only", "related"))
+    scored = alone.join(information.select("term_id", "ic"), "term_id", "left").withColumn("telling", (F.col("part") == "left_only") & (F.coalesce("ic", F.lit(0.0)) >= -math.log(INFORMATIVE)))
+    place = F.row_number().over(Window.partitionBy("l", "r").orderBy(F.desc("ic"), "term_id"))
+    best = scored.filter("telling").withColumn("place", place).filter(F.col("place") <= most).select("l", "r", "term_id", "ic", "place")
+    return best, scored.groupBy("l", "r").agg(F.count_if(~F.col("telling")).alias("unmatched"))

@@ -74,3 +74,26 @@ def search(rows: DataFrame, name: str, key: str, query: str, limit: int = 12, ex
     scored = rows.withColumn("_m", match).filter("_m is not null").withColumn("_s", F.col("_m") * 2 + F.when(F.col("has_case"), 0).otherwise(1))
     best = scored.orderBy(F.desc("_s"), low, key).limit(limit)  # a top-k, so that only `limit` rows are numbered
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("_s"), low, key))).drop("_m", "_s")
+
+
+SCHEMA_VERSION = 1
+
+
+def check_schema(stored: DataFrame) -> None:
+    """stored (version): one row with this version; anything else raises."""
+    versions = [r.version for r in stored.select("version").distinct().limit(2).collect()]
+    if versions != [SCHEMA_VERSION]:
+        raise ValueError(f"the store has schema {versions}, this is {SCHEMA_VERSION}")
+
+
+def score(worksheet: DataFrame, key: DataFrame, responses: DataFrame) -> DataFrame:
+    """worksheet (item_id, hash), key (item_id, engine, rule, hash), responses (item_id, hash, verdict) -> (item_id, engine, reviewer, rule).
+
+    Blank verdicts are left out. A response to an item that is not on the worksheet, or to another text of it, raises.
+    """
+    given = responses.filter("coalesce(trim(verdict), '') <> ''").select("item_id", F.col("hash").alias("seen"), F.col("verdict").alias("reviewer"))
+    met = given.join(worksheet.select("item_id", F.col("hash").alias("asked")), "item_id", "left").join(key.select("item_id", "engine", "rule", F.col("hash").alias("kept")), "item_id", "left")
+    wrong = met.filter("asked is null or kept is null or seen <> asked or kept <> asked").limit(5).collect()
+    if wrong:
+        raise ValueError(f"responses to unknown or changed items: {', '.join(str(r.item_id) for r in wrong)}")
+    return met.select("item_id", "engine", "reviewer", "rule")

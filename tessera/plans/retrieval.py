@@ -173,12 +173,13 @@ def modularity(spark, d):
     core as (select cluster, string_agg(feature_id, ',' order by ic desc, feature_id) core from (select *, row_number() over (partition by cluster order by ic desc, feature_id) p from cnt) z where p <= 8 group by cluster),
     inn as (select x.cluster, count(*) inn from edges join mem x on x.node = a join mem y on y.node = b where x.cluster = y.cluster group by 1),
     fin as (select cluster, size, round(2 * coalesce(inn, 0) / (size * (size - 1)), 3) density, coalesce(core, '') core from num left join inn using (cluster) left join core using (cluster))
-    select *, concat_ws(',', case when size > 12 then 'LARGE' end, case when density < 0.3 and size > 3 then 'SPARSE' end) caveats from fin""",
+    select *, concat_ws(',', case when core = '' then 'NO_CORE' end, case when size > 12 then 'LARGE' end, case when density < 0.3 and size > 3 then 'SPARSE' end) caveats from fin""",
 )
 def cluster_core_features(spark, d):
     index = index_of(spark, d)
     members = graph.clusters(bind(spark, d, NATION_LABELS))
-    return graph.describe_clusters(members, index, edges_of(spark, d, index).persist())
+    found = graph.describe_clusters(members, index, edges_of(spark, d, index).persist())
+    return found.select("cluster", "size", "density", "core", "caveats")
 
 
 @query(

@@ -10,7 +10,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from tessera.functions import ids, text
-from tessera.operators import compare, corpus, discovery, evidence, graph, ingest, literature, ontology, ordered, projection, store, synthesis
+from tessera.operators import action, compare, corpus, discovery, evidence, graph, ingest, literature, ontology, ordered, pairs, projection, store, synthesis
 from tessera.sources import files, obo, responses
 from tessera.streaming import neighbours
 
@@ -434,6 +434,65 @@ def test_discovery(spark):
     assert [r.state for r in discovery.breadth(hits).collect()] == ["CHECKED_EMPTY", "CHECKED", "TOO_BROAD", "NOT_STARTED", "FAILED"]
 
 
+def test_clusters_and_methods(spark):
+    edges = spark.createDataFrame([(a, b, 2.0) for base in (0, 10) for a in range(base, base + 4) for b in range(a + 1, base + 4)] + [(3, 10, 0.5)], "a long, b long, weight double")
+    nodes = spark.createDataFrame([(i,) for i in (*range(4), *range(10, 14), 99)], "node long")
+    index = spark.createDataFrame([(i, "core", 3.0) for i in range(4)] + [(0, "pair", 2.0), (1, "pair", 2.0), (10, "one", 1.0)], "entity_id long, feature_id string, ic double").withColumn("axis", F.lit("gene"))
+    members = graph.clusters(graph.louvain(edges, 1.0))
+    got = {r["size"]: 0 for r in members.collect()}
+    assert got == {4: 0} and [r.node for r in graph.unclustered(nodes, members).collect()] == [99]
+    found = {r.cluster: r for r in graph.describe_clusters(members, index, edges).collect()}
+    assert (found["cluster-0000"].core, found["cluster-0000"].distinguishing, found["cluster-0000"].mean_weight) == ("core,pair", "", 2.0) and found["cluster-0001"].caveats == "NO_CORE"
+    report = {r.method: (r.clusters, r.unclustered, r.share_with_core) for r in graph.compare_methods(edges, index, nodes, 1.0).collect()}
+    assert report["louvain"] == report["greedy_modularity"] == (2, 1, 0.5) and report["connected_components"] == (1, 1, 1.0)
+
+
+def test_decisions(spark):
+    row = ("p", "DISTINCT_DISEASE", 0, 2, 2, True, True, "NONE", "WEAK", True, 3, "NOT_ASSESSABLE", "STRONG", 2, 1, "autophagy")
+    names = "pair_id string, identity string, n_refuting int, n_direct int, n_primary int, has_bridge boolean, anchored boolean, phenotype string, tissue string, strong_anchor boolean, n_reasons int, compatibility string, process string, n_supporting int, n_alternatives int, bridge string"
+    r = pairs.decide(spark.createDataFrame([row], names)).first()
+    assert (r.relation, r.rule, r.actionable, r.validity) == ("SHARED_DOWNSTREAM_MECHANISM", "C5", True, "CORRECT")
+    assert [t.stage for t in r.trace] == pairs.STAGES and len(r.trace) == 13
+    assert [t.stage for t in r.trace if not t.assessable] == ["VariantEffectCompatibility", "PhenotypeComparison"] and r.trace[-1].finding == "SHARED_DOWNSTREAM_MECHANISM (retrieval CORRECT)"
+    shared = spark.createDataFrame([("p", "SHARED_PHENOTYPE", "f2", "b", 3, 1.0), ("p", "SHARED_PHENOTYPE", "f1", "a", 2, 2.0), ("p", "X", "f3", "c", 2, 2.0)], "pair_id string, method string, feature_id string, label string, df int, ic double")
+    assert sorted((x.method, x.reason, x.feature_id) for x in pairs.retrieval_reasons(shared).collect()) == [("SHARED_PHENOTYPE", "PHENOTYPE_SIMILARITY", "f1"), ("X", "OTHER", "f3")]
+
+
+def test_annotation_sets_and_distinctive_terms(spark, terms):
+    term, isa, alt = obo.tables(terms)
+    raw = spark.createDataFrame([("a", "hp:0009999"), ("a", "HP:0000400"), ("a", "HP:0000300"), ("a", "HP:0000777"), ("b", "HP:0000200")], "entity_id string, term_id string")
+    good, bad = ontology.annotation_sets(raw, term, alt)
+    assert sorted((r.entity_id, r.term_id) for r in good.collect()) == [("a", "HP:0000300"), ("a", "HP:0000400"), ("b", "HP:0000200")] and [r.term_id for r in bad.collect()] == ["HP:0000777"]
+    partition = spark.createDataFrame([("a", "b", "x", "left_only"), ("a", "b", "y", "left_only"), ("a", "b", "z", "related"), ("a", "b", "w", "left_only"), ("a", "b", "s", "shared_generic")], "l string, r string, term_id string, part string")
+    info = spark.createDataFrame([("x", 4.0), ("y", 5.0), ("z", 9.0), ("w", 1.0)], "term_id string, ic double")
+    best, rest = ontology.distinctive_terms(partition, info, 1)
+    assert [(r.term_id, r.place) for r in best.collect()] == [("y", 1)] and rest.first().unmatched == 2
+
+
+def test_located_sentences(spark):
+    sources = spark.createDataFrame([(1, 0, "abstract", "First one. The Loss  of X was seen. End."), (1, 1, "body", "Here loss of X too."), (2, 0, "abstract", "nothing")], "id int, ord int, location string, text string")
+    asked = spark.createDataFrame([(1, "loss of x", None), (1, "loss of X", "body"), (1, "one. The", "elsewhere"), (2, "absent", None)], "id int, locator string, expected string")
+    got = {(r.id, r.locator): (r.span, r.location) for r in discovery.located_sentences(sources, asked).collect()}
+    assert got == {(1, "loss of x"): ("The Loss  of X was seen.", "abstract"), (1, "loss of X"): ("Here loss of X too.", "body"), (1, "one. The"): ("First one. The Loss  of X was seen. End.", "abstract"), (2, "absent"): (None, None)}
+
+
+def test_scores_and_schema(spark):
+    sheet, key = spark.createDataFrame([("i", "h"), ("j", "h")], "item_id string, hash string"), spark.createDataFrame([("i", "SUPPORTED", "A2", "h"), ("j", "SUPPORTED", "A2", "h")], "item_id string, engine string, rule string, hash string")
+    answer = lambda *rows: spark.createDataFrame(rows, "item_id string, hash string, verdict string")
+    assert [tuple(r) for r in store.score(sheet, key, answer(("i", "h", "CONTRADICTED"), ("j", "h", " "))).collect()] == [("i", "SUPPORTED", "CONTRADICTED", "A2")]
+    for bad in (answer(("k", "h", "x")), answer(("i", "other", "x"))):
+        with pytest.raises(ValueError):
+            store.score(sheet, key, bad)
+    store.check_schema(spark.createDataFrame([(1,)], "version int"))
+    with pytest.raises(ValueError):
+        store.check_schema(spark.createDataFrame([(2,)], "version int"))
+    features = spark.createDataFrame([("a", "f", "c"), ("b", "f", "c"), ("a", "g", "c")], "doc string, feature_id string, feature_class string")
+    totals, top = discovery.fingerprint_summary(features, 1)
+    assert tuple(totals.first()) == (3, 2, 1) and tuple(top.first()) == ("f", 2)
+    hits = spark.createDataFrame([("c", "1", 2000, 0), ("c", "2", 2010, 1)], "capability string, pmid string, year int, ord int")
+    assert [r.pmid for r in action.first_candidates(hits, known=spark.createDataFrame([("2",)], "pmid string")).collect()] == ["1"]
+
+
 def test_synthesis_guards(spark):
     schema = "pair_id string, name_a string, name_b string, relation string, n_evidence int, terms array<string>, factors array<string>"
     good = ("p", "A", "B", "SHARED_DOWNSTREAM_MECHANISM", 2, ["autophagy"], [])
