@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, licenses, media, mixing, quality, secrets_scan, simhash, suffix_dedup, token_count
+from . import bpe, byte_bpe, hilbert, licenses, media, mixing, quality, secrets_scan, simhash, suffix_dedup, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +79,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"), keep=["doc_id"])
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_decode_ranks(documents(spark, sf_dir), vocabulary_path("byte_bpe_multi_50k.tiktoken"), keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_media, op3_quality, op4_licenses, op5_simhash, op6_token_counts, op7_secrets, op8_suffix_dedup, op9_sharding, op10_bpe)
+    for f in (op1_mixing, op2_media, op3_quality, op4_licenses, op5_simhash, op6_token_counts, op7_secrets, op8_suffix_dedup, op9_sharding, op10_bpe, op11_byte_bpe)
 }
 
 QUALITY_SQL = r"""with d as (select doc_id, coalesce(text, '') text from documents),
