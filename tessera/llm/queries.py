@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_bpe, hilbert, licenses, media, mixing, quality, secrets_scan, simhash, suffix_dedup, token_count
+from . import alignment, bpe, byte_bpe, conversations, hilbert, licenses, media, mixing, quality, secrets_scan, simhash, suffix_dedup, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +83,18 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode_ranks(documents(spark, sf_dir), vocabulary_path("byte_bpe_multi_50k.tiktoken"), keep=["doc_id"])
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model")
+    return alignment.scored_alignments(documents(spark, sf_dir), *paths, keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_media, op3_quality, op4_licenses, op5_simhash, op6_token_counts, op7_secrets, op8_suffix_dedup, op9_sharding, op10_bpe, op11_byte_bpe)
+    for f in (op1_mixing, op2_media, op3_quality, op4_licenses, op5_simhash, op6_token_counts, op7_secrets, op8_suffix_dedup, op9_sharding, op10_bpe, op11_byte_bpe, op12_conversations, op13_alignment)
 }
 
 QUALITY_SQL = r"""with d as (select doc_id, coalesce(text, '') text from documents),
