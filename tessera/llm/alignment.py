@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,16 @@ from pyspark.sql import types as T
 
 from ..operators.checkpoints import settled
 from .bpe import PIECES, byte_letters
+from .byte_bpe import Numbers
 from .common import fresh, slices, utf8
 
 #: Pairs of ids that are broadcast with their counts: the most frequent ones. All others are joined by a shuffle.
 MOST_BROADCAST = 200_000
-#: Runs whose tokens are remembered between blocks.
-MOST_KNOWN = 250_000
+#: Runs whose tokens are remembered between blocks, and bytes of text in a block.
+MOST_KNOWN, BLOCK = 300_000, 3 << 20
 
 RUNS = "array<struct<a: array<int>, a_ends: array<int>, b: array<int>, b_ends: array<int>>>"
-COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+RESULTS = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links", "groups")
 
 
 class Tokenizers:
@@ -55,7 +57,15 @@ class Tokenizers:
             raise ValueError("pieces that go on behind a blank: texts can't be cut into runs")
         self.cut = regex.compile(r"(?<=\S)(?= \S)")
         self.odd = regex.compile(r"\s\s|\s$")
-        self.known: dict[str, tuple[bytes, bytes, bytes, bytes, bool]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Runs by number; of both sides all ids and ends one after another, and where each run's begin and how many they are; and
+        whether both sides give a run's bytes back."""
+        self.number = Numbers()
+        self.pools = [np.empty((2, 0), np.int32)] * 2
+        self.spans = [np.empty((2, 0), np.int64)] * 2
+        self.good = np.empty(0, bool)
 
     def piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -67,44 +77,48 @@ class Tokenizers:
             return self.cut.split(" " + text)
         return (" " + text.replace(" ", "\0 ")).split("\0")
 
-    def learn(self, found: list[str]) -> None:
-        """Tokenise runs, each of which begins with the blank that the second vocabulary adds by itself."""
-        sides = []
-        data = [r.encode() for r in found]
-        for rows, sizes, pieces in (
-            ([self.a.encode_ordinary(r) for r in found], self.size_a, self.bytes_a),
-            (self.b.encode([r[1:] for r in found], num_threads=1), self.size_b, self.bytes_b),
-        ):
-            counts = np.fromiter(map(len, rows), np.int64, len(rows))
-            ids = np.fromiter((i for row in rows for i in row), np.int32, counts.sum())
-            ends = np.cumsum(sizes[ids], dtype=np.int64)
-            last = np.cumsum(counts)
-            before = np.where(last - counts > 0, ends[np.maximum(last - counts - 1, 0)], 0) if len(ends) else np.zeros(len(rows), np.int64)
-            inside = (ends - np.repeat(before, counts)).astype(np.int32).tobytes()
-            packed, bounds = ids.tobytes(), (4 * np.append(0, last)).tolist()
-            same = [b"".join([pieces[i] for i in row]) == d for row, d in zip(rows, data, strict=True)]
-            sides.append([(packed[x:y], inside[x:y], s) for x, y, s in zip(bounds, bounds[1:], same, strict=False)])
-        self.known.update((r, (*a[:2], *b[:2], a[2] and b[2])) for r, a, b in zip(found, *sides, strict=True))
-
-    def block(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[list[bytes]]]:
-        """Each text as numbers of the block's runs (no numbers: no tokens), and the runs' ids and ends of both vocabularies."""
-        number: dict[str, int] = {}
+    def learn(self) -> None:
+        """Tokenise the runs that got the last numbers; each begins with the blank that the second vocabulary adds by itself."""
+        new = len(self.number) - len(self.good)
+        if not new:
+            return
+        found = list(islice(reversed(self.number), new))[::-1]
+        data, good = [r.encode() for r in found], np.ones(new, bool)
+        for side, (rows, sizes, pieces) in enumerate((
+            ([self.a.encode_ordinary(r) for r in found], self.size_a, self.bytes_a), (self.b.encode([r[1:] for r in found], num_threads=1), self.size_b, self.bytes_b),
+        )):
+            good &= [b"".join([pieces[i] for i in row]) == d for row, d in zip(rows, data, strict=True)]
+            counts = np.fromiter(map(len, rows), np.int64, new)
+            ids = np.fromiter(chain.from_iterable(rows), np.int32, counts.sum())
+            begun = np.cumsum(counts) - counts
+            ends = np.append(0, np.cumsum(sizes[ids], dtype=np.int64))
+            inside = ends[1:] - np.repeat(ends[begun], counts)
+            self.spans[side] = np.hstack([self.spans[side], [begun + self.pools[side].shape[1], counts]])
+            self.pools[side] = np.hstack([self.pools[side], [ids, inside.astype(np.int32)]])
+        self.good = np.append(self.good, good)
+
+    def block(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Each text as numbers of the block's runs (none: no tokens), its tokens of both sides, and both sides' ids and ends of the runs,
+        with how many each run has."""
         codes = []
         for data in texts:
             text = data.decode("utf-8", "replace")
             # bytes that are no UTF-8 are not given back by any token
-            own = self.runs(text) if text and text.encode() == data else []
-            codes.append([number.setdefault(r, len(number)) for r in own])
-        if len(self.known) > MOST_KNOWN:
-            self.known = {}
-        self.learn([r for r in number if r not in self.known])
-        rows = [self.known[r] for r in number]
-        for r in number:
-            if len(r) > 64:
-                del self.known[r]
-        good = np.array([r[4] for r in rows], bool)
-        arrays = [np.array(c, np.int32) for c in codes]
-        return [c if good[c].all() else c[:0] for c in arrays], [[r[i] for r in rows] for i in range(4)]
+            codes.append([self.number[r] for r in self.runs(text)] if text and text.encode() == data else [])
+        self.learn()
+        arrays = [np.array(c, np.int64) for c in codes]
+        arrays = [c if self.good[c].all() else c[:0] for c in arrays]
+        here, local = np.unique(np.concatenate(arrays), return_inverse=True)
+        sides, tokens = [], []
+        for pool, spans in zip(self.pools, self.spans, strict=True):
+            starts, n = spans[:, here]
+            ends = np.cumsum(n)
+            sides.append((pool[:, np.arange(n.sum()) + np.repeat(starts - (ends - n), n)], n))
+            tokens.append([spans[1, c].sum() for c in arrays])
+        out = np.split(local.astype(np.int32), np.cumsum([len(c) for c in arrays])[:-1])
+        if len(self.number) > MOST_KNOWN or self.pools[0].shape[1] > 8 * MOST_KNOWN:
+            self.forget()
+        return out, np.array(tokens, np.int64), sides
 
 
 @lru_cache(2)
@@ -120,7 +134,7 @@ def tokenised(df: DataFrame, path_a: str, path_b: str, text: str, keep: list[str
     """(rows, runs): blocks of texts; rows has a block's texts with the columns `keep` as k0, k1, ... and their runs' numbers."""
     kept = [next(f for f in df.schema.fields if f.name == c) for c in keep]
     fields = [T.StructField(f"k{i}", f.dataType) for i, f in enumerate(kept)]
-    row = T.StructType([*fields, T.StructField("codes", T.ArrayType(T.IntegerType()))])
+    row = T.StructType([*fields, T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("codes", T.ArrayType(T.IntegerType()))])
     out = T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("runs", T._parse_datatype_string(RUNS))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -129,14 +143,14 @@ def tokenised(df: DataFrame, path_a: str, path_b: str, text: str, keep: list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(path_a, path_b)
         for whole in batches:
-            for batch in slices(whole, len(kept), 4 << 20):
-                codes, sides = both.block(batch.column(len(kept)).to_pylist())
-                flat = pa.array(np.concatenate(codes))
-                rows = pa.StructArray.from_arrays([*batch.columns[:-1], listed(flat, [len(c) for c in codes])], names=row.names)
-                columns = [listed(pa.array(np.frombuffer(b"".join(s), np.int32)), [len(x) // 4 for x in s]) for s in sides]
+            for batch in slices(whole, len(kept), BLOCK):
+                codes, tokens, sides = both.block(batch.column(len(kept)).to_pylist())
+                flat = listed(pa.array(np.concatenate(codes)), [len(c) for c in codes])
+                rows = pa.StructArray.from_arrays([*batch.columns[:-1], *map(pa.array, tokens), flat], names=row.names)
+                columns = [listed(pa.array(x), n) for values, n in sides for x in values]
                 runs = pa.StructArray.from_arrays(columns, names=["a", "a_ends", "b", "b_ends"])
                 lists = [listed(x, [len(x)]).cast(k) for x, k in zip((rows, runs), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(lists, names=["rows", "runs"])
+                yield pa.RecordBatch.from_arrays(lists, names=out.names)
 
     columns = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
     return df.select(*columns, utf8(f"`{text}`").alias("text")).mapInArrow(run, out)
@@ -165,10 +179,15 @@ def groups(run: Column) -> Column:
 
     def cut(at: Column) -> Column:
         begun = lambda i, side: F.coalesce(F.get(at, i - 1)[side], F.lit(0))
-        ids = lambda p, i, side: F.transform(F.sequence(begun(i, side), p[side] - 1), lambda k: F.get(run[side], k))
+        span = lambda p, i, side: F.transform(F.sequence(begun(i, side), p[side] - 1), lambda k: F.get(run[side], k))
+        ids = lambda p, i, side: F.when(p[side] == begun(i, side) + 1, F.array(F.get(run[side], p[side] - 1))).otherwise(span(p, i, side))
         return F.transform(at, lambda p, i: F.struct(ids(p, i, "a").alias("a"), ids(p, i, "b").alias("b")))
 
-    return let(places, cut)
+    # the last ends are common, so a token that is alone on its side makes a group of the run; with equal ends, all tokens do
+    whole = F.array(F.struct(run["a"].alias("a"), run["b"].alias("b")))
+    each = F.zip_with(run["a"], run["b"], lambda x, y: F.struct(F.array(x).alias("a"), F.array(y).alias("b")))
+    alone = (F.size(run["a"]) == 1) | (F.size(run["b"]) == 1)
+    return F.when(alone, whole).when(run["a_ends"] == run["b_ends"], each).otherwise(let(places, cut))
 
 
 def written(group: Column) -> Column:
@@ -182,57 +201,50 @@ def links(group: Column) -> Column:
 
 
 def known_run(run: Column) -> Column:
-    made = lambda g: F.struct(
-        F.array_join(F.transform(g, written), ";").alias("groups"), F.flatten(F.transform(g, links)).alias("links"),
-        F.size(g).alias("n_groups"), F.size(run["a"]).alias("n_a"), F.size(run["b"]).alias("n_b"),
-    )
+    """A run's groups, written, and its links."""
+    made = lambda g: F.struct(F.array_join(F.transform(g, written), ";").alias("groups"), F.flatten(F.transform(g, links)).alias("links"))
     return let(groups(run), made)
 
 
 def alignments(df: DataFrame, path_a: str, path_b: str, text: str = "text", keep: list[str] | None = None, written_out: bool = False) -> DataFrame:
-    """The columns `keep` (all by default), n_a, n_b, n_groups, n_links, groups_sha256 and the distinct links: a text's pairs of ids
-    in `a` and `b`, and how often each stands in it in `times`; with written_out=True also `groups` as written.
+    """The columns `keep` (all by default), n_a, n_b, n_groups, n_links, groups_sha256 and `links`: every pair of a text's ids that share a
+    group, as often as they do, each as one number (see ids_of()); with written_out=True also `groups` as written.
 
     The first vocabulary (byte-level, a .json file) takes a blank and the text, the second (a .model file) adds that blank itself;
     neither adds special tokens. A null or empty text, or one whose bytes one of them does not give back, has no tokens: zeros,
     groups_sha256 '' and no links. Kept columns with a result's name give way.
     """
-    made = {*COUNTS, "groups_sha256", "a", "b", "times", "groups"}
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in made]
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in RESULTS]
     blocks = tokenised(df, path_a, path_b, text, keep)
 
-    def counted(links: Column) -> Column:
-        ends = F.filter(F.sequence(F.lit(0), F.size(links) - 1), lambda i: ~F.get(links, i).eqNullSafe(F.get(links, i + 1)))
-        pair = lambda i: F.get(links, i)
-        found = lambda e: F.struct(
-            F.size(links).cast("long").alias("n_links"), F.transform(e, lambda i: F.call_function("shiftright", pair(i), F.lit(32)).cast("int")).alias("a"),
-            F.transform(e, lambda i: pair(i).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("b"),
-            F.transform(e, lambda i, k: i - F.coalesce(F.get(e, k - 1), F.lit(-1))).alias("times"),
-        )
-        return let(F.when(F.size(links) > 0, ends).otherwise(F.array().cast("array<int>")), found)
-
     def text_row(row: Column, runs: Column) -> Column:
-        own = lambda c, name: F.get(runs, c)[name]
-        total = lambda name: F.aggregate(row["codes"], F.lit(0).cast("long"), lambda n, c: n + own(c, name).cast("long")).alias(name)
-        whole = F.array_join(F.transform(row["codes"], lambda c: own(c, "groups")), ";")
-        pairs = F.sort_array(F.flatten(F.transform(row["codes"], lambda c: own(c, "links"))))
-        return F.struct(*[row[f"k{i}"].alias(f"k{i}") for i in range(len(keep))], *[total(c) for c in ("n_a", "n_b", "n_groups")], whole.alias("groups"), let(pairs, counted).alias("links"))
+        own = lambda name: F.transform(row["codes"], lambda c: F.get(runs, c)[name])
+        kept = [row[c].alias(c) for c in (*[f"k{i}" for i in range(len(keep))], "n_a", "n_b")]
+        return F.struct(*kept, F.array_join(own("groups"), ";").alias("groups"), F.flatten(own("links")).alias("links"))
 
     out = blocks.select(F.explode(let(F.transform("runs", known_run), lambda runs: F.transform("rows", lambda row: text_row(row, runs)))).alias("r"))
-    digest = F.when(F.col("r.n_groups") > 0, F.sha2(F.col("r.groups").cast("binary"), 256)).otherwise("").alias("groups_sha256")
+    has_any = F.col("r.groups") != ""
+    digest = F.when(has_any, F.sha2(F.col("r.groups").cast("binary"), 256)).otherwise("")
+    n_groups = F.when(has_any, 1 + F.length("r.groups") - F.length(F.replace("r.groups", F.lit(";"), F.lit("")))).otherwise(0)
     return out.select(
-        *[F.col(f"r.k{i}").alias(c) for i, c in enumerate(keep)], "r.n_a", "r.n_b", "r.n_groups", "r.links.n_links", digest,
-        "r.links.a", "r.links.b", "r.links.times", *(["r.groups"] if written_out else []),
+        *[F.col(f"r.k{i}").alias(c) for i, c in enumerate(keep)], "r.n_a", "r.n_b", n_groups.cast("long").alias("n_groups"),
+        F.size("r.links").cast("long").alias("n_links"), digest.alias("groups_sha256"), "r.links", *(["r.groups"] if written_out else []),
     )
 
 
+def ids_of(link: Column | str) -> tuple[Column, Column]:
+    """The two ids of a link."""
+    link = F.col(link) if isinstance(link, str) else link
+    return F.call_function("shiftright", link, F.lit(32)).cast("int"), link.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
 def pair_counts(aligned: DataFrame) -> DataFrame:
-    """(a, b, n, best): in how many texts each pair of ids is linked, and whether no pair of that `a` is linked in more.
+    """(link, n, best): in how many texts each pair of ids is linked, and whether no pair of its first id is linked in more.
 
     Pairs are counted before they are shuffled; an id's pairs are at most as many as the other vocabulary has ids.
     """
-    pairs = aligned.select(F.explode(F.arrays_zip("a", "b")).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    return pairs.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("a")))
+    pairs = aligned.select(F.explode(F.array_distinct("links")).alias("link")).groupBy("link").agg(F.count("*").alias("n"))
+    return pairs.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy(ids_of("link")[0])))
 
 
 def scored_alignments(df: DataFrame, path_a: str, path_b: str, text: str = "text", keep: list[str] | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -249,17 +261,14 @@ def scored_alignments(df: DataFrame, path_a: str, path_b: str, text: str = "text
     if counts.count() <= most_broadcast:
         frequent, rare = counts, None
     else:
-        frequent = settled(counts.orderBy(F.desc("n"), "a", "b").limit(most_broadcast))
-        rare = counts.join(F.broadcast(frequent.select("a", "b")), ["a", "b"], "left_anti")
-    each = aligned.select(F.col(number).alias("row"), F.explode(F.arrays_zip("a", "b", "times")).alias("p")).select("row", "p.*")
-    met = each.join(F.broadcast(frequent), ["a", "b"])
-    sums = lambda x: x.groupBy("row").agg(
-        F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum")
-    )
-    found = sums(met)
+        frequent = settled(counts.orderBy(F.desc("n"), "link").limit(most_broadcast))
+        rare = counts.join(F.broadcast(frequent.select("link")), "link", "left_anti")
+    each = aligned.select(F.col(number).alias("row"), F.explode("links").alias("link"))
+    sums = lambda x: x.groupBy("row").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    found = sums(each.join(F.broadcast(frequent), "link"))
     if rare is not None:
-        others = each.join(F.broadcast(frequent.select("a", "b")), ["a", "b"], "left_anti").join(rare, ["a", "b"])
+        others = each.join(F.broadcast(frequent.select("link")), "link", "left_anti").join(rare, "link")
         found = found.unionAll(sums(others)).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    out = aligned.drop("a", "b", "times").join(found, F.col(number) == F.col("row"), "left").drop(number, "row")
+    out = aligned.drop("links").join(found, F.col(number) == F.col("row"), "left").drop(number, "row")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return out.withColumns({"n_best": zero("n_best"), "count_sum": zero("count_sum")})
