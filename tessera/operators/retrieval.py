@@ -6,9 +6,13 @@ one entity has it and no more than `ceiling` of all; that bounds how often a key
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import settled
+
 CEILING = 0.05
 ANCHOR_MOST = 33
 EDGE_LEAST = 8.0
@@ -96,6 +100,52 @@ def candidates(scores: DataFrame, limit: int = 25, least_axes: int = 1) -> DataF
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
+def best_candidates(index: DataFrame, limit: int = 25, least_axes: int = 1, rare: int = 100) -> DataFrame:
+    """candidates(axis_scores(index)) without most of its pairs: those that can't be among the best are not formed.
+
+    Entities first meet in their rare features (`rare` entities or fewer). What the k-th best of these has already is a bound from
+    below for the k-th best of all, since more shared features only add axes and information. An entity's common features are a
+    bound from above for what they can add: where they could lift an entity that is not met yet to the bound, all its pairs are
+    formed; else only pairs met in rare features whose own upper bound reaches it go on to the comparison of common features.
+    """
+    axes = [r.axis for r in index.select("axis").distinct().limit(63).collect()]
+    if len(axes) > 62:  # more than a number has bits
+        return candidates(axis_scores(index), limit, least_axes)
+    bits = reduce(lambda c, i: c.when(F.col("axis").eqNullSafe(F.lit(axes[i])), F.lit(1 << i)), range(1, len(axes)), F.when(F.lit(False), F.lit(0))).otherwise(F.lit(1))
+    rows = settled(index.withColumn("bit", bits.cast("long")).select("entity_id", "feature_id", "axis", "bit", "df", "ic"))
+    few, many = rows.filter(F.col("df") <= rare), rows.filter(F.col("df") > rare)
+    a, b = few.alias("a"), few.select("entity_id", "feature_id").alias("b")
+    met = a.join(b, (F.col("a.feature_id") == F.col("b.feature_id")) & (F.col("a.entity_id") != F.col("b.entity_id")))
+    met = met.groupBy(F.col("a.entity_id").alias("l"), F.col("b.entity_id").alias("r")).agg(F.bit_or("a.bit").alias("mask"), F.sum("a.ic").cast(IC).alias("total"))
+    met = settled(met)
+    rank = lambda mask, total: F.struct(F.bit_count(mask).alias("axes"), total.cast(IC).alias("total"))
+    order = Window.partitionBy("l").orderBy(F.desc(F.bit_count("mask")), F.desc("total"))
+    least = met.withColumn("k", F.row_number().over(order)).filter(F.col("k") == limit).select("l", rank(F.col("mask"), F.col("total")).alias("least"))
+    more = settled(many.groupBy("entity_id").agg(F.bit_or("bit").alias("more_mask"), F.sum("ic").cast(IC).alias("more"), F.collect_list(F.struct("feature_id", "bit", "ic")).alias("own")))
+    bound = more.select(F.col("entity_id").alias("l"), "more_mask", "more").join(least, "l", "left")
+    opened = F.col("least").isNull() | (rank(F.col("more_mask"), F.col("more")) >= F.col("least"))
+    bound = settled(bound.withColumn("opened", opened).join(rows.select(F.col("entity_id").alias("l")).distinct(), "l", "right"))
+    closed = met.join(bound.filter("not coalesce(opened, false)").select("l", "more_mask", "more", "least"), "l")
+    other = more.select(F.col("entity_id").alias("r"), F.col("more").alias("others"))
+    closed = closed.join(other, "r", "left")
+    adds = F.col("more").isNotNull() & F.col("others").isNotNull()
+    up = rank(F.when(adds, F.col("mask").bitwiseOR(F.col("more_mask"))).otherwise(F.col("mask")), F.col("total") + F.when(adds, F.least("more", "others")).otherwise(0))
+    left = closed.filter(F.col("least").isNull() | (up >= F.col("least"))).select("l", "r", "mask", "total", adds.alias("adds"))
+    left = left.join(more.select(F.col("entity_id").alias("l"), "own"), "l", "left")
+    left = left.join(more.select(F.col("entity_id").alias("r"), F.transform("own", lambda x: x["feature_id"]).alias("theirs")), "r", "left")
+    ids = F.array_intersect(F.transform("own", lambda x: x["feature_id"]), F.col("theirs"))
+    shared = F.when(F.col("adds"), ids).otherwise(F.array().cast(f"array<{dict(rows.dtypes)['feature_id']}>"))
+    left = left.withColumn("both", shared).withColumn("common", F.filter("own", lambda x: F.array_contains("both", x["feature_id"])))
+    mask = F.aggregate("common", F.col("mask"), lambda m, x: m.bitwiseOR(x["bit"]))
+    total = F.aggregate("common", F.col("total").cast("decimal(38,3)"), lambda t, x: (t + x["ic"]).cast("decimal(38,3)"))
+    exact = left.select("l", "r", F.bit_count(F.coalesce(mask, F.col("mask"))).cast("long").alias("axes"), F.coalesce(total, F.col("total")).cast(IC).alias("total"))
+    whole = axis_scores(rows, bound.filter("opened").select(F.col("l").alias("entity_id")))
+    whole = whole.groupBy("l", "r").agg(F.count("*").alias("axes"), F.sum("ic").cast(IC).alias("total"))
+    pairs = exact.unionByName(whole).filter(F.col("axes") >= least_axes)
+    order = Window.partitionBy("l").orderBy(F.desc("axes"), F.desc("total"), "r")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
 def shared_features(index: DataFrame, pairs: DataFrame, limit: int = 50) -> DataFrame:
     """The features of each pair (l, r), best first."""
     left = index.select(F.col("entity_id").alias("l"), "feature_id", "axis", "df", "ic")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import graph, ontology
+from ..operators.checkpoints import settled
 from .bindings import ANNOTATIONS, EDGES, ISA, PAIRS, TERMS, bind, query
 
 CLOSED = f"""t as ({TERMS}), isa as ({ISA}), cl(term_id, ancestor) as (select term_id, term_id from t union select cl.term_id, isa.parent from cl join isa on isa.child = cl.ancestor)"""
@@ -85,7 +88,7 @@ def downstream_reach(spark, d):
 
 @query(
     "longest_chain",
-    f"with recursive e as ({EDGES}), p(graph, cur, n) as (select graph, target, 1 from e union select p.graph, e.target, p.n + 1 from p join e on e.graph = p.graph and e.source = p.cur) select graph, cast(max(n) as bigint) longest from p group by graph",
+    f"with recursive e as ({EDGES}), p(graph, cur, n) as (select graph, target, 1 from e union select p.graph, e.target, p.n + 1 from p join e on e.graph = p.graph and e.source = p.cur) select graph, cast(max(n) as bigint) longest, true is_exact from p group by graph",
 )
 def longest_chain(spark, d):
     return graph.longest_chains(bind(spark, d, EDGES))
@@ -97,3 +100,10 @@ CLAIMS = """select l_orderkey graph, l_linenumber node, min(case l_returnflag wh
 @query("structural_gaps", f"with recursive {REACH}, c as ({CLAIMS}) select graph, node, status, reach from c join reach using (graph, node) where status <> 'SUPPORTED' and reach >= 2")
 def structural_gaps(spark, d):
     return graph.structural_gaps(graph.downstream_reach(bind(spark, d, EDGES), bind(spark, d, STARTS)), bind(spark, d, CLAIMS))
+
+
+@query("settled_labels", f"with e as ({EDGES}) select distinct n node, true is_heaviest from (select graph * 10 + source n from e union all select graph * 10 + target from e) x")
+def settled_labels(spark, d):
+    """Whether each node of the settled labels has a heaviest one around it: the labels themselves hang on hashes, this does not."""
+    edges = bind(spark, d, EDGES).select((F.col("graph") * 10 + F.col("source")).alias("a"), (F.col("graph") * 10 + F.col("target")).alias("b"), F.lit(1.0).alias("weight"))
+    return graph.heaviest_labels(settled(graph.both_ways(edges)), graph.settle_labels(edges)).select("node", "is_heaviest")

@@ -5,32 +5,43 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import corpus, discovery, graph, ingest, literature, ontology, projection
+from ..operators import corpus, discovery, fingerprint, graph, ingest, literature, ontology, projection
 from .bindings import ANNOTATIONS, TERMS, bind, query
 from .retrieval import edges_of
 
-# documents: an order with its lines as mechanism nodes, each leading to the line with the next number
+# documents: an order with its lines as mechanism nodes, each leading to the line with the next number; ids with more colons,
+# evidence that is no object or has no such DOI, and numbers that must stay as they are written
 
 LINES = "select l_orderkey doc, l_linenumber line, min(l_quantity) q, min(l_suppkey) s from {lineitem} group by l_orderkey, l_linenumber"
+ITEMS = """parse_json(case when x.q <= 25 then '[]' when x.s % 5 = 0 then to_json(array(concat('PMID:', x.s)))
+  else to_json(array(named_struct('reference', concat(if(x.s % 5 = 1, 'doi:nope', 'PMID:'), x.s), 'supports', if(x.q > 40, 'REFUTE', 'SUPPORT'), 'snippet', if(x.q > 45, '', 'words')))) end)"""
+GENE = "concat(case x.s % 3 when 0 then 'hgnc:' when 1 then 'chebi:a:' else 'reactome:R-' end, x.s)"
 BODIES = f"""select doc, to_json(named_struct('name', cast(doc as string), 'pathophysiology', transform(array_sort(collect_list(struct(line, q, s))), x -> named_struct('name', concat('n', x.line),
-  'biological_scale', case when x.q < 10 then 'Molecular level' when x.q < 20 then 'cell' end, 'genes', array(named_struct('preferred_term', concat('G', x.s), 'term', named_struct('id', concat('hgnc:', x.s)))),
-  'evidence', if(x.q > 25, array(named_struct('reference', concat('PMID:', x.s), 'supports', if(x.q > 40, 'REFUTE', 'SUPPORT'), 'snippet', if(x.q > 45, '', 'words'))), array()),
-  'downstream', array(named_struct('target', concat('n', x.line + 1), 'causal_link_type', 'DIRECT')))),
+  'biological_scale', case when x.q < 10 then 'Molecular level' when x.q < 20 then 'cell' end, 'genes', array(named_struct('preferred_term', concat('G', x.s), 'term', named_struct('id', {GENE}))),
+  'evidence', {ITEMS}, 'downstream', array(named_struct('target', concat('n', x.line + 1), 'causal_link_type', 'DIRECT')))),
   'phenotypes', array(named_struct('name', 'n1', 'phenotype_term', named_struct('term', named_struct('id', concat('HP:', lpad(doc, 7, '0')))))))) json from ({LINES}) x group by doc"""
 PLACED = f"t as (select *, row_number() over (partition by doc order by line) - 1 i from ({LINES}) x)"
+#: A section as a document's text has it.
+MEASURES = ', "measures": [1.0, {"é": 1e3, "b": ["x",  2]}]}'
 
 
 def bodies(spark, d):
-    return bind(spark, d, BODIES).select("doc", F.parse_json("json").alias("body"))
+    rows = bind(spark, d, BODIES)
+    rows = rows.select("doc", F.concat(F.expr("left(json, length(json) - 1)"), F.lit(MEASURES)).alias("source"))
+    return rows.withColumn("body", F.parse_json("source"))
 
 
 @query(
     "nested_paths",
-    f"""with {PLACED}, n as (select count(*) n, count(distinct doc) d, count(*) filter (q > 25) e, count(*) filter (q < 20) b from t), p as (select unnest([
-      ('name', d), ('pathophysiology', d), ('phenotypes', d), ('phenotypes[]', d), ('phenotypes[].name', d), ('phenotypes[].phenotype_term', d), ('phenotypes[].phenotype_term.term', d), ('phenotypes[].phenotype_term.term.id', d),
-      ('pathophysiology[]', n), ('pathophysiology[].name', n), ('pathophysiology[].biological_scale', b), ('pathophysiology[].genes', n), ('pathophysiology[].genes[]', n), ('pathophysiology[].genes[].preferred_term', n),
-      ('pathophysiology[].genes[].term', n), ('pathophysiology[].genes[].term.id', n), ('pathophysiology[].evidence', n), ('pathophysiology[].evidence[]', e), ('pathophysiology[].evidence[].reference', e),
-      ('pathophysiology[].evidence[].supports', e), ('pathophysiology[].evidence[].snippet', e), ('pathophysiology[].downstream', n), ('pathophysiology[].downstream[]', n), ('pathophysiology[].downstream[].target', n),
+    f"""with {PLACED}, n as (select count(*) n, count(distinct doc) d, count(*) filter (q > 25) e, count(*) filter (q > 25 and s % 5 <> 0) o, count(*) filter (q < 20) b from t), p as (select unnest([
+      ('name', d), ('pathophysiology', d), ('phenotypes', d), ('phenotypes[]', d), ('phenotypes[].name', d), ('phenotypes[].phenotype_term', d),
+      ('phenotypes[].phenotype_term.term', d), ('phenotypes[].phenotype_term.term.id', d),
+      ('measures', d), ('measures[]', 2 * d), ('measures[].é', d), ('measures[].b', d), ('measures[].b[]', 2 * d),
+      ('pathophysiology[]', n), ('pathophysiology[].name', n), ('pathophysiology[].biological_scale', b), ('pathophysiology[].genes', n), ('pathophysiology[].genes[]', n),
+      ('pathophysiology[].genes[].preferred_term', n), ('pathophysiology[].genes[].term', n), ('pathophysiology[].genes[].term.id', n),
+      ('pathophysiology[].evidence', n), ('pathophysiology[].evidence[]', e), ('pathophysiology[].evidence[].reference', o),
+      ('pathophysiology[].evidence[].supports', o), ('pathophysiology[].evidence[].snippet', o),
+      ('pathophysiology[].downstream', n), ('pathophysiology[].downstream[]', n), ('pathophysiology[].downstream[].target', n),
       ('pathophysiology[].downstream[].causal_link_type', n)]) x from n) select x[1] path, cast(x[2] as bigint) n from p where x[2] > 0""",
 )
 def nested_paths(spark, d):
@@ -40,35 +51,98 @@ def nested_paths(spark, d):
 @query(
     "imported_edges",
     f"""with {PLACED} select doc, 'pathophysiology[' || i || '].downstream[0]' path, 'n' || line source, 'n' || (line + 1) target,
-      case when (doc, line + 1) not in (select (doc, line) from t) and line + 1 <> 1 then 'UNSPECIFIED' when q2 is null then 'PHENOTYPE' when q2 < 10 then 'MOLECULAR_EVENT' when q2 < 20 then 'CELLULAR_PROCESS' else 'UNSPECIFIED' end category, q2 is null and line + 1 <> 1 dangling
+      case when (doc, line + 1) not in (select (doc, line) from t) and line + 1 <> 1 then 'UNSPECIFIED' when q2 is null then 'PHENOTYPE' when q2 < 10 then 'MOLECULAR_EVENT'
+        when q2 < 20 then 'CELLULAR_PROCESS' else 'UNSPECIFIED' end category, q2 is null and line + 1 <> 1 dangling
     from (select t.*, u.q q2 from t left join t u on u.doc = t.doc and u.line = t.line + 1) z""",
 )
 def imported_edges(spark, d):
     return corpus.graph_edges(bodies(spark, d)).select("doc", "path", "source", "target", "category", "dangling")
 
 
-@query("imported_evidence", f"with {PLACED} select doc, cast(s as varchar) identifier, case when q > 45 then null when q > 40 then 'REFUTES' else 'SUPPORTS' end relation, case when q > 45 then 'EVIDENCE_WITHOUT_SNIPPET' end warning from t where q > 25")
+@query(
+    "imported_claims",
+    f"""with {PLACED} select doc, 'node' kind, 'pathophysiology[' || i || ']' path, cast(doc as varchar) subject, 'n' || line "object", 'n' || line || ' is represented in the mechanism for ' || doc || '.' "statement" from t
+    union all select doc, 'edge', 'pathophysiology[' || i || '].downstream[0]', 'n' || line, 'n' || (line + 1), 'n' || line || ' contributes to n' || (line + 1) || '.' from t
+    union all select distinct doc, 'phenotype', 'phenotypes[0]', cast(doc as varchar), 'n1', doc || ' is associated with phenotype n1.' from t""",
+)
+def imported_claims(spark, d):
+    return corpus.claims(bodies(spark, d)).select("doc", "kind", "path", "subject", "object", "statement")
+
+
+#: Each item's warning: what it is, what it lacks, or its reference.
+WARNED = "case when s % 5 = 0 then 'EVIDENCE_NOT_AN_OBJECT' when q > 45 then 'EVIDENCE_WITHOUT_SNIPPET' when s % 5 = 1 then 'INVALID_REFERENCE_SYNTAX' end"
+
+
+@query(
+    "imported_evidence",
+    f"""with {PLACED}, w as (select *, {WARNED} warning from t where q > 25)
+    select doc, 'pathophysiology[' || i || '].evidence[0]' path, case when s % 5 <> 0 then case when s % 5 = 1 then 'doi:nope' else '' end || s end identifier,
+      case when warning is null then case when q > 40 then 'REFUTES' else 'SUPPORTS' end end relation, warning from w""",
+)
 def imported_evidence(spark, d):
-    return corpus.imported_evidence(ingest.evidence_items(bodies(spark, d))).select("doc", "identifier", "relation", "warning")
+    items = corpus.claim_evidence(corpus.claims(bodies(spark, d)))
+    return corpus.imported_evidence(items).select("doc", "path", "identifier", "relation", "warning")
 
 
-@query("import_warnings", f"with {PLACED} select doc, 'DANGLING_EDGE_TARGET' code, 'pathophysiology[' || i || '].downstream[0].target' path from t where not exists (select 1 from t u where u.doc = t.doc and u.line = t.line + 1) and line <> 0 union all select doc, 'PHENOTYPE_LABEL_SHADOWED', 'phenotypes[0]' from t where line = 1")
+@query(
+    "import_warnings",
+    f"""with {PLACED} select doc, 'DANGLING_EDGE_TARGET' code, 'pathophysiology[' || i || '].downstream[0].target' path from t
+      where not exists (select 1 from t u where u.doc = t.doc and u.line = t.line + 1) and line <> 0
+    union all select doc, 'PHENOTYPE_LABEL_SHADOWED', 'phenotypes[0].name' from t where line = 1
+    union all select doc, {WARNED}, 'pathophysiology[' || i || '].evidence[0]' || case when s % 5 = 1 and q <= 45 then '.reference' else '' end from t where q > 25 and (s % 5 < 2 or q > 45)""",
+)
 def import_warnings(spark, d):
     return corpus.import_warnings(bodies(spark, d))
 
 
-@query("imported_annotations", f"with {PLACED} select doc, 'n' || line label, 'HGNC:' || s feature_id, 'genetic' feature_class from t")
+@query(
+    "imported_annotations",
+    f"""with {PLACED} select doc, 'n' || line label, case s % 3 when 0 then 'HGNC:' when 1 then 'CHEBI:a:' else 'reactome:R-' end || s feature_id, 'genetic' feature_class from t""",
+)
 def imported_annotations(spark, d):
     return ingest.annotations(ingest.mechanism_nodes(bodies(spark, d))).select("doc", "label", "feature_id", "feature_class")
 
 
+@query(
+    "kept_records",
+    f"""with d as (select distinct doc from ({LINES}) x)
+    select doc, 'measures[0]' path, '{{{{"value": 1.0}}}}' payload, sha256('{{{{"value": 1.0}}}}') "sha256", 'UNDECLARED_TOP_LEVEL_SECTION' warning from d
+    union all select doc, 'measures[1]', '{{{{"é": 1e3, "b": ["x",  2]}}}}', sha256('{{{{"b": ["x", 2], "\\u00e9": 1000.0}}}}'), 'UNDECLARED_TOP_LEVEL_SECTION' from d""".replace("{{", "{").replace("}}", "}"),
+)
+def kept_records(spark, d):
+    return corpus.preserved_records(bodies(spark, d), ("genetic",)).select("doc", "path", "payload", "sha256", "warning")
+
+
 @query(
     "candidate_metrics",
     f"""with recursive {PLACED}, run as (select doc, line, line - row_number() over (partition by doc order by line) g from t), c as (select doc, max(n) longest from (select doc, g, count(*) n from run group by doc, g) x group by doc)
-    select doc, count(*) nodes, count(*) edges, count(*) edges_without_evidence, count(*) filter (q > 40) refute_or_no_evidence_items, cast(1 as bigint) phenotypes, count(*) filter (q > 25 and q <= 45) evidence_items, any_value(longest) longest_chain from t join c using (doc) group by doc""",
+    select doc, count(*) nodes, count(*) edges, count(*) edges_without_evidence, count(*) filter (q > 40 and s % 5 <> 0) refute_or_no_evidence_items, cast(1 as bigint) phenotypes,
+      count(*) filter (q > 25 and q <= 45 and s % 5 > 1) evidence_items, any_value(longest) longest_chain, true longest_exact from t join c using (doc) group by doc""",
 )
 def candidate_metrics(spark, d):
-    return corpus.candidate_metrics(bodies(spark, d)).select("doc", "nodes", "edges", "edges_without_evidence", "refute_or_no_evidence_items", "phenotypes", "evidence_items", "longest_chain")
+    found = corpus.candidate_metrics(bodies(spark, d))
+    return found.select("doc", "nodes", "edges", "edges_without_evidence", "refute_or_no_evidence_items", "phenotypes", "evidence_items", "longest_chain", "longest_exact")
+
+
+#: Prose that a document adds by its number.
+PROSE = "case doc % 3 when 0 then 'Gene Therapy, then a Transplantation' when 1 then 'small molecules' else 'none' end"
+KEPT = """concat(left(source, length(source) - 1), ', "treatments": [{{"name": "', PROSE, '"}}], "animal_models": ["a ', if(doc % 2 = 0, 'Mouse', 'zebrafish'), '"]}}')""".replace("{{", "{").replace("}}", "}")
+
+
+@query(
+    "document_features",
+    f"""with {PLACED}, g as (select doc, case s % 3 when 0 then 'HGNC:' when 1 then 'CHEBI:a:' else 'reactome:R-' end || s feature_id, 'G' || s label, 'genetic' feature_class,
+        cast(sum(case when q > 25 and q <= 45 and s % 5 > 1 then 1 else 0 end) as bigint) evidence, string_agg('pathophysiology[' || i || ']', ',' order by 'pathophysiology[' || i || ']') paths from t group by doc, s),
+      d as (select distinct doc from t), p as (select doc, lower({PROSE}) prose from d)
+    select * from g
+    union all select doc, 'HP:' || lpad(cast(doc as varchar), 7, '0'), 'n1', 'phenotype', 0, 'phenotypes[0]' from d
+    union all select doc, 'organism:' || case when doc % 2 = 0 then 'Mus musculus' else 'Danio rerio' end, case when doc % 2 = 0 then 'Mus musculus' else 'Danio rerio' end, 'model_organism', 0, 'animal_models' from d
+    union all select doc, 'modality:' || m, m, 'therapeutic', 0, 'treatments' from p, (select unnest(['gene therapy', 'transplant', 'small molecule']) m) m where contains(prose, m)""",
+)
+def document_features(spark, d):
+    docs = bodies(spark, d).withColumn("source", F.expr(KEPT.replace("PROSE", PROSE)))
+    found = fingerprint.document_features(docs.withColumn("body", F.parse_json("source")))
+    return found.select("doc", "feature_id", "label", "feature_class", "evidence", F.array_join("paths", ",").alias("paths"))
 
 
 # features and people

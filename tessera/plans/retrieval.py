@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from ..operators import compare, graph, retrieval
+from ..operators import commits, compare, feature_index, graph, retrieval
+from ..operators.checkpoints import shared_folder
 from .bindings import ENTITIES, FEATURES, bind, query
 
 DF = f"""f as ({FEATURES}), n as (select count(*) n from ({ENTITIES}) e),
@@ -42,10 +45,40 @@ def retrieval_coverage(spark, d):
 
 @query("candidate_topk", f"with {top(25)} select l, r, axes, cast(total as double) total, rank from top")
 def candidate_topk(spark, d):
-    best = retrieval.candidates(retrieval.axis_scores(index_of(spark, d)))
+    best = retrieval.best_candidates(index_of(spark, d))
+    return best.select("l", "r", "axes", F.col("total").cast("double").alias("total"), "rank")
+
+
+NEWEST = """with {0}, q as (select entity_id l from ({1}) e order by l desc limit {2}),
+    ax as (select a.entity_id l, b.entity_id r, a.axis, sum(a.ic) ic from ix a join q on a.entity_id = q.l join ix b on a.feature_id = b.feature_id and a.entity_id <> b.entity_id group by all),
+    c as (select l, r, count(*) axes, sum(ic) total from ax group by l, r)
+    select * from (select l, r, axes, cast(total as double) total, row_number() over (partition by l order by axes desc, total desc, r) rank from c) x where rank <= 25"""
+
+
+def stored(spark, d):
+    """The path of the feature index of these tables, built by the first who asks in this application."""
+    path = f"{shared_folder(spark)}/feature-index-{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+    if not commits.committed(spark, path):
+        feature_index.build_index(spark, path, bind(spark, d, FEATURES), bind(spark, d, ENTITIES))
+    return path
+
+
+def newest(spark, d, n):
+    best = feature_index.neighbours(spark, stored(spark, d), bind(spark, d, ENTITIES).orderBy(F.desc("entity_id")).limit(n))
     return best.select("l", "r", "axes", F.col("total").cast("double").alias("total"), "rank")
 
 
+@query("index_neighbours_of_one", NEWEST.format(DF, ENTITIES, 1))
+def index_neighbours_of_one(spark, d):
+    """The neighbours of the newest entity, from the stored index."""
+    return newest(spark, d, 1)
+
+
+@query("index_neighbours_of_200", NEWEST.format(DF, ENTITIES, 200))
+def index_neighbours_of_200(spark, d):
+    return newest(spark, d, 200)
+
+
 @query(
     "candidates_of_one",
     f"""with {DF}, q as (select max(entity_id) l from ({ENTITIES}) e),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, text
-from ..operators import action, compare, evidence, pairs, store
+from ..operators import action, compare, evidence, pairs, store, synthesis
 from .bindings import PAIRS, bind, query
 
 # evidence
@@ -309,28 +309,59 @@ def alternatives(spark, d):
     return pairs.alternatives(rows.withColumn("conflicts", F.when(F.col("evidence_a") == 7, 1).otherwise(0)).withColumn("hub_df", F.col("evidence_b") * 6))
 
 
-VOCAB = list(pairs.VOCABULARY) + ["license", "secret", "token", "tion"]
-BRIDGE_ROWS = "select lang || source pair_id, doc_id evidence_id, text, true direct from {documents}"
+#: The vocabulary of bridges, spelled again, and words that the documents have.
+VOCAB = [
+    "chaperone-mediated autophagy", "chaperone-assisted degradation", "heat shock response", "heat-shock response", "unfolded protein response",
+    "integrated stress response", "protein quality control", "proteostasis", "stress response", "chaperone", "co-chaperone", "aggresome",
+    "protein aggregation", "misfolded protein", "autophagy", "mitophagy", "lysosomal degradation", "proteasomal degradation", "ubiquitin-proteasome",
+    "substrate recognition", "substrate specificity", "E3 ligase activity", "ubiquitin ligase", "polyubiquitination", "monoubiquitination",
+    "ubiquitination", "phosphorylation", "nuclear translocation", "transcriptional activation", "protein stability", "protein turnover",
+    "protein-protein interaction", "complex formation", "glycogen metabolism", "calcium signaling", "oxidative stress", "mitochondrial dysfunction",
+    "DNA damage response", "synaptic function",
+]
+OWN = ["license", "secret", "token", "tion"]
+BRIDGE_ROWS = """select lang || source pair_id, doc_id evidence_id, case when doc_id % 2 = 0 then 'Proteostasis, not oxidative STRESS' else 'phosphorylation by CHIP' end statement, text, doc_id % 3 <> 0 direct from {documents}"""
+RETRIEVED = """select distinct lang || source pair_id, case when doc_id % 5 = 0 then 'TION' when lang = 'en' then 'proteostasis' when lang = 'de' then 'License' else 'x' end feature from {documents}"""
 
 
 @query(
     "bridge_terms",
     """with v as (select unnest(["""
-    + ",".join(f"'{t}'" for t in VOCAB)
+    + ",".join(f"'{t}'" for t in VOCAB + OWN)
     + """]) term, unnest(range("""
-    + str(len(VOCAB))
-    + r""")) place), d as ("""
+    + str(len(VOCAB + OWN))
+    + r""")) place), d as (select pair_id, statement || ' ' || text said from ("""
     + BRIDGE_ROWS
-    + r"""), n as (select pair_id, count(*) n from d group by pair_id),
-    t as (select pair_id, place, term, count(*) c from d, v where contains(lower(text), lower(term)) group by all), tk as (select *, row_number() over (partition by pair_id order by place) p from t join n using (pair_id) where c >= least(n, 2)),
-    f0 as (select pair_id, unnest(list_distinct(regexp_extract_all(text, '\b([A-Z][A-Z0-9]{2,7})\b', 1))) term from d), f1 as (select pair_id, term, count(*) c from f0 where term not in ("""
+    + r""") r where direct), n as (select pair_id, count(*) n from d group by pair_id), q as (select distinct pair_id, lower(feature) feature from ("""
+    + RETRIEVED
+    + r""") z),
+    t as (select pair_id, place, term, count(*) c from d, v where contains(lower(said), lower(term)) group by all),
+    tk as (select t.*, exists (select 1 from q where q.pair_id = t.pair_id and q.feature = lower(term)) broad from t join n using (pair_id) where c >= least(n, 2)),
+    ts as (select *, row_number() over (partition by pair_id, broad order by place) p, row_number() over (partition by pair_id order by place) p_all, count(*) filter (not broad) over (partition by pair_id) specific from tk),
+    f0 as (select pair_id, unnest(list_distinct(regexp_extract_all(said, '\b([A-Z][A-Z0-9]{2,7})\b', 1))) term from d),
+    f1 as (select pair_id, term, count(*) c from f0 where term not in ("""
     + STOPWORDS
     + """) group by all), f2 as (select *, row_number() over (partition by pair_id order by c desc, term) p from f1), fk as (select * from f2 join n using (pair_id) where p <= 4 and c >= least(n, 2)),
-    a as (select pair_id, string_agg(term, ',' order by p) terms from tk where p <= 4 group by pair_id), b as (select pair_id, string_agg(term, ',' order by p) factors from fk group by pair_id)
+    a as (select pair_id, string_agg(term, ',' order by place) terms from ts where (specific > 0 and not broad and p <= 4) or (specific = 0 and p_all <= 2) group by pair_id),
+    b as (select pair_id, string_agg(term, ',' order by p) factors from fk group by pair_id)
     select pair_id, n n_direct, coalesce(terms, '') terms, coalesce(factors, '') factors from n left join a using (pair_id) left join b using (pair_id) where terms is not null or factors is not null""",
 )
 def bridge_terms(spark, d):
-    return pairs.bridges(bind(spark, d, BRIDGE_ROWS), VOCAB)
+    return pairs.bridges(bind(spark, d, BRIDGE_ROWS), bind(spark, d, RETRIEVED), [*pairs.VOCABULARY, *OWN])
+
+
+@query(
+    "refused_labels",
+    r"""with l as (select doc_id id, left(text, 60) || case when doc_id % 7 = 0 then ' causes the same axis' when doc_id % 7 = 1 then ' Shared Mechanism' else ' and control' end "label", left(text, 40) t from {documents}),
+    w as (select id, unnest(list_distinct(regexp_extract_all(lower("label"), '[a-z0-9]+'))) word, regexp_extract_all(lower(t), '[a-z0-9]+') own from l)
+    select id, 'ADDS' problem, word from w where not list_contains(own, word) and word not in ('and', 'or', 'of', 'the', 'a', 'an', 'in', 'with', 'associated', 'related', 'biology', 'axis', 'pathway', 'process', 'node', 'machinery', 'system',
+      'activity', 'function', 'control', 'quality')
+    union all select id, 'CONCLUDES', c from l, (select unnest(['causes', 'caused', 'causing', 'drives', 'driven', 'leads to', 'results in', 'responsible for', 'equivalent', 'identical', 'same as', 'proves', 'proven', 'establishes', 'confirms',
+      'demonstrates', 'shared mechanism', 'mechanistically equivalent']) c) x where contains(lower("label"), c)""",
+)
+def refused_labels(spark, d):
+    label = """select doc_id id, left(text, 60) || case when doc_id % 7 = 0 then ' causes the same axis' when doc_id % 7 = 1 then ' Shared Mechanism' else ' and control' end label, array(left(text, 40)) terms from {documents}"""
+    return synthesis.refused_labels(bind(spark, d, label))
 
 
 RANKED = """select l_orderkey pair_id, concat('n', cast(l_orderkey as string)) name, l_orderkey ord, min(l_quantity) > 2 independent, case when max(l_quantity) > 20 then 'SHARED_DOWNSTREAM_MECHANISM' else 'RETRIEVAL_ARTIFACT' end relation,
