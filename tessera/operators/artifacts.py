@@ -68,6 +68,12 @@ def load(spark: SparkSession, path: str, schema: str, **wanted: str) -> DataFram
     return rows
 
 
+def parents(lineage: DataFrame, of: DataFrame) -> DataFrame:
+    """(child_id, parent_id, relationship): what the artifacts `of` (child_id) come from directly, each link once."""
+    asked = of.select("child_id").distinct()
+    return lineage.select("child_id", "parent_id", "relationship").distinct().join(asked, "child_id", "left_semi")
+
+
 def ancestors(lineage: DataFrame, of: DataFrame) -> DataFrame:
     """(child_id, ancestor_id, steps): whatever the artifacts `of` (child_id) come from, by the fewest links, however many."""
     links = lineage.select(F.col("child_id").alias("at"), F.col("parent_id").alias("up")).distinct()

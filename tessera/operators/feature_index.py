@@ -15,25 +15,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import commits, retrieval
-from .checkpoints import delete, settled
+from .checkpoints import delete, forget, settled
 
-BUCKETS = 64
+BUCKETS = 16
+#: Files of a bucket, at most: so many tasks write the rows of one key.
+SPREAD = 4
 
 
 def bucket(column: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
-def _table(spark: SparkSession, state: list[dict], name: str, buckets: list[int] | None = None) -> DataFrame:
-    """The signed rows of a table, in these buckets only."""
+def _table(spark: SparkSession, state: list[dict], name: str, buckets: list[int]) -> DataFrame:
+    """The signed rows of a table, in these buckets only: no other folder is listed or read."""
     schema = T.StructType.fromJson(json.loads(state[0]["schemas"])[name])
-    rows = reduce(DataFrame.unionAll, [spark.read.schema(schema).parquet(f"{f}/{name}") for f in commits.folders(state)])
-    return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
+    paths = [f"{said['folder']}/{name}/bucket={b}" for said in state for b in sorted({*buckets} & {*said["touched"][name]})]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def _net(rows: DataFrame, count: str, state: list[dict]) -> DataFrame:
     """Signed rows added up; those that are gone left out. The rows of a single commit are what they are."""
-    keys = [c for c in rows.columns if c not in (count, "bucket")]
+    keys = [c for c in rows.columns if c != count]
     if len(state) == 1:
         return rows.select(*keys, count)
     return rows.groupBy(*keys).agg(F.sum(count).alias(count)).filter(F.col(count) > 0)
@@ -64,21 +66,25 @@ def update_index(spark: SparkSession, path: str, features: DataFrame, entities:
             keys = [c for c in changes.columns if c != "sign"]
             changes = changes.groupBy(*keys).agg(F.sum("sign").alias("sign")).filter("sign <> 0")
             members = given.join(_table(spark, state, "members", mine), "entity_id", "left_anti")
-        changes = settled(changes)
+            changes = settled(changes)
         folder = commits.new_folder(path)
         made = {
             "members": (members, "entity_id"), "entities": (changes, "entity_id"), "postings": (changes, "feature_id"),
             "frequency": (changes.groupBy("feature_id", "axis").agg(F.sum("sign").alias("df")).filter("df <> 0"), "feature_id"),
         }
-        schemas = {}
+        schemas, touched = {}, {}
         for name, (table, key) in made.items():
-            placed = table.withColumn("bucket", bucket(key, buckets))
-            schemas[name] = placed.schema.jsonValue()
-            placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{folder}/{name}")
-        written = _buckets_of(changes, "feature_id", buckets)
-        said = {"folder": folder, "buckets": buckets, "entities": members.count(), "schemas": json.dumps(schemas), "touched": sorted(written)}
+            schemas[name] = table.schema.jsonValue()
+            placed = settled(table.withColumn("bucket", bucket(key, buckets)))
+            touched[name] = sorted(r.bucket for r in placed.select("bucket").distinct().collect())
+            # the rows of a frequent feature, or of an entity with very many, go to several files of their bucket
+            other = {"postings": "entity_id", "entities": "feature_id"}.get(name)
+            spread = [F.pmod(F.xxhash64(other), F.lit(SPREAD))] if other else []
+            placed.repartition(buckets, "bucket", *spread).sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{folder}/{name}")
+            forget(placed)
+        said = {"folder": folder, "buckets": buckets, "entities": members.count(), "schemas": json.dumps(schemas), "touched": touched}
         if commits.commit(spark, path, commits.next_number(state), said):
-            return sorted(written)
+            return touched["postings"]
         delete(spark, folder)
     raise RuntimeError(f"{tries} times another writer was faster at {path}")
 
@@ -104,7 +110,7 @@ def near(spark: SparkSession, path: str, anchors: DataFrame, ceiling: float = re
     frequency = frequency.groupBy("feature_id").agg(F.sum("df").alias("df")).withColumn("n", F.lit(n).cast("long"))
     usable = retrieval.retrievable(frequency, ceiling).select("feature_id", "df", retrieval.information(F.col("df"), F.col("n")).alias("ic")).persist()
     postings = _table(spark, state, "postings", mine).join(usable, "feature_id")
-    keys = [c for c in postings.columns if c not in ("sign", "bucket")]
+    keys = [c for c in postings.columns if c != "sign"]
     if len(state) > 1:
         postings = postings.groupBy(*keys).agg(F.sum("sign").alias("sign")).filter("sign > 0")
     return own.join(usable, "feature_id"), postings.select(*keys)

@@ -65,12 +65,19 @@ def agreement(answers: DataFrame) -> DataFrame:
     )
 
 
-def search(rows: DataFrame, name: str, key: str, query: str, limit: int = 12, exact: str | None = None) -> DataFrame:
+def disagreements(answers: DataFrame) -> DataFrame:
+    """answers (engine, reviewer, rule) -> (rule, n): how often reviewers disagree with what each rule gave, the rules that they never
+    disagree with left out; blank reviews are skipped."""
+    rows = answers.filter((F.coalesce("reviewer", F.lit("")) != "") & ~F.col("engine").eqNullSafe(F.col("reviewer")))
+    return rows.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def search(rows: DataFrame, name: str, key: str, query: str, limit: int = 12) -> DataFrame:
     """The best `limit` names for a query of 2 letters or more: exact, prefix, word prefix, inside; those without a case of their own first."""
     if len(query.strip()) < 2:
         return rows.limit(0).withColumn("place", F.lit(0))
     low, q = F.lower(name), query.strip().lower()
-    match = F.when(low == (exact or q), 4).when(F.startswith(low, F.lit(q)), 3).when(F.contains(low, F.lit(" " + q)), 2).when(F.contains(low, F.lit(q)), 1)
+    match = F.when(low == q, 4).when(F.startswith(low, F.lit(q)), 3).when(F.contains(low, F.lit(" " + q)), 2).when(F.contains(low, F.lit(q)), 1)
     scored = rows.withColumn("_m", match).filter("_m is not null").withColumn("_s", F.col("_m") * 2 + F.when(F.col("has_case"), 0).otherwise(1))
     best = scored.orderBy(F.desc("_s"), low, key).limit(limit)  # a top-k, so that only `limit` rows are numbered
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("_s"), low, key))).drop("_m", "_s")

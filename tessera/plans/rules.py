@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, text
-from ..operators import action, compare, evidence, pairs, store, synthesis
+from ..operators import action, artifacts, compare, evidence, pairs, store, synthesis
 from .bindings import PAIRS, bind, query
 
 # evidence
@@ -540,11 +540,24 @@ def dangling_edges(spark, d):
     return store.dangling(edges, nodes).select("s", "t")
 
 
-@query("lineage_one_hop", "select b.conv_id, b.turn, a.turn parent, a.role parent_role from {conversations} b join {conversations} a on a.conv_id = b.conv_id and a.turn = b.turn - 1")
+#: What each turn comes from: the one before it, by that one's role; and the turns of assistants.
+LINEAGE = """select concat(b.conv_id, ':', b.turn) child_id, concat(a.conv_id, ':', a.turn) parent_id, a.role relationship from {conversations} b join {conversations} a on a.conv_id = b.conv_id and a.turn = b.turn - 1"""
+ANSWERED = "select concat(conv_id, ':', turn) child_id from {conversations} where role = 'assistant'"
+
+
+@query("lineage_one_hop", f"select distinct l.* from ({LINEAGE}) l where child_id in (select child_id from ({ANSWERED}) a)")
 def lineage_one_hop(spark, d):
-    rows = bind(spark, d, "select conv_id, turn, turn - 1 parent from {conversations}")
-    parents = bind(spark, d, "select conv_id, turn parent, role parent_role from {conversations}")
-    return rows.join(parents, ["conv_id", "parent"]).select("conv_id", "turn", "parent", "parent_role")
+    return artifacts.parents(bind(spark, d, LINEAGE), bind(spark, d, ANSWERED))
+
+
+@query(
+    "lineage_ancestors",
+    f"""with recursive l as ({LINEAGE}), a(child_id, ancestor_id, steps) as (select distinct child_id, child_id, 0 from ({ANSWERED}) x
+      union select a.child_id, l.parent_id, a.steps + 1 from a join l on l.child_id = a.ancestor_id)
+    select child_id, ancestor_id, min(steps) steps from a where steps > 0 group by child_id, ancestor_id""",
+)
+def lineage_ancestors(spark, d):
+    return artifacts.ancestors(bind(spark, d, LINEAGE), bind(spark, d, ANSWERED))
 
 
 ANSWERS = "select doc_id item_id, case quality when 1 then 'SUPPORTED' else 'INSUFFICIENT_EVIDENCE' end engine, case when toxic = 1 then 'CONTRADICTED' when doc_id % 3 = 0 then 'PARTIALLY_SUPPORTED' else 'SUPPORTED' end reviewer, concat('R', cast(doc_id % 4 as string)) rule from {labels}"
@@ -561,16 +574,19 @@ def agreement_report(spark, d):
 
 @query("disagreements_by_rule", f"with a as ({ANSWERS}) select rule, count(*) n from a where engine <> reviewer group by rule")
 def disagreements_by_rule(spark, d):
-    return bind(spark, d, ANSWERS).filter("engine <> reviewer").groupBy("rule").agg(F.count("*").alias("n"))
+    return store.disagreements(bind(spark, d, ANSWERS))
+
+
+NAMES = """select p_partkey, p_size > 25 has_case, case when p_partkey % 400 = 0 then 'Small' when p_partkey % 300 = 1 then concat('SMALL ', p_name) when p_partkey % 3 = 0 then concat('un', replace(p_name, ' ', '')) else concat('a ', p_name) end p_name from {part}"""
 
 
 @query(
     "disease_search",
-    """with s as (select p_partkey, p_name, p_size > 25 has_case, case when lower(p_name) = 'small ring' then 4 when starts_with(lower(p_name), 'small') then 3 when contains(lower(p_name), ' small') then 2 when contains(lower(p_name), 'small') then 1 end m from {part})
+    f"""with s as (select *, case when lower(p_name) = 'small' then 4 when starts_with(lower(p_name), 'small') then 3 when contains(lower(p_name), ' small') then 2 when contains(lower(p_name), 'small') then 1 end m from ({NAMES}) x)
     select p_partkey, p_name, place from (select *, row_number() over (order by m * 2 + case when has_case then 0 else 1 end desc, lower(p_name), p_partkey) place from s where m is not null) x where place <= 12""",
 )
 def disease_search(spark, d):
-    return store.search(bind(spark, d, "select p_partkey, p_name, p_size > 25 has_case from {part}"), "p_name", "p_partkey", "small", exact="small ring").select("p_partkey", "p_name", "place")
+    return store.search(bind(spark, d, NAMES), "p_name", "p_partkey", "small").select("p_partkey", "p_name", "place")
 
 
 @query("path_audit", "select k path, count(*) n from (select unnest(json_keys(props)) k from {events}) x group by k")

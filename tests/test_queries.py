@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from tessera import catalog  # noqa: F401
 from tessera.plans import bindings
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
