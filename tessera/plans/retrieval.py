@@ -45,6 +45,12 @@ def retrieval_coverage(spark, d):
 
 @query("candidate_topk", f"with {top(25)} select l, r, axes, cast(total as double) total, rank from top")
 def candidate_topk(spark, d):
+    best = retrieval.candidates(retrieval.axis_scores(index_of(spark, d)))
+    return best.select("l", "r", "axes", F.col("total").cast("double").alias("total"), "rank")
+
+
+@query("bounded_candidates", f"with {top(25)} select l, r, axes, cast(total as double) total, rank from top")
+def bounded_candidates(spark, d):
     best = retrieval.best_candidates(index_of(spark, d))
     return best.select("l", "r", "axes", F.col("total").cast("double").alias("total"), "rank")
 
