@@ -29,7 +29,7 @@ from .common import fresh, slices, utf8
 #: Pairs of ids that are broadcast with their counts: the most frequent ones. All others are joined by a shuffle.
 MOST_BROADCAST = 200_000
 #: Runs whose tokens are remembered between blocks, and bytes of text in a block.
-MOST_KNOWN, BLOCK = 300_000, 3 << 20
+MOST_KNOWN, BLOCK = 150_000, 2 << 20
 
 RUNS = "array<struct<a: array<int>, a_ends: array<int>, b: array<int>, b_ends: array<int>>>"
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links", "groups")
