@@ -261,16 +261,16 @@ def store_bytes(df: DataFrame, column: str = "text", to: str = "media", unit: in
     return with_results(df, [utf8(column)], f"n_bytes long, `{to}` binary", compute, keep)
 
 
-def read_media(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
+def read_media(df: DataFrame, media: str = "media", keep: list[str] | None = None, tail: int = UNIT) -> DataFrame:
     """Read PNG files of a binary column back; append their payload's and their own digests and the feature.
 
-    tail_crc32 is over the last 576 samples. A null file gives null results; a broken one (a checksum,
+    tail_crc32 is over the last `tail` samples. A null file gives null results; a broken one (a checksum,
     the filter types, the number of samples) stops the job with ValueError, so that no row goes silently.
     """
 
     def one(data: bytes, pixels: np.ndarray) -> tuple:
         payload = pixels.tobytes()
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(pixels)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-tail:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(pixels)
 
     def run(v):
         files = [f for f in v[0] if f is not None]

@@ -14,7 +14,7 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, licenses, media, quality, token_count
+from tessera.llm import bpe, licenses, media, quality, queries, token_count
 
 
 def by_text(df, *columns):
@@ -89,6 +89,18 @@ def test_png_round_trip_and_features(awkward):
         assert features.setdefault(text, feature) == feature and len(feature) == 16
 
 
+def test_media_query_by_its_contract(spark, awkward, tmp_path):
+    """The query's tail is that of the last 32 payload bytes, whatever unit the operator uses by itself."""
+    awkward.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in queries.op2_media(spark, str(tmp_path)).collect()]
+    want = []
+    for r in awkward.select("doc_id", "text").collect():
+        data = (r.text or "").encode()
+        payload = data + b"\xff" * ((-len(data)) % 576 if data else 576)
+        want.append((r.doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])))
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_stored_lines_are_filtered(awkward):
     """The filter of each stored line is the one with the least absolute sum, and undoing it gives the bytes back."""
     kinds = set()
