@@ -667,3 +667,25 @@ def test_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert [(r.l, r.r) for r in got] == [("a", "b")]
+
+
+def test_walks_of_many_documents_share_frames(spark, monkeypatch):
+    """The rows of many documents come in one frame (one a document took longer than the walk), and totals count as the paths do."""
+    docs = spark.createDataFrame([(i, '{"a": [1, {"b": %d}], "evidence": ["x"], "more": [{"é": 1e3}]}' % i) for i in range(2000)], "doc long, source string").coalesce(1)
+    docs = docs.withColumn("body", F.parse_json("source"))
+    each = ingest.observed_paths(docs)
+    frames = ingest._walked(docs, lambda body: [(1,)], ["n"], "n long", most=700)
+    assert frames.count() == 2000 and frames.select("doc").distinct().count() == 2000
+    want = {r.path: r.n for r in each.groupBy("path").agg(F.sum("n").alias("n")).collect()}
+    assert {r.path: r.n for r in ingest.path_totals(docs).collect()} == want and want["a[].b"] == 2000
+    kept = {r.path: (r.doc, r.payload) for r in corpus.preserved_records(docs.filter("doc = 7"), ("a",)).collect()}
+    assert kept["more[0]"] == (7, '{"é": 1e3}') and kept["a[1]"] == (7, '{"b": 7}') and corpus.preserved_records(docs, ("a",)).count() == 8000
+
+
+def test_shapes_of_variants(spark):
+    """What as_sequence() and is_object() say of every kind of value, as its schema would."""
+    values = ["null", "[]", "[1, null]", "{}", '{"a": 1}', "3", '"x"', '"[1]"', "true", "[[1]]", '"{}"']
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "j string").withColumn("v", F.parse_json("j"))
+    got = {r.j: (r.n, r.o, r.s) for r in rows.select("j", F.size(ingest.as_sequence(F.col("v"))).alias("n"), ingest.is_object("v").alias("o"), F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")).alias("s")).collect()}
+    assert all(o == s for _, o, s in got.values())
+    assert {j: n for j, (n, _, _) in got.items()} == {None: 0, "null": 0, "[]": 0, "[1, null]": 2, "{}": 1, '{"a": 1}': 1, "3": 1, '"x"': 1, '"[1]"': 1, "true": 1, "[[1]]": 1, '"{}"': 1}
