@@ -143,3 +143,25 @@ def test_bounded_candidates_are_all_candidates(spark, rare, limit):
         got = retrieval.best_candidates(index, limit, least, rare).select("l", "r", "axes", "total", "rank")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count()
     assert retrieval.best_candidates(index.filter(F.lit(False)), limit).count() == 0
+
+
+def test_ranked_is_all_pairs(spark):
+    """Blocks of entities against all pairs: ties, several axes of a feature, repeated rows, entities that only they have, least axes."""
+    rng = random.Random(11)
+    rows = [(e * 7 - 300, f"f{int(rng.random() ** 2 * 60)}", rng.choice("abc")) for e in range(150) for _ in range(rng.randint(0, 12))]
+    rows += rows[:20] + [(9999, "alone", "a"), (5000, "f1", None), (5001, "f1", None)]
+    index = spark.createDataFrame(rows, "entity_id long, feature_id string, axis string")
+    index = index.withColumns({"df": F.lit(5).cast("long"), "ic": F.round(1 + F.pmod(F.xxhash64("feature_id"), F.lit(4)) / 3, 3).cast(retrieval.IC)})
+    scores = retrieval.axis_scores(index).cache()
+    for limit, least in ((3, 1), (8, 2), (500, 1)):
+        want = retrieval.candidates(scores, limit, least).cache()
+        best = retrieval.ranked(index, limit, least, F.col("feature_id") < "f2", most_block=64).cache()
+        plain = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+        columns = ["l", "r", "axes", "total", "rank"]
+        assert plain(best, *columns) == plain(want, *columns) and best.count() > 100
+        kept = scores.join(want, ["l", "r"], "left_semi")
+        assert plain(retrieval.ranked_scores(best), "l", "r", "axis", "ic", "shared") == plain(kept, "l", "r", "axis", "ic", "shared")
+        a, b = index.filter("feature_id < 'f2'").alias("a"), index.alias("b")
+        met = a.join(b, F.expr("a.feature_id = b.feature_id")).select(F.col("a.entity_id").alias("l"), F.col("b.entity_id").alias("r")).distinct()
+        assert plain(best.filter("marked"), "l", "r") == plain(want.join(met, ["l", "r"]), "l", "r")
+    assert retrieval.ranked(index.limit(0)).count() == 0
