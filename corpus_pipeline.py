@@ -17,8 +17,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts with a verified Jaccard similarity of 0.8 or more over five-word shingles."""
-    return similar.one_of_similar(docs, words_each=5, like=0.8)
+    """One document of each class of texts with a verified Jaccard similarity of 0.8 or more over five-word shingles.
+
+    Candidates come from SimHash classes, and from minhashes what SimHash misses.
+    """
+    return similar.one_of_similar(docs, words_each=5, like=0.8, bits=3)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,11 @@ def shingle_hashes(text: bytes, words_each: int, seed: int = 42) -> list[int]:
 
 def fingerprint(text: bytes, words_each: int = 3, seed: int = 42) -> int:
     """Signed 64-bit SimHash of the lower-cased (A-Z) words' shingles; 0 without words."""
-    hashes = shingle_hashes(text, words_each, seed)
+    return fingerprint_of(shingle_hashes(text, words_each, seed))
+
+
+def fingerprint_of(hashes: list[int]) -> int:
+    """The SimHash of shingles' hashes; 0 of none."""
     if not hashes:
         return 0
     columns = np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)

@@ -1,6 +1,7 @@
 """Near-duplicates by similarity: texts whose sets of word shingles have a Jaccard similarity of `like` or more.
 
-Candidates meet under bands of minhashes: `rows` minima each, of `bands` bands one must be equal, which a pair of
+Candidates meet in classes of SimHash fingerprints (as op5_simhash makes them: deletion variants of segments, verified links,
+components) and, as similar texts' fingerprints can lie too far apart for those, under bands of minhashes besides: `rows` minima each, of `bands` bands one must be equal, which a pair of
 similarity s misses with probability (1 - s^rows)^bands; 7e-5 at 0.8, less above. Each candidate is verified on the
 sets themselves before it links anything. Under a key that many sets share (a dense cluster) blocks hand on spanning
 forests of their verified links, not all pairs.
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, maybe_in, utf8, with_results
-from .simhash import components, keep_best, shared, shingle_hashes
+from .simhash import components, fingerprint_of, keep_best, links, shared, shingle_hashes
 
 
 def shingle_set(text: bytes, words_each: int = 5) -> np.ndarray:
@@ -102,8 +103,9 @@ def similar_links(met: DataFrame, shingles: DataFrame, like: float = 0.8, dense:
     return found
 
 
-def similar_classes(df: DataFrame, text: str = "text", words_each: int = 5, like: float = 0.8, bands: int = 24, rows: int = 5, extra: tuple[Column, ...] = ()) -> DataFrame:
+def similar_classes(df: DataFrame, text: str = "text", words_each: int = 5, like: float = 0.8, bands: int = 24, rows: int = 5, bits: int = 3, extra: tuple[Column, ...] = ()) -> DataFrame:
     """set_id, root, extra0.. of every row: its set of shingles and its class, which verified links of sets connect.
+    bits: how far fingerprints may differ that put two sets into one class of candidates.
 
     Words are lower-cased (A-Z); a text of fewer words than a shingle is one shingle. Texts without words, null ones
     too, are a class. Rows stay one to one; an empty table gives none.
@@ -114,14 +116,20 @@ def similar_classes(df: DataFrame, text: str = "text", words_each: int = 5, like
 
     def name_and_keys():
         def run(v):
-            sets = [shingle_set(t, words_each) for t in v[0]]
-            return [[set_id(s) for s in sets], [len(s) for s in sets], [band_keys(s, bands, rows) for s in sets]]
+            hashes = [shingle_hashes(t, words_each) for t in v[0]]
+            sets = [np.unique(np.array(h, np.uint64)) for h in hashes]
+            return [[set_id(s) for s in sets], [len(s) for s in sets], [band_keys(s, bands, rows) for s in sets], [fingerprint_of(h) for h in hashes]]
 
         return run
 
-    marked = materialize(with_results(slim, [utf8("text")], "set_id long, size long, keys array<bigint>", name_and_keys, ["content", *names]))
+    marked = materialize(with_results(slim, [utf8("text")], "set_id long, size long, keys array<bigint>, fp long", name_and_keys, ["content", *names]))
     sets = marked.groupBy("set_id").agg(F.min("content").alias("content"), F.min("size").alias("size"), F.min("keys").alias("keys"))
     keyed = sets.select("set_id", "content", "size", F.posexplode("keys").alias("band", "key"))
+    # the classes of fingerprints are one more band
+    fps = materialize(marked.filter("size > 0").groupBy("set_id", "fp").agg(F.min("content").alias("content"), F.min("size").alias("size")))
+    near = components(links(fps.select("fp").distinct(), bits)).withColumnRenamed("node", "fp")
+    classes = fps.join(near, "fp", "left").groupBy("set_id", F.coalesce("root", "fp").alias("key")).agg(F.min("content").alias("content"), F.min("size").alias("size"))
+    keyed = keyed.unionByName(classes.withColumn("band", F.lit(-1)))
     met = materialize(shared(keyed, ["key", "band"]))
 
     def name_and_set():
@@ -138,10 +146,10 @@ def similar_classes(df: DataFrame, text: str = "text", words_each: int = 5, like
     return marked.join(roots, marked["set_id"] == roots["node"], "left").select("set_id", F.coalesce("root", "set_id").alias("root"), *names)
 
 
-def one_of_similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each: int = 5, like: float = 0.8) -> DataFrame:
+def one_of_similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each: int = 5, like: float = 0.8, bits: int = 3) -> DataFrame:
     """One row of each class of similar texts, the one with the smallest id (null ids last), with its own columns.
 
     Of rows with equal id and text one stays. The texts are shuffled once, on the id and the text's hash, to meet the verdicts.
     """
-    found = similar_classes(df, text, words_each, like, extra=(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`").cast("string"))))
+    found = similar_classes(df, text, words_each, like, bits=bits, extra=(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`").cast("string"))))
     return keep_best(df, found.select("root", F.col("extra0").alias("doc_id"), F.col("extra1").alias("content")), text, doc_id)

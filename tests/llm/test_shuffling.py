@@ -469,3 +469,19 @@ def test_written_shards_are_whole_and_skipped(table, request, spark, tmp_path, e
     assert hilbert.read_shards(spark, path, doc_id=(10**9, 10**9)).count() == 0
     hilbert.write_shards(empty, path + "-empty")
     assert hilbert.read_shards(spark, path + "-empty").count() == 0
+
+
+def test_simhash_classes_give_candidates(spark):
+    """Without any band of minhashes, similar texts whose fingerprints SimHash links are found, and unlike ones are not."""
+    rng = random.Random(8)
+    some = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = [" ".join(some(50)) for _ in range(40)]
+    for _ in range(12):
+        base = some(900)
+        texts += [" ".join(base), " ".join([*base[:-1], "other"]), " ".join([*base[:450], "other", *base[451:]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.extra0: r.root for r in similar.similar_classes(df, bands=0, extra=(F.col("doc_id"),)).collect()}
+    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= 3]
+    assert len(near) > 10 and all(found[i] == found[j] for i, j in near)
+    assert len({found[i] for i in range(40)}) == 40
