@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import commits, retrieval
-from .checkpoints import delete, forget, settled
+from .checkpoints import delete, settled
 
 BUCKETS = 16
-#: Files of a bucket, at most: so many tasks write the rows of one key.
+#: Files of a bucket, at least; the rows of one key lie in all of them.
 SPREAD = 4
+#: Rows of a file, about: a bucket has as many files as its rows ask for, so that a task's rows do not grow with the table.
+FILE_ROWS = 1_000_000
 
 
 def bucket(column: Column | str, buckets: int) -> Column:
@@ -46,15 +48,15 @@ def _buckets_of(rows: DataFrame, column: str, buckets: int) -> list[int]:
     return [r.b for r in rows.select(bucket(column, buckets).alias("b")).distinct().collect()]
 
 
-def update_index(spark: SparkSession, path: str, features: DataFrame, entities: DataFrame, buckets: int = BUCKETS, tries: int = 50) -> list[int]:
+def update_index(spark: SparkSession, path: str, features: DataFrame, entities: DataFrame, buckets: int = BUCKETS, tries: int = 50, unique: bool = False) -> list[int]:
     """Store the features (entity_id, feature_id, axis, ...) of the given entities (entity_id) in place of those they had, if any.
 
-    An entity without features counts too. Returns the buckets of postings that were added to. Two writers may race: the slower
+    An entity without features counts too. unique: the features have an entity and feature in one row at most. Returns the buckets of postings that were added to. Two writers may race: the slower
     one takes what is stored then into account and writes anew.
     """
     given = settled(entities.select("entity_id").distinct())
-    rows = features.join(given, "entity_id", "left_semi").dropDuplicates(["entity_id", "feature_id"])
-    rows = settled(rows.withColumn("sign", F.lit(1).cast("long")))
+    rows = features.join(given, "entity_id", "left_semi")
+    rows = settled((rows if unique else rows.dropDuplicates(["entity_id", "feature_id"])).withColumn("sign", F.lit(1).cast("long")))
     for _ in range(tries):
         state = commits.committed(spark, path)
         buckets = state[0]["buckets"] if state else buckets
@@ -70,18 +72,18 @@ def update_index(spark: SparkSession, path: str, features: DataFrame, entities:
         folder = commits.new_folder(path)
         made = {
             "members": (members, "entity_id"), "entities": (changes, "entity_id"), "postings": (changes, "feature_id"),
-            "frequency": (changes.groupBy("feature_id", "axis").agg(F.sum("sign").alias("df")).filter("df <> 0"), "feature_id"),
+            "frequency": (settled(changes.groupBy("feature_id", "axis").agg(F.sum("sign").alias("df")).filter("df <> 0")), "feature_id"),
         }
         schemas, touched = {}, {}
+        spread = max(SPREAD, -(-changes.count() // (FILE_ROWS * buckets)))
         for name, (table, key) in made.items():
             schemas[name] = table.schema.jsonValue()
-            placed = settled(table.withColumn("bucket", bucket(key, buckets)))
-            touched[name] = sorted(r.bucket for r in placed.select("bucket").distinct().collect())
+            touched[name] = sorted(_buckets_of(table, key, buckets))
             # the rows of a frequent feature, or of an entity with very many, go to several files of their bucket
             other = {"postings": "entity_id", "entities": "feature_id"}.get(name)
-            spread = [F.pmod(F.xxhash64(other), F.lit(SPREAD))] if other else []
-            placed.repartition(buckets, "bucket", *spread).sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{folder}/{name}")
-            forget(placed)
+            files = [F.pmod(F.xxhash64(other), F.lit(spread))] if other else []
+            placed = table.withColumn("bucket", bucket(key, buckets)).repartition(buckets * spread if other else buckets, "bucket", *files)
+            placed.sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{folder}/{name}")
         said = {"folder": folder, "buckets": buckets, "entities": members.count(), "schemas": json.dumps(schemas), "touched": touched}
         if commits.commit(spark, path, commits.next_number(state), said):
             return touched["postings"]
@@ -89,11 +91,11 @@ def update_index(spark: SparkSession, path: str, features: DataFrame, entities:
     raise RuntimeError(f"{tries} times another writer was faster at {path}")
 
 
-def build_index(spark: SparkSession, path: str, features: DataFrame, entities: DataFrame, buckets: int = BUCKETS) -> None:
-    """Store an index where there is none."""
+def build_index(spark: SparkSession, path: str, features: DataFrame, entities: DataFrame, buckets: int = BUCKETS, unique: bool = False) -> None:
+    """Store an index where there is none (unique: as update_index() has it)."""
     if commits.committed(spark, path):
         raise ValueError(f"there is an index at {path}")
-    update_index(spark, path, features, entities, buckets)
+    update_index(spark, path, features, entities, buckets, unique=unique)
 
 
 def near(spark: SparkSession, path: str, anchors: DataFrame, ceiling: float = retrieval.CEILING) -> tuple[DataFrame, DataFrame]:
@@ -109,6 +111,7 @@ def near(spark: SparkSession, path: str, anchors: DataFrame, ceiling: float = re
     frequency = _table(spark, state, "frequency", mine).join(asked, "feature_id", "left_semi")
     frequency = frequency.groupBy("feature_id").agg(F.sum("df").alias("df")).withColumn("n", F.lit(n).cast("long"))
     usable = retrieval.retrievable(frequency, ceiling).select("feature_id", "df", retrieval.information(F.col("df"), F.col("n")).alias("ic")).persist()
+    usable.count()  # its size is known then, so that few anchors' features go to the postings and not these to them
     postings = _table(spark, state, "postings", mine).join(usable, "feature_id")
     keys = [c for c in postings.columns if c != "sign"]
     if len(state) > 1:

@@ -88,3 +88,26 @@ def test_stars_grow_with_orders(spark, sf, duck):
     ends = {r.n for r in stars.selectExpr("explode(array(a, b)) n").distinct().collect()}
     pairs = duck.sql(bindings.plain(retrieval.SPARSE)).fetchall()
     assert ends == {n for a, b, _ in pairs for n in (a, b)}
+
+
+def test_features_are_made_once_in_tasks_that_lines_ask_for(spark, sf, duck, monkeypatch):
+    lines = duck.sql("select count(*) from lineitem").fetchall()[0][0]
+    monkeypatch.setattr(bindings, "LINES", 300)
+    rows = bindings.features(spark, sf)
+    assert rows.rdd.getNumPartitions() == -(-lines // 300) > spark.sparkContext.defaultParallelism
+    got = sorted(map(tuple, rows.collect()))
+    assert got == sorted(duck.sql(bindings.plain(bindings.FEATURES)).fetchall())
+
+
+def test_features_of_lines_without_a_part(spark, tmp_path):
+    """Against the tables' SQL: a line whose part or order is unknown, a customer without orders, repeated lines."""
+    tables = {
+        "lineitem": "select * from values (1L, 7L, 3L), (1L, 7L, 3L), (1L, 8L, cast(null as bigint)), (2L, cast(null as bigint), 4L), (9L, 7L, 5L) t(l_orderkey, l_partkey, l_suppkey)",
+        "orders": "select * from values (1L, 50L), (2L, 51L), (3L, 52L) t(o_orderkey, o_custkey)",
+        "part": "select * from values (7L, 'T', 'B', 5), (6L, 'U', 'C', cast(null as int)) t(p_partkey, p_type, p_brand, p_size)",
+        "customer": "select * from values (50L, 'S'), (53L, cast(null as string)) t(c_custkey, c_mktsegment)",
+    }
+    for name, text in tables.items():
+        spark.sql(text).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = lambda df: sorted(map(repr, df.select("entity_id", "feature_id", "axis").collect()))
+    assert rows(bindings.features(spark, str(tmp_path))) == rows(bindings.bind(spark, str(tmp_path), bindings.FEATURES))

@@ -2,6 +2,7 @@
 
 import random
 import threading
+from pathlib import Path
 
 import pytest
 
@@ -165,3 +166,22 @@ def test_ranked_is_all_pairs(spark):
         met = a.join(b, F.expr("a.feature_id = b.feature_id")).select(F.col("a.entity_id").alias("l"), F.col("b.entity_id").alias("r")).distinct()
         assert plain(best.filter("marked"), "l", "r") == plain(want.join(met, ["l", "r"]), "l", "r")
     assert retrieval.ranked(index.limit(0)).count() == 0
+
+
+def test_a_bucket_has_the_files_that_its_rows_ask_for(spark, tmp_path, monkeypatch):
+    """Else the tasks that write it, as many as buckets, hold more the more rows there are."""
+    rows = [(i, f"f{i % 3}") for i in range(600)] + [(i, f"g{i // 2}") for i in range(600)]
+    found = []
+    for i, most in enumerate((1_000_000, 20)):
+        monkeypatch.setattr(feature_index, "FILE_ROWS", most)
+        path = str(tmp_path / f"index{i}")
+        feature_index.build_index(spark, path, frame(spark, rows), people(spark, range(600)), buckets=2, unique=True)
+        folder = feature_index.commits.committed(spark, path)[0]["folder"].removeprefix("file:")
+        files = [len(list(Path(f"{folder}/{name}").glob("bucket=*/*.parquet"))) for name in ("postings", "entities")]
+        found.append((files, sorted(map(tuple, feature_index.neighbours(spark, path, people(spark, [3, 8]), ceiling=0.6).collect()))))
+    (few, plain), (many, same) = found
+    assert plain == same and max(few) <= 2 * feature_index.SPREAD < min(many)
+    monkeypatch.undo()
+    path = str(tmp_path / "repeated")
+    feature_index.build_index(spark, path, frame(spark, rows + rows), people(spark, range(600)), buckets=2)
+    assert sorted(map(tuple, feature_index.neighbours(spark, path, people(spark, [3, 8]), ceiling=0.6).collect())) == plain
