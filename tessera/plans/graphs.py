@@ -105,5 +105,6 @@ def structural_gaps(spark, d):
 @query("settled_labels", f"with e as ({EDGES}) select distinct n node, true is_heaviest from (select graph * 10 + source n from e union all select graph * 10 + target from e) x")
 def settled_labels(spark, d):
     """Whether each node of the settled labels has a heaviest one around it: the labels themselves hang on hashes, this does not."""
-    edges = bind(spark, d, EDGES).select((F.col("graph") * 10 + F.col("source")).alias("a"), (F.col("graph") * 10 + F.col("target")).alias("b"), F.lit(1.0).alias("weight"))
-    return graph.heaviest_labels(settled(graph.both_ways(edges)), graph.settle_labels(edges)).select("node", "is_heaviest")
+    edges = bind(spark, d, EDGES).select("graph", (F.col("graph") * 10 + F.col("source")).alias("a"), (F.col("graph") * 10 + F.col("target")).alias("b"), F.lit(1.0).alias("weight"))
+    edges = settled(edges)
+    return graph.heaviest_labels(graph.both_ways(edges), graph.settle_labels(edges, "graph")).select("node", "is_heaviest")

@@ -689,3 +689,41 @@ def test_shapes_of_variants(spark):
     got = {r.j: (r.n, r.o, r.s) for r in rows.select("j", F.size(ingest.as_sequence(F.col("v"))).alias("n"), ingest.is_object("v").alias("o"), F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")).alias("s")).collect()}
     assert all(o == s for _, o, s in got.values())
     assert {j: n for j, (n, _, _) in got.items()} == {None: 0, "null": 0, "[]": 0, "[1, null]": 2, "{}": 1, '{"a": 1}': 1, "3": 1, '"x"': 1, '"[1]"': 1, "true": 1, "[[1]]": 1, '"{}"': 1}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_labels_within_groups(spark, monkeypatch, kind):
+    """Groups settled whole in tasks, at a few edges a time too, and large ones in rounds over tables: every node has a heaviest label."""
+    rng, name = random.Random(5), {"long": int, "string": "n{:03}".format}[kind]
+    rows = [(g, name(g * 10 + rng.randrange(8)), name(g * 10 + rng.randrange(8)), float(rng.randint(1, 3))) for g in range(12) for _ in range(rng.randint(1, 14))]
+    edges = spark.createDataFrame([*rows, (99, name(990), name(990), 1.0)], f"graph long, a {kind}, b {kind}, weight double")
+    votes = {}
+    for _, a, b, w in rows:
+        if a != b:
+            for x, y in ((a, b), (b, a)):
+                votes.setdefault(x, []).append((y, w))
+    for settled, most in ((500_000, 100_000), (1, 100_000), (500_000, 9)):
+        monkeypatch.setattr(graph, "SETTLED", settled)
+        labels = {r.node: r.label for r in graph.settle_labels(edges, "graph", most).collect()}
+        assert set(labels) == set(votes)
+        for x, around in votes.items():
+            sums = {}
+            for y, w in around:
+                sums[labels[y]] = sums.get(labels[y], 0) + w
+            assert sums.get(labels[x]) == max(sums.values())
+    assert graph.settle_labels(edges.limit(0), "graph").count() == 0
+
+
+def test_groups_are_settled_without_rounds_over_tables(spark, monkeypatch):
+    monkeypatch.setattr(graph, "heaviest_labels", None)
+    edges = spark.createDataFrame([(g, g * 10 + i, g * 10 + i + 1, 1.0) for g in range(30) for i in range(5)], "graph long, a long, b long, weight double")
+    assert graph.settle_labels(edges, "graph").count() == 180
+
+
+def test_chains_that_only_go_up_are_not_searched_for_cycles(spark, monkeypatch):
+    asked, reachable = [], graph.reachable
+    monkeypatch.setattr(graph, "reachable", lambda edges: asked.extend(r.graph for r in edges.collect()) or reachable(edges))
+    rows = [("up", 1, 2), ("up", 2, 4), ("down", 2, 1), ("ring", 1, 2), ("ring", 2, 1), ("ring", 2, 3), ("loop", 1, 1)]
+    edges = spark.createDataFrame(rows, "graph string, source long, target long")
+    assert {r.graph: r.longest for r in graph.longest_chains(edges).collect()} == {"up": 2, "down": 1, "ring": 2, "loop": 0}
+    assert set(asked) == {"down", "ring"}
