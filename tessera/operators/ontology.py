@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checkpoints import settled
+from .ordered import numbered
 
 INFORMATIVE = 0.05
 
@@ -49,16 +50,39 @@ def closure_information(annotations: DataFrame, closed: DataFrame) -> DataFrame:
     return counts.select("term_id", "n", F.round(-F.ln(F.col("n") / F.col("total")), 6).alias("ic"))
 
 
+def _lineages(closed: DataFrame, information: DataFrame) -> DataFrame:
+    """(term_id, above, own): a term's ancestors as (key, ancestor), and its own content in millionths.
+
+    A key holds the content in its upper bits and the ancestor's place by id in the lower 32, so the greatest key that two terms have in
+    common is that of their most informative common ancestor, the larger id on ties. An ancestor that no entity has counts 0.
+    """
+    units = F.coalesce(F.round(F.col("ic") * 1_000_000).cast("long"), F.lit(0).cast("long"))
+    ids = numbered(settled(closed.select("ancestor").distinct()), [F.asc("ancestor")], "at")
+    keys = ids.join(information.select(F.col("term_id").alias("ancestor"), "ic"), "ancestor", "left").select("ancestor", units.alias("units"), (F.shiftleft(units, 32) + F.col("at")).alias("key"))
+    rows = closed.join(keys, "ancestor").groupBy("term_id")
+    return settled(rows.agg(F.collect_list(F.struct("key", "ancestor")).alias("above"), F.max(F.when(F.col("ancestor") == F.col("term_id"), F.col("units"))).alias("own")))
+
+
+def _keys(above: Column | str) -> Column:
+    return F.transform(above, lambda x: x["key"])
+
+
+def _units(one: Column, other: Column) -> Column:
+    """The content, in millionths, of the best key that two arrays have in common."""
+    return F.coalesce(F.shiftright(F.array_max(F.array_intersect(one, other)), 32), F.lit(0).cast("long"))
+
+
 def mica(pairs: DataFrame, closed: DataFrame, information: DataFrame) -> DataFrame:
     """Pairs (a, b) of terms -> their most informative common ancestor (the larger id on ties) and its content.
 
-    An ancestor that no entity has counts 0; pairs without one get null and 0.
+    An ancestor that no entity has counts 0; pairs without one get null and 0. A pair meets its terms' ancestors as arrays, so there
+    is no row for each of them.
     """
-    left, right = closed.select(F.col("term_id").alias("a"), "ancestor"), closed.select(F.col("term_id").alias("b"), "ancestor")
-    wanted = pairs.select("a", "b").distinct()
-    met = wanted.join(left, "a").join(right, ["b", "ancestor"]).join(information.select(F.col("term_id").alias("ancestor"), "ic"), "ancestor", "left")
-    best = met.groupBy("a", "b").agg(F.max(F.struct(F.coalesce("ic", F.lit(0.0)).alias("ic"), F.col("ancestor"))).alias("m"))
-    return wanted.join(best, ["a", "b"], "left").select("a", "b", F.col("m.ancestor").alias("mica"), F.coalesce("m.ic", F.lit(0.0)).alias("ic"))
+    lineages = _lineages(closed, information)
+    met = pairs.select("a", "b").distinct().join(lineages.select(F.col("term_id").alias("b"), _keys("above").alias("theirs")), "b", "left")
+    met = met.join(lineages.select(F.col("term_id").alias("a"), "above"), "a", "left").withColumn("best", F.array_max(F.array_intersect(_keys("above"), "theirs")))
+    first = F.get(F.filter("above", lambda x: x["key"] == F.col("best")), 0)
+    return met.select("a", "b", first["ancestor"].alias("mica"), F.coalesce(F.shiftright("best", 32) / 1_000_000, F.lit(0.0)).alias("ic"))
 
 
 def best_match_average(pairs: DataFrame, annotations: DataFrame, closed: DataFrame, information: DataFrame) -> DataFrame:
@@ -66,23 +90,36 @@ def best_match_average(pairs: DataFrame, annotations: DataFrame, closed: DataFra
 
     A term's best similarity to an entity is the content of the most informative of its ancestors that any term of the
     entity has too, so terms meet an entity's ancestors, not all its terms. An ancestor that no entity has counts 0, as no
-    common one does; an entity without terms gives 0.
+    common one does; an entity without terms gives 0. An entity is one row with the ancestors of all its terms, a pair one with both.
     """
-    have = annotations.select("entity_id", "term_id").distinct()
-    above = have.join(closed, "term_id").select("entity_id", "ancestor").distinct()
+    have = annotations.select("entity_id", "term_id").distinct().join(_lineages(closed, information), "term_id")
+    sets = have.groupBy("entity_id").agg(F.collect_list(_keys("above")).alias("terms"))
+    met = pairs.select("l", "r").join(sets.toDF("l", "x"), "l", "left").join(sets.toDF("r", "y"), "r", "left")
     # whole millionths, so that the order of their sums does not matter and one division rounds
-    units = information.select(F.col("term_id").alias("ancestor"), F.round(F.col("ic") * 1_000_000).cast("long").alias("units"))
-    terms = have.join(closed, "term_id").join(units, "ancestor", "left").select("entity_id", "term_id", "ancestor", F.coalesce("units", F.lit(0)).alias("units"))
-    both = pairs.select("l", "r").distinct()
-    both = both.withColumn("swap", F.explode(F.array(F.lit(False), F.lit(True)))).select("l", "r", "swap", F.when(F.col("swap"), F.col("r")).otherwise(F.col("l")).alias("of"), F.when(F.col("swap"), F.col("l")).otherwise(F.col("r")).alias("to"))
-    asked = both.join(terms, both["of"] == terms["entity_id"]).drop("entity_id")
-    met = asked.join(above.select(F.col("entity_id").alias("to"), "ancestor", F.lit(True).alias("met")), ["to", "ancestor"], "left")
-    best = met.groupBy("l", "r", "swap", "term_id").agg(F.max(F.when(F.col("met"), F.col("units")).otherwise(0)).alias("best"))
-    way = best.groupBy("l", "r", "swap").agg(F.sum("best").alias("s"), F.count("*").alias("n"))
-    one = lambda c, swap: F.max(F.when(F.col("swap") == F.lit(swap), F.col(c)))
-    sums = way.groupBy("l", "r").agg(one("s", False).alias("x"), one("n", False).alias("nx"), one("s", True).alias("y"), one("n", True).alias("ny"))
-    mean = (F.col("x") * F.col("ny") + F.col("y") * F.col("nx")).cast("double") / (2_000_000 * F.col("nx") * F.col("ny"))
-    return pairs.select("l", "r").join(sums, ["l", "r"], "left").select("l", "r", F.coalesce(mean, F.lit(0.0)).alias("bma"))
+    total = lambda one, other: F.aggregate(one, F.lit(0).cast("long"), lambda t, x: t + _units(x, F.flatten(other)))
+    nx, ny = F.size("x").cast("long"), F.size("y").cast("long")
+    mean = (total("x", "y") * ny + total("y", "x") * nx).cast("double") / (2_000_000 * nx * ny)
+    return met.select("l", "r", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), mean).otherwise(0.0).alias("bma"))
+
+
+def partition_by_ancestors(pairs: DataFrame, annotations: DataFrame, closed: DataFrame, information: DataFrame, related: int = 10) -> DataFrame:
+    """partition_terms() with the similarities that mica() gives, without a row for each pair of terms: a pair of entities is one row with both sets."""
+    least = -math.log(INFORMATIVE)
+    have = annotations.select("entity_id", "term_id").distinct().join(_lineages(closed, information), "term_id", "left")
+    term = F.struct(F.col("term_id").alias("term"), F.coalesce("own", F.lit(0).cast("long")).alias("own"), F.coalesce(_keys("above"), F.array().cast("array<bigint>")).alias("keys"))
+    sets = have.groupBy("entity_id").agg(F.collect_list(term).alias("terms"))
+    met = pairs.select("l", "r").join(sets.toDF("l", "x"), "l").join(sets.toDF("r", "y"), "r", "left")
+    met = met.withColumn("y", F.coalesce("y", F.filter("x", lambda t: F.lit(False))))
+    met = met.withColumns({"xs": F.transform("x", lambda t: t["term"]), "ys": F.transform("y", lambda t: t["term"])})
+    met = met.withColumn("theirs", F.filter("y", lambda t: ~F.array_contains("xs", t["term"]))).withColumn("only", F.filter("x", lambda t: ~F.array_contains("ys", t["term"])))
+    nearest = lambda t: F.array_min(F.transform("theirs", lambda u: F.struct((-_units(t["keys"], u["keys"])).alias("loss"), u["term"].alias("b"))))
+    near = F.transform("only", lambda t: F.struct(nearest(t).alias("first"), t["term"].alias("a")))
+    near = F.transform(near, lambda t: F.struct(t["first"]["loss"].alias("loss"), t["a"].alias("a"), t["first"]["b"].alias("b")))
+    met = met.withColumn("best", F.slice(F.array_sort(F.filter(near, lambda t: -t["loss"] / 1_000_000 >= least)), 1, related))
+    of = lambda t: F.get(F.filter("best", lambda z: z["a"] == t["term"]), 0)["b"]
+    in_r = lambda t: F.coalesce(F.array_contains("ys", t["term"]), F.lit(False))
+    part = lambda t: F.when(in_r(t) & (t["own"] / 1_000_000 >= least), "shared_informative").when(in_r(t), "shared_generic").when(of(t).isNotNull(), "related").otherwise("left_only")
+    return met.select("l", "r", F.inline(F.transform("x", lambda t: F.struct(t["term"].alias("term_id"), part(t).alias("part"), of(t).alias("related_to")))))
 
 
 def partition_terms(pairs: DataFrame, annotations: DataFrame, information: DataFrame, similarity: DataFrame, related: int = 10) -> DataFrame:

@@ -73,8 +73,7 @@ def best_match_average(spark, d):
 )
 def phenotype_partition(spark, d):
     _, closed, annotations, information = tables(spark, d)
-    similarity = ontology.mica(term_pairs(spark, d, annotations), closed, information).persist()
-    return ontology.partition_terms(bind(spark, d, PAIRS), annotations, information, similarity)
+    return ontology.partition_by_ancestors(bind(spark, d, PAIRS), annotations, closed, information)
 
 
 STARTS = "select distinct l_orderkey graph, l_linenumber node from {lineitem}"

@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import uuid
 from collections import Counter
 
@@ -727,3 +728,71 @@ def test_chains_that_only_go_up_are_not_searched_for_cycles(spark, monkeypatch):
     edges = spark.createDataFrame(rows, "graph string, source long, target long")
     assert {r.graph: r.longest for r in graph.longest_chains(edges).collect()} == {"up": 2, "down": 1, "ring": 2, "loop": 0}
     assert set(asked) == {"down", "ring"}
+
+
+def ontology_tables(spark, rng):
+    """Random parents, annotations (an unknown term and an entity without any too), and what a term's ancestors and contents are."""
+    terms = [f"T{i}" for i in range(14)]
+    isa = {(c, terms[p]) for i, c in enumerate(terms) for p in rng.sample(range(i), min(i, rng.randrange(3)))}
+    notes = sorted({(e, rng.choice([*terms, "X"])) for e in range(9) for _ in range(rng.randint(0, 5))})
+    above = {t: {t} for t in terms}
+    for t in terms:
+        for c, p in isa:
+            if c == t:
+                above[t] |= above[p]
+    total = len({e for e, _ in notes})
+    count = {a: len({e for e, t in notes if a in above.get(t, ())}) for a in terms}
+    ic = {a: round(-math.log(n / total), 6) if n else 0.0 for a, n in count.items()}
+    known = spark.createDataFrame([(t, False, None) for t in terms], "term_id string, obsolete boolean, replaced_by string")
+    closed = ontology.closure(known, spark.createDataFrame(sorted(isa), "child string, parent string"))
+    annotations = spark.createDataFrame(notes + notes[:2], "entity_id long, term_id string")
+    return terms, notes, above, ic, closed, annotations, ontology.closure_information(annotations, closed)
+
+
+def test_similarities_of_random_ontologies(spark):
+    for seed in (1, 2):
+        terms, notes, above, ic, closed, annotations, information = ontology_tables(spark, random.Random(seed))
+        pairs = [(a, b) for a in [*terms, "X"] for b in terms]
+        best = {(a, b): max(((ic[c], c) for c in above.get(a, set()) & above[b]), default=(0.0, None)) for a, b in pairs}
+        got = {(r.a, r.b): (r.ic, r.mica) for r in ontology.mica(spark.createDataFrame(pairs, "a string, b string"), closed, information).collect()}
+        assert got == best
+        of = {e: sorted({t for x, t in notes if x == e and t in above}) for e in range(10)}
+        met = [(x, y) for x in range(10) for y in range(10)]
+
+        def way(x, y):
+            return [max((best[a, b][0] for b in of[y]), default=0.0) for a in of[x]]
+
+        mean = {(x, y): (sum(way(x, y)) / len(of[x]) + sum(way(y, x)) / len(of[y])) / 2 if of[x] and of[y] else 0.0 for x, y in met}
+        who = spark.createDataFrame(met, "l long, r long")
+        assert {(r.l, r.r): r.bma for r in ontology.best_match_average(who, annotations, closed, information).collect()} == pytest.approx(mean, abs=1e-9)
+
+
+def test_partition_by_ancestors_is_that_by_pairs_of_terms(spark, monkeypatch):
+    monkeypatch.setattr(ontology, "INFORMATIVE", 0.6)
+    parts = set()
+    for seed, related in ((3, 10), (4, 1)):
+        terms, _, _, _, closed, annotations, information = ontology_tables(spark, random.Random(seed))
+        who = spark.createDataFrame([(x, y) for x in range(10) for y in range(10)], "l long, r long")
+        pairs = spark.createDataFrame([(a, b) for a in [*terms, "X"] for b in [*terms, "X"]], "a string, b string")
+        rows = lambda df: sorted(map(repr, df.select("l", "r", "term_id", "part", "related_to").collect()))
+        want = rows(ontology.partition_terms(who, annotations, information, ontology.mica(pairs, closed, information), related))
+        assert rows(ontology.partition_by_ancestors(who, annotations, closed, information, related)) == want
+        parts |= {p for p in ("shared_informative", "shared_generic", "'related'", "left_only") if any(p in x for x in want)}
+    assert len(parts) == 4
+
+
+@pytest.mark.parametrize("operator", ["mica", "best_match_average"])
+def test_ancestors_are_no_rows_of_a_shuffle(spark, operator):
+    """Pairs that were shuffled with each ancestor of their terms grew with those too, and met in a few common ones."""
+    terms, _, _, _, closed, annotations, information = ontology_tables(spark, random.Random(6))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        if operator == "mica":
+            found = ontology.mica(spark.createDataFrame([(a, b) for a in terms for b in terms], "a string, b string"), closed, information)
+        else:
+            found = ontology.best_match_average(spark.createDataFrame([(0, 1)], "l long, r long"), annotations, closed, information)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert "hashpartitioning(" in plan and not re.search(r"hashpartitioning\([^)]*ancestor", plan)
