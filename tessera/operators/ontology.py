@@ -45,7 +45,10 @@ def closure(terms: DataFrame, isa: DataFrame) -> DataFrame:
 def closure_information(annotations: DataFrame, closed: DataFrame) -> DataFrame:
     """(term_id, n, ic): entities annotated with the term or a descendant; -ln of their share, to 6 places."""
     total = annotations.select("entity_id").distinct().agg(F.count("*").alias("total"))
-    reach = annotations.join(closed, "term_id").select("entity_id", F.col("ancestor").alias("term_id")).distinct()
+    # an entity's ancestors are one array, told apart in its row, so that no task holds a row for each
+    above = closed.groupBy("term_id").agg(F.collect_list("ancestor").alias("above"))
+    sets = annotations.select("entity_id", "term_id").join(above, "term_id").groupBy("entity_id").agg(F.array_distinct(F.flatten(F.collect_list("above"))).alias("all"))
+    reach = sets.select(F.explode("all").alias("term_id"))
     counts = reach.groupBy("term_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))
     return counts.select("term_id", "n", F.round(-F.ln(F.col("n") / F.col("total")), 6).alias("ic"))
 
