@@ -799,3 +799,17 @@ def test_ancestors_are_no_rows_of_a_shuffle(spark, operator):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
     unwanted = r"hashpartitioning\(entity_id[^)]*term_id" if operator == "closure_information" else r"hashpartitioning\([^)]*ancestor"
     assert "hashpartitioning(" in plan and not re.search(unwanted, plan)
+
+
+@pytest.mark.parametrize("kinds", [3, 400])
+def test_coordination_pairs_of_a_common_capability(spark, kinds):
+    """All teams share one capability: its pairs come from several tasks, and equal brute force whether few or many others are shared."""
+    rng = random.Random(kinds)
+    has = {t: {"all", *(f"c{rng.randrange(kinds)}" for _ in range(rng.randint(0, 9)))} for t in range(60)}
+    rows = [(t, c) for t, own in has.items() for c in own] + [(0, "all"), (1, None), (100, None), (100, "all"), (None, "all"), (101, "all")]
+    has[100] = {"all"}  # with its null it has two, of which one can be shared
+    teams = [t for t in has if len(has[t]) > 1 or t in (1, 100)]
+    want = {(a, b): ",".join(sorted(has[a] & has[b])) for a in teams for b in teams if a < b}
+    got = action.coordination_pairs(spark.createDataFrame(rows, "team long, capability string"), block=8).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.shared for r in got} == want
+    assert len({r.task for r in got if r.shared.startswith("all")}) > 1
