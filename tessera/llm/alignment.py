@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from ..operators.checkpoints import settled
 from .bpe import PIECES, byte_letters
 from .byte_bpe import Numbers
-from .common import fresh, slices, utf8
+from .common import fresh, pieces, utf8
 
 #: Pairs of ids that are broadcast with their counts: the most frequent ones. All others are joined by a shuffle.
 MOST_BROADCAST = 200_000
@@ -142,15 +142,15 @@ def tokenised(df: DataFrame, path_a: str, path_b: str, text: str, keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(path_a, path_b)
-        for whole in batches:
-            for batch in slices(whole, len(kept), BLOCK):
-                codes, tokens, sides = both.block(batch.column(len(kept)).to_pylist())
-                flat = listed(pa.array(np.concatenate(codes)), [len(c) for c in codes])
-                rows = pa.StructArray.from_arrays([*batch.columns[:-1], *map(pa.array, tokens), flat], names=row.names)
-                columns = [listed(pa.array(x), n) for values, n in sides for x in values]
-                runs = pa.StructArray.from_arrays(columns, names=["a", "a_ends", "b", "b_ends"])
-                lists = [listed(x, [len(x)]).cast(k) for x, k in zip((rows, runs), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(lists, names=out.names)
+        for batch in pieces(batches, len(kept), BLOCK):
+            codes, tokens, sides = both.block(batch.column(len(kept)).to_pylist())
+            flat = listed(pa.array(np.concatenate(codes)), [len(c) for c in codes])
+            rows = pa.StructArray.from_arrays([*batch.columns[:-1], *map(pa.array, tokens), flat], names=row.names)
+            columns = [listed(pa.array(x), n) for values, n in sides for x in values]
+            runs = pa.StructArray.from_arrays(columns, names=["a", "a_ends", "b", "b_ends"])
+            lists = [listed(x, [len(x)]).cast(k) for x, k in zip((rows, runs), kinds, strict=True)]
+            del batch, codes, tokens, sides, flat, rows, columns, runs
+            yield pa.RecordBatch.from_arrays(lists, names=out.names)
 
     columns = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
     return df.select(*columns, utf8(f"`{text}`").alias("text")).mapInArrow(run, out)
@@ -183,27 +183,34 @@ def groups(run: Column) -> Column:
         ids = lambda p, i, side: F.when(p[side] == begun(i, side) + 1, F.array(F.get(run[side], p[side] - 1))).otherwise(span(p, i, side))
         return F.transform(at, lambda p, i: F.struct(ids(p, i, "a").alias("a"), ids(p, i, "b").alias("b")))
 
-    # the last ends are common, so a token that is alone on its side makes a group of the run; with equal ends, all tokens do
+    # the last ends are common, so a token that is alone on its side makes a group of the run
     whole = F.array(F.struct(run["a"].alias("a"), run["b"].alias("b")))
-    each = F.zip_with(run["a"], run["b"], lambda x, y: F.struct(F.array(x).alias("a"), F.array(y).alias("b")))
-    alone = (F.size(run["a"]) == 1) | (F.size(run["b"]) == 1)
-    return F.when(alone, whole).when(run["a_ends"] == run["b_ends"], each).otherwise(let(places, cut))
+    return F.when((F.size(run["a"]) == 1) | (F.size(run["b"]) == 1), whole).otherwise(let(places, cut))
 
 
 def written(group: Column) -> Column:
-    return F.concat(F.array_join(group["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(group["b"].cast("array<string>"), ","))
+    ids = lambda side: F.when(F.size(group[side]) == 1, F.get(group[side], F.lit(0)).cast("string")).otherwise(F.array_join(group[side].cast("array<string>"), ","))
+    return F.concat(ids("a"), F.lit("|"), ids("b"))
+
+
+def link(x: Column, y: Column) -> Column:
+    """Two ids as one number."""
+    return F.call_function("shiftleft", x.cast("long"), F.lit(32)).bitwiseOR(y.cast("long"))
 
 
 def links(group: Column) -> Column:
-    """Each id of one side with each of the other, as one number."""
-    high = lambda x: F.call_function("shiftleft", x.cast("long"), F.lit(32))
-    return F.flatten(F.transform(group["a"], lambda x: F.transform(group["b"], lambda y: high(x).bitwiseOR(y.cast("long")))))
+    """Each id of one side with each of the other."""
+    one = (F.size(group["a"]) == 1) & (F.size(group["b"]) == 1)
+    each = F.flatten(F.transform(group["a"], lambda x: F.transform(group["b"], lambda y: link(x, y))))
+    return F.when(one, F.array(link(F.get(group["a"], F.lit(0)), F.get(group["b"], F.lit(0))))).otherwise(each)
 
 
 def known_run(run: Column) -> Column:
-    """A run's groups, written, and its links."""
+    """A run's groups, written, and its links. With equal ends each token of one side makes a group with that of the other."""
+    pair = lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))
+    paired = F.struct(F.array_join(F.zip_with(run["a"], run["b"], pair), ";").alias("groups"), F.zip_with(run["a"], run["b"], link).alias("links"))
     made = lambda g: F.struct(F.array_join(F.transform(g, written), ";").alias("groups"), F.flatten(F.transform(g, links)).alias("links"))
-    return let(groups(run), made)
+    return F.when(run["a_ends"] == run["b_ends"], paired).otherwise(let(groups(run), made))
 
 
 def alignments(df: DataFrame, path_a: str, path_b: str, text: str = "text", keep: list[str] | None = None, written_out: bool = False) -> DataFrame:
