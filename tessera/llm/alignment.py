@@ -24,12 +24,14 @@ from pyspark.sql import types as T
 from ..operators.checkpoints import settled
 from .bpe import PIECES, byte_letters
 from .byte_bpe import Numbers
-from .common import fresh, pieces, utf8
+from .common import fresh, gathered, pieces, utf8, with_batches_of
 
 #: Pairs of ids that are broadcast with their counts: the most frequent ones. All others are joined by a shuffle.
 MOST_BROADCAST = 200_000
 #: Runs whose tokens are remembered between blocks, and bytes of text in a block.
 MOST_KNOWN, BLOCK = 300_000, 3 << 20
+#: Texts that are handed to Python at once where the rows are stored: blocks are gathered from them, and 10,000 texts would be held four times.
+ROWS = 200
 
 RUNS = "array<struct<a: array<int>, a_ends: array<int>, b: array<int>, b_ends: array<int>>>"
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links", "groups")
@@ -142,7 +144,7 @@ def tokenised(df: DataFrame, path_a: str, path_b: str, text: str, keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(path_a, path_b)
-        for batch in pieces(batches, len(kept), BLOCK):
+        for batch in pieces(gathered(batches, len(kept), BLOCK), len(kept), BLOCK):
             codes, tokens, sides = both.block(batch.column(len(kept)).to_pylist())
             flat = listed(pa.array(np.concatenate(codes)), [len(c) for c in codes])
             rows = pa.StructArray.from_arrays([*batch.columns[:-1], *map(pa.array, tokens), flat], names=row.names)
@@ -263,7 +265,8 @@ def scored_alignments(df: DataFrame, path_a: str, path_b: str, text: str = "text
     """
     aligned = alignments(df, path_a, path_b, text, keep)
     number = fresh(aligned, "_row")
-    aligned = settled(aligned.withColumn(number, F.monotonically_increasing_id()))
+    with with_batches_of(df.sparkSession, ROWS):
+        aligned = settled(aligned.withColumn(number, F.monotonically_increasing_id()))
     counts = settled(pair_counts(aligned))
     if counts.count() <= most_broadcast:
         frequent, rare = counts, None

@@ -6,11 +6,12 @@ import random
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from tessera.llm import alignment
+from tessera.llm import alignment, common
 from tessera.llm.bpe import byte_letters
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -127,3 +128,19 @@ def test_forgetting_runs_changes_nothing(spark, plain, monkeypatch):
 
 def test_empty_alignment(empty):
     assert alignment.scored_alignments(empty, A, B).count() == 0
+
+
+def test_blocks_are_gathered_from_small_batches(spark, plain, monkeypatch):
+    """Python gets few texts at once and still blocks of many; the session's setting is as before."""
+    texts = [f"word{i % 7} straße {i}" for i in range(90)] + [None, "", "x" * 500]
+    batches = list(pa.Table.from_pydict({"i": list(range(len(texts))), "t": [(t or "").encode() for t in texts]}).to_batches(max_chunksize=4))
+    together = list(common.gathered(iter(batches), 1, 400))
+    assert [x for b in together for x in b.column(0).to_pylist()] == list(range(len(texts))) and len(together) < len(batches) / 2
+    assert all(b.column(1).nbytes <= 500 + 2 * 4 * 30 for b in together) and not list(common.gathered(iter([]), 1, 400))
+    seen = []
+    monkeypatch.setattr(alignment, "settled", lambda df, f=alignment.settled: seen.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or f(df))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = alignment.scored_alignments(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), A, B).collect()
+    assert seen[0] == "200" and {seen[1]} == {before} == {spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")}
+    got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in rows}
+    assert [got[i] for i in range(len(texts))] == plain.results(texts)
