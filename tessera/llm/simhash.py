@@ -127,16 +127,21 @@ def _forest(fps: np.ndarray, others: np.ndarray | None, bits: int) -> list[tuple
     return [(int(both[i]), int(both[j])) for i, j in links]
 
 
-def links(fps: DataFrame, bits: int = 3, dense: int = 48, block: int = 2048) -> DataFrame:
+def spread(rows: DataFrame, column: str, rows_each: int) -> DataFrame:
+    """`rows` by the hash of a column in tasks of about `rows_each`, for what makes many rows of each: tables this narrow are read in a few tasks, whatever comes after. Counting runs `rows`."""
+    return rows.repartition(rows.count() // rows_each + 1, column)
+
+
+def links(fps: DataFrame, bits: int = 3, dense: int = 48, block: int = 2048, rows_each: int = 4096) -> DataFrame:
     """(a, b) with a < b: links between distinct fingerprints (column fp) whose components are those of all links.
 
     Under a key with up to `dense` fingerprints all verified pairs are given. Those of another key are cut and struck again,
     over the bits outside its segment, in which they differ by `bits` at most too; under a finer key with more than
     `dense`, spanning forests of blocks (by hash) and of pairs of blocks. The more bits may differ, the more and shorter
     segments there are: 2 of 32 bits for 3, 3 of 21 for 5; with short ones, unlike fingerprints meet under a key too once
-    there are many.
+    there are many. The keys are made and counted in tasks of about `rows_each` fingerprints (66 keys each for 3 bits).
     """
-    keyed = fps.select("fp", F.posexplode(variants(bits)).alias("variant", "key"))
+    keyed = spread(fps, "fp", rows_each).select("fp", F.posexplode(variants(bits)).alias("variant", "key"))
     # a pair that has a segment in common meets under its whole; with a bit struck out only if just that one differs
     masks = F.array(*[F.lit(_signed(b)) for _, b in struck_masks(bits)])
     met = materialize(shared(keyed, ["key", "variant"]).withColumn("mask", masks[F.col("variant")]))

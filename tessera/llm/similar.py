@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_in, utf8, with_results
+from .common import materialize, maybe_in, utf8, with_batches_of, with_results
 from .simhash import components, fingerprint_of, keep_best, links, shared, shingle_hashes
 
 
@@ -115,14 +115,16 @@ def similar_classes(df: DataFrame, text: str = "text", words_each: int = 5, like
     slim = df.select(F.col(f"`{text}`").alias("text"), content.alias("content"), *[c.alias(n) for c, n in zip(extra, names, strict=True)])
 
     def name_and_keys():
-        def run(v):
-            hashes = [shingle_hashes(t, words_each) for t in v[0]]
-            sets = [np.unique(np.array(h, np.uint64)) for h in hashes]
-            return [[set_id(s) for s in sets], [len(s) for s in sets], [band_keys(s, bands, rows) for s in sets], [fingerprint_of(h) for h in hashes]]
+        def one(text):
+            hashes = shingle_hashes(text, words_each)
+            shingles = np.unique(np.array(hashes, np.uint64))
+            return set_id(shingles), len(shingles), band_keys(shingles, bands, rows), fingerprint_of(hashes)
 
-        return run
+        return lambda v: [list(c) for c in zip(*map(one, v[0]), strict=True)]
 
-    marked = materialize(with_results(slim, [utf8("text")], "set_id long, size long, keys array<bigint>, fp long", name_and_keys, ["content", *names]))
+    # few texts at once, as an executor's workers hold what they were handed beside its heap
+    with with_batches_of(df.sparkSession, 500):
+        marked = materialize(with_results(slim, [utf8("text")], "set_id long, size long, keys array<bigint>, fp long", name_and_keys, ["content", *names], 1 << 20))
     sets = marked.groupBy("set_id").agg(F.min("content").alias("content"), F.min("size").alias("size"), F.min("keys").alias("keys"))
     keyed = sets.select("set_id", "content", "size", F.posexplode("keys").alias("band", "key"))
     # the classes of fingerprints are one more band
@@ -135,13 +137,14 @@ def similar_classes(df: DataFrame, text: str = "text", words_each: int = 5, like
     def name_and_set():
         def run(v):
             sets = [shingle_set(t, words_each) for t in v[0]]
-            return [[set_id(s) for s in sets], [s.view(np.int64).tolist() for s in sets]]
+            return [[set_id(s) for s in sets], [s.view(np.int64) for s in sets]]
 
         return run
 
     wanted = maybe_in(slim.select("content", "text"), "content", met.select("content").distinct(), "wanted").filter("wanted")
-    shingles = with_results(wanted, [utf8("text")], "set_id long, shingles array<bigint>", name_and_set, [])
-    shingles = materialize(shingles.dropDuplicates(["set_id"]))
+    shingles = with_results(wanted, [utf8("text")], "set_id long, shingles array<bigint>", name_and_set, [], 1 << 20)
+    with with_batches_of(df.sparkSession, 500):
+        shingles = materialize(shingles.dropDuplicates(["set_id"]))
     roots = components(similar_links(met, shingles, like))
     return marked.join(roots, marked["set_id"] == roots["node"], "left").select("set_id", F.coalesce("root", "set_id").alias("root"), *names)
 

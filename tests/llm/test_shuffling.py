@@ -485,3 +485,24 @@ def test_simhash_classes_give_candidates(spark):
     near = [(i, j) for i in range(len(texts)) for j in range(i) if ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= 3]
     assert len(near) > 10 and all(found[i] == found[j] for i, j in near)
     assert len({found[i] for i in range(40)}) == 40
+
+
+def test_links_make_keys_in_small_tasks(spark, monkeypatch):
+    """Fingerprints that lie in one partition get their 66 keys each in several tasks."""
+    made, shared = [], simhash.shared
+    monkeypatch.setattr(simhash, "shared", lambda rows, group: made.append(rows) or shared(rows, group))
+    fps = spark.range(20_000, numPartitions=1).select(F.xxhash64("id").alias("fp"))
+    simhash.links(fps, 3)
+    tasks = [r["count"] for r in made[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 66 * 20_000 and max(tasks) <= 66 * 6_000
+
+
+def test_similar_classes_hand_few_texts_to_python(spark, monkeypatch):
+    """What Python makes of texts is stored from batches of 500 rows, and the session's setting comes back."""
+    name, seen, materialize = "spark.sql.execution.arrow.maxRecordsPerBatch", [], similar.materialize
+    before = spark.conf.get(name)
+    monkeypatch.setattr(similar, "materialize", lambda df: seen.append((set(df.columns), int(spark.conf.get(name)))) or materialize(df))
+    df = spark.createDataFrame([(i, f"some words that both texts share {i // 2}") for i in range(8)], "doc_id long, text string")
+    assert len({r.root for r in similar.similar_classes(df).collect()}) == 4
+    assert all(rows <= 500 for columns, rows in seen if columns & {"keys", "shingles"}) and len(seen) >= 2
+    assert spark.conf.get(name) == before
