@@ -167,9 +167,12 @@ def links(fps: DataFrame, bits: int = 3, dense: int = 48, block: int = 2048, row
 
 
 def shared(rows: DataFrame, group: list[str]) -> DataFrame:
-    """The rows whose group has others, with its size n; counted before they meet, so that a hot group is split by the join."""
+    """The rows whose group has others, with its size n; counted before they meet, so that a hot group is split by the join.
+
+    Rows that an explode made are estimated as few as those before it, so the sizes must not be broadcast by that estimate.
+    """
     sizes = rows.groupBy(*group).agg(F.count("*").alias("n")).filter("n > 1")
-    return rows.join(sizes, group)
+    return rows.join(sizes.hint("merge"), group)
 
 
 def _pairs(rows: DataFrame, group: list[str], bits: int) -> DataFrame:

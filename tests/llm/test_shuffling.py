@@ -497,6 +497,16 @@ def test_links_make_keys_in_small_tasks(spark, monkeypatch):
     assert sum(tasks) == 66 * 20_000 and max(tasks) <= 66 * 6_000
 
 
+def test_sizes_of_exploded_keys_are_not_broadcast(spark):
+    """66 keys of a fingerprint are estimated as one row; the sizes of their groups go through a shuffle."""
+    fps = spark.range(20_000).select((F.col("id") * 16).alias("fp"))
+    keyed = simhash.spread(fps, "fp", 4096).select("fp", F.posexplode(simhash.variants(3)).alias("variant", "key"))
+    found = simhash.shared(keyed, ["key", "variant"])
+    assert found.count() > 20_000
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_similar_classes_hand_few_texts_to_python(spark, monkeypatch):
     """What Python makes of texts is stored from batches of 500 rows, and the session's setting comes back."""
     name, seen, materialize = "spark.sql.execution.arrow.maxRecordsPerBatch", [], similar.materialize
