@@ -99,7 +99,8 @@ def similar_links(met: DataFrame, shingles: DataFrame, like: float = 0.8, dense:
             made = _forest(group["set_id"].to_numpy(np.int64), sets, first, like) if both else []
             return pd.DataFrame(made, columns=["a", "b"]).astype("int64")
 
-        found = found.unionByName(blocks.join(shingles, "set_id").groupBy("key", "band", "lo", "hi").applyInPandas(span, "a long, b long"))
+        # neither the exploded blocks nor the sets are as small as estimated
+        found = found.unionByName(blocks.join(shingles.hint("merge"), "set_id").groupBy("key", "band", "lo", "hi").applyInPandas(span, "a long, b long"))
     return found
 
 
