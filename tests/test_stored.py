@@ -168,6 +168,28 @@ def test_ranked_is_all_pairs(spark):
     assert retrieval.ranked(index.limit(0)).count() == 0
 
 
+def test_ranked_among_near_entities(spark, monkeypatch):
+    """Groups with features of their own on one axis: blocks get near entities only, few entities are asked of all, results are those of all pairs."""
+    rng = random.Random(4)
+    rows = {(e, f"own{e // 40}-{rng.randrange(12)}", "a") for e in range(240) for _ in range(rng.randint(1, 5))}
+    rows |= {(e, f"all{rng.randrange(30)}", "b") for e in range(240) for _ in range(3)} | {(e, "all0", "b") for e in range(240, 250)} | {(3, "own0-0", "b"), (300, None, "a")}
+    index = spark.createDataFrame(sorted(rows, key=str) + [(5, "all1", "b")], "entity_id long, feature_id string, axis string")
+    index = index.withColumns({"df": F.length("feature_id").cast("long"), "ic": F.round(1 + F.pmod(F.xxhash64("feature_id"), F.lit(4)) / 3, 3).cast(retrieval.IC)})
+    scores, asked, whole = retrieval.axis_scores(index).cache(), [], retrieval._whole
+    monkeypatch.setattr(retrieval, "_whole", lambda people, ids, opened, *rest: asked.append(opened.count()) or whole(people, ids, opened, *rest))
+    for limit, least in ((3, 1), (6, 2), (30, 1)):
+        want = retrieval.candidates(scores, limit, least).cache()
+        best = retrieval.ranked(index, limit, least, F.col("feature_id") < "all2", near_block=8).cache()
+        plain = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+        assert plain(best, "l", "r", "axes", "total", "rank") == plain(want, "l", "r", "axes", "total", "rank") and best.count() > 100
+        assert plain(retrieval.ranked_scores(best), "l", "r", "axis", "ic", "shared") == plain(scores.join(want, ["l", "r"], "left_semi"), "l", "r", "axis", "ic", "shared")
+    assert 0 < asked[0] < 60 and asked[-1] <= 251
+    plainer = index.filter("axis = 'a' or feature_id like 'all%'").distinct()
+    few = retrieval.candidates(retrieval.axis_scores(plainer), 4)
+    columns = ["l", "r", "feature_id", "axis", "df", "ic"]
+    assert plain(retrieval.ranked_features(plainer, 4, near_block=8), *columns) == plain(retrieval.shared_features(plainer, few, 1 << 30), *columns)
+
+
 def test_a_bucket_has_the_files_that_its_rows_ask_for(spark, tmp_path, monkeypatch):
     """Else the tasks that write it, as many as buckets, hold more the more rows there are."""
     rows = [(i, f"f{i % 3}") for i in range(600)] + [(i, f"g{i // 2}") for i in range(600)]
