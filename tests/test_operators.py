@@ -813,3 +813,29 @@ def test_coordination_pairs_of_a_common_capability(spark, kinds):
     got = action.coordination_pairs(spark.createDataFrame(rows, "team long, capability string"), block=8).withColumn("task", F.spark_partition_id()).collect()
     assert len(got) == len(want) and {(r.a, r.b): r.shared for r in got} == want
     assert len({r.task for r in got if r.shared.startswith("all")}) > 1
+
+
+def test_documents_are_scanned_once(spark, monkeypatch):
+    """What documents say in prose is what their kept records say, written once for all features that read it."""
+    from tessera.operators import fingerprint
+
+    texts = ['{"name": "a", "treatments": [{"name": "Gene Therapy"}, "an aso", 3, null, [1]], "animal_models": {"n": "mouse"}, "variants": "splice"}', '{"name": "b", "datasets": ["mouse"]}', "{}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, source string").withColumn("body", F.parse_json("source"))
+    told = lambda df: sorted(map(tuple, df.collect()))
+    want = told(fingerprint.scanned_records(corpus.preserved_records(docs, ())))
+    assert told(fingerprint.scanned_documents(docs)) == want and len(want) == 4
+    sections = sorted(r.section for r in corpus.preserved_records(docs, ()).collect())
+    assert sorted(r.section for r in corpus.preserved_sections(docs).collect()) == sections
+    made, said = [], fingerprint._said
+    monkeypatch.setattr(fingerprint, "_said", lambda *a: made.append(1) or said(*a))
+    plan = fingerprint.document_features(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert made == [1] and "MapInPandas" not in plan
+
+
+def test_annotations_take_nodes_apart_once(spark):
+    item = '{"name": "n", "genes": [{"preferred_term": "G", "term": {"id": "hgnc:1"}}, "chebi:a:b", " ", {"id": "{x:1}", "identifier": "GO:2"}, {}], "pathways": null, "triggers": {"preferred_term": "Heat Shock"}, "other": [1]}'
+    docs = spark.createDataFrame([(1, '{"pathophysiology": [%s, "word", {"gene": "x"}]}' % item)], "doc long, source string").withColumn("body", F.parse_json("source"))
+    found = ingest.annotations(ingest.mechanism_nodes(docs))
+    got = sorted((r.ord, r.slot, r.place, r.feature_class, r.feature_id) for r in found.collect())
+    assert got == [(0, "genes", 0, "genetic", "HGNC:1"), (0, "genes", 1, "genetic", "text:chebi a b"), (0, "genes", 3, "genetic", "GO:2"), (0, "triggers", 0, "mechanism", "text:heat shock"), (2, "gene", 0, "genetic", "text:x")]
+    assert "$.pathways" not in found._jdf.queryExecution().optimizedPlan().toString()
