@@ -7,7 +7,7 @@ all terms in one pass over each kept record.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_label
 from . import corpus, discovery, ingest
+from .checkpoints import settled
 
 #: The classes of features, in the order in which missing ones are told.
 CLASSES = ("genetic", "molecular", "cellular", "cell_tissue", "phenotype", "model_organism", "therapeutic", "mechanism")
@@ -45,7 +46,29 @@ def scanned_records(records: DataFrame, read_for: dict[str, str] = READ_FOR, ter
     letters stand, in any case, inside words too, and gives the name that `terms` has for it. All terms of all kinds are one
     Aho-Corasick automaton, so the time does not grow with their number.
     """
-    kind = dict(records.dtypes)["doc"]
+
+    def of(batch: pd.DataFrame) -> Iterator[tuple]:
+        yield from zip(batch["doc"], batch["section"], map(json.loads, batch["payload"]), strict=True)
+
+    return _said(records.filter(F.col("section").isin(*read_for)).select("doc", "section", "payload"), of, read_for, terms)
+
+
+def scanned_documents(documents: DataFrame, read_for: dict[str, str] = READ_FOR, terms: dict[str, dict[str, str]] = TERMS) -> DataFrame:
+    """scanned_records() of what preserved_records() keeps of documents (doc, source, body), straight from their text, written once for all who read it."""
+
+    def of(batch: pd.DataFrame) -> Iterator[tuple]:
+        for doc, source in zip(batch["doc"], batch["source"], strict=True):
+            for section, _, raw in corpus.top_level(source):
+                if section in read_for:
+                    value = json.loads(raw)
+                    yield doc, section, value if isinstance(value, dict) else {"value": value}
+
+    return settled(_said(documents.filter("body is not null").select("doc", "source"), of, read_for, terms))
+
+
+def _said(rows: DataFrame, records_of: Callable[[pd.DataFrame], Iterator[tuple]], read_for: dict[str, str], terms: dict[str, dict[str, str]]) -> DataFrame:
+    """(doc, kind, term) of the records (doc, section, object) that records_of() makes of batches of `rows`."""
+    kind = dict(rows.dtypes)["doc"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
@@ -58,15 +81,14 @@ def scanned_records(records: DataFrame, read_for: dict[str, str] = READ_FOR, ter
             automaton.add_word(term, names)
         automaton.make_automaton()
         for batch in batches:
-            rows = set()
-            for doc, section, payload in zip(batch["doc"], batch["section"], batch["payload"], strict=True):
-                values = [v for v in json.loads(payload).values() if isinstance(v, (str, int, float))]
+            said = set()
+            for doc, section, record in records_of(batch):
+                values = [v for v in record.values() if isinstance(v, (str, int, float))]
                 found = {x for _, names in automaton.iter(" ".join(map(str, values)).lower()) for x in names}
-                rows |= {(doc, what, name) for what, name in found if what == read_for[section]}
-            yield pd.DataFrame(list(rows), columns=["doc", "kind", "term"])
+                said |= {(doc, what, name) for what, name in found if what == read_for[section]}
+            yield pd.DataFrame(list(said), columns=["doc", "kind", "term"])
 
-    asked = records.filter(F.col("section").isin(*read_for)).select("doc", "section", "payload")
-    return asked.mapInPandas(scan, f"doc {kind}, kind string, term string").distinct()
+    return rows.mapInPandas(scan, f"doc {kind}, kind string, term string").distinct()
 
 
 def evidence_counts(documents: DataFrame) -> DataFrame:
@@ -109,7 +131,7 @@ def asserted_features(documents: DataFrame, found: DataFrame) -> DataFrame:
 
 def document_features(documents: DataFrame) -> DataFrame:
     """discovery.fingerprints() of imported documents (doc, source, body): one row a feature of a document."""
-    found = scanned_records(corpus.preserved_records(documents, ()))
+    found = scanned_documents(documents)
     features = discovery.fingerprints(asserted_features(documents, found))
     return features.withColumn("label", F.left("label", F.lit(200)))
 
@@ -136,7 +158,7 @@ def diseases(documents: DataFrame) -> DataFrame:
 def document_fingerprints(documents: DataFrame) -> DataFrame:
     """One row a document: its name and id, its phenotypes, genes, node labels, variant effects, treatments and organisms, each sorted, and
     what the features cover: counts by class, those with and without an id, nodes, edges, evidence, and classes that are missing."""
-    found = scanned_records(corpus.preserved_records(documents, ()))
+    found = scanned_documents(documents)
     features = discovery.fingerprints(asserted_features(documents, found))
     by_class = features.groupBy("doc", "feature_class").agg(F.count("*").alias("n"), F.count_if(F.contains("feature_id", F.lit(":"))).alias("grounded"))
     covered = by_class.groupBy("doc").agg(
